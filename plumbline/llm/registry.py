@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .decontamination import decontaminate
+from .fingerprints import fingerprints
 from .packing import pack
 from .tokens import token_counts
 
@@ -16,11 +17,15 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_merkle_fingerprints(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark, sf_dir):
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
