@@ -6,6 +6,7 @@ from .common import table
 from .decontamination import decontaminate
 from .fingerprints import fingerprints
 from .packing import pack
+from .pii import find_pii
 from .tokens import token_counts
 
 
@@ -17,6 +18,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_anchor_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents")).drop("marks")
+
+
 def op9_merkle_fingerprints(spark, sf_dir):
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,6 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
