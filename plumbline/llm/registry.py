@@ -5,11 +5,16 @@ from __future__ import annotations
 from .common import table
 from .decontamination import decontaminate
 from .fingerprints import fingerprints
+from .jaccard import jaccard_join
 from .packing import pack
 from .pii import find_pii
 from .tokens import token_counts
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,6 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_best_fit_packing, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op5_best_fit_packing, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
