@@ -9,12 +9,17 @@ from .jaccard import jaccard_join
 from .packing import pack
 from .pii import find_pii
 from .tokens import token_counts
+from .toxicity import score_toxicity
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_noisy_channel_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,6 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op5_best_fit_packing, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op4_token_counts, op5_best_fit_packing, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
