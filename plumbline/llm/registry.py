@@ -6,6 +6,7 @@ from .common import table
 from .decontamination import decontaminate
 from .fingerprints import fingerprints
 from .jaccard import jaccard_join
+from .katz import score_text
 from .packing import pack
 from .pii import find_pii
 from .tokens import token_counts
@@ -28,6 +29,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_katz_backoff_scores(spark, sf_dir):
+    return score_text(table(spark, sf_dir, "documents"))
+
+
 def op8_anchor_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents")).drop("marks")
 
@@ -41,6 +46,6 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op4_token_counts, op5_best_fit_packing, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op4_token_counts, op5_best_fit_packing, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
