@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .decontamination import decontaminate
 from .fingerprints import fingerprints
@@ -9,6 +11,7 @@ from .jaccard import jaccard_join
 from .katz import score_text
 from .packing import pack
 from .pii import find_pii
+from .quality import grade_quality
 from .tokens import token_counts
 from .toxicity import score_toxicity
 
@@ -29,6 +32,12 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_ordinal_quality(spark, sf_dir):
+    """Grades: 0 low quality, 1 good quality but toxic, 2 good quality and not toxic."""
+    grade = F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic"))
+    return grade_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
+
+
 def op7_katz_backoff_scores(spark, sf_dir):
     return score_text(table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,6 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op4_token_counts, op5_best_fit_packing, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op4_token_counts, op5_best_fit_packing, op6_ordinal_quality, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
