@@ -12,6 +12,7 @@ from .katz import score_text
 from .packing import pack
 from .pii import find_pii
 from .quality import grade_quality
+from .substrings import remove_repeats
 from .tokens import token_counts
 from .toxicity import score_toxicity
 
@@ -24,6 +25,10 @@ def op2_noisy_channel_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op4_token_counts, op5_best_fit_packing, op6_ordinal_quality, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op3_suffix_array_dedup, op4_token_counts, op5_best_fit_packing, op6_ordinal_quality, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
