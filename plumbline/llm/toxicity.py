@@ -138,9 +138,9 @@ def readings(token: str, costs: np.ndarray) -> tuple[str, ...]:
     run = re.search(r"([^\W\d_])\1\1", core)
     if letters >= 2 and len(edges) <= 24 and (run or ends or not core.isalpha()) and sum(c.isdigit() for c in edges) <= 0.6 * len(edges):
         for form in {core, edges} if ends else {core}:
-            out.update(restore(form, costs).split())
+            out.update(*map(begins, restore(form, costs).split()))
     elif not token.isascii():
-        out.add(core)
+        out.update(begins(core))
     return tuple(out)
 
 
@@ -158,7 +158,7 @@ def words_of(text: str, costs: np.ndarray, known: dict) -> set[str]:
         run = re.sub(r"[ ._*-]+", " ", folded(m[0]))
         got = known.get(run)
         if got is None:
-            got = known[run] = tuple(w for w in restore(run, costs).split() if len(w) > 1)
+            got = known[run] = tuple(set().union(*(begins(w) for w in restore(run, costs).split() if len(w) > 1)))
         out.update(got)
     return out
 
@@ -208,10 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, id_col: str, text
     if not n1 or not n0:
         return {}, float(np.log((n1 + 0.5) / (n0 + 0.5))) if n1 or n0 else -2.0
     seen = rows.select("id", "text", "y").mapInArrow(words, f"id {kind}, y int, words array<string>").select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    apart = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
-    z = apart / F.sqrt(1 / a + 1 / b)
-    top = seen.where(F.col("a") + F.col("b") >= 5).withColumn("z", F.abs(z)).where(F.col("z") >= CLEAR).orderBy(F.desc("z"), "word").limit(FEATURES).collect()
+    share = (F.col("a") + F.col("b")) / (n1 + n0)
+
+    def part(seen_, of):  # seen * log(seen / expected), for the rows with the word and those without
+        out = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
+        return out(seen_, share * of) + out(of - seen_, (1 - share) * of)
+
+    z = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(F.col("a"), F.lit(n1)) + part(F.col("b"), F.lit(n0)))))  # root of the likelihood ratio
+    top = seen.where(F.col("a") + F.col("b") >= 5).withColumn("z", z).where(F.col("z") >= CLEAR).orderBy(F.desc("z"), "word").limit(FEATURES).collect()
     index = {r["word"]: k for k, r in enumerate(top)}
     chosen = docs.sparkSession.sparkContext.broadcast(index)
     table = rows.select("id", "text", "y").mapInArrow(hits, "y int, at array<int>").groupBy("y", "at").agg(F.count("*").alias("n")).collect()  # at most SAMPLE rows
