@@ -116,6 +116,8 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, grade_co
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "text", "y")
     got = rows.mapInArrow(run, "y int, at binary, value binary").collect()  # about SAMPLE rows at most
+    if not got:
+        return np.zeros(SLOTS), np.zeros(top)
     got.sort(key=lambda r: (r["y"], r["at"], r["value"]))
     at = [np.frombuffer(r["at"], np.int32) for r in got]
     begins = np.cumsum([0, *map(len, at)])[:-1]
