@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,14 +78,3 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame,
     a = tagged.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(some), keys, how)
     b = tagged.where(F.col("_hot").isNull()).drop("_hot").join(right, keys, how)
     return a.unionByName(b)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit moves every output bit."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x

@@ -15,27 +15,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, written
-from .graph import components, join_hot, mixed
-from .tokens import process_memory
+from .graph import components, join_hot
+from .words import WordHasher, mixed
 
-#: Rows of a tile's side.
-BLOCK = 512
+#: Hashes in a tile's side, about; a side is one row at least.
+BLOCK = 1_500_000
 #: 64-bit words of a bitmap.
 WORDS = 16
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MASK = (1 << 64) - 1
 
 
 class Rule:
     """Linked means 100 * shared >= percent * united; bands of sizes, and the parts that each band needs."""
 
-    def __init__(self, percent: int, width: int = 4, most: int = 1 << 31):
+    def __init__(self, percent: int, width: int = 2, most: int = 1 << 31):
         self.percent = percent
         low, starts = 1, []
         while low < most:
@@ -46,10 +47,13 @@ class Rule:
     def band(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, "right") - 1
 
+    def differ(self, band: int) -> int:
+        """The most that two linked sets can differ by when the larger is in the band."""
+        return 2 * (int(self.starts[band + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
+
     def parts(self, band: int) -> int:
-        """One more than two linked sets can differ by when the larger is in the band."""
-        n = int(self.starts[band + 1]) - 1
-        return 2 * n * (100 - self.percent) // (100 + self.percent) + 1
+        """More parts than they can differ by, and some to spare for parts that are empty."""
+        return self.differ(band) * 11 // 10 + 1
 
     def reaches(self, n: int, band: int) -> bool:
         """May a set of n link with one of the next band?"""
@@ -60,70 +64,87 @@ class Rule:
         return -(-self.percent * both // (100 + self.percent))
 
 
-def shingle_hashes(texts: list[str], k: int) -> list[np.ndarray]:
+def shingle_hashes(texts: list[str | None], k: int, hasher: WordHasher) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text (the whole sequence where there are fewer words)."""
-    import xxhash
-
-    known = process_memory().setdefault(("words", "xxh3"), {})
-    if len(known) > 500_000:
-        known.clear()
-    digest = xxhash.xxh3_64_intdigest
-    out = []
-    for t in texts:
-        words = t.encode().translate(LOWER).split()
-        for w in set(words):
-            if w not in known:
-                known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if not len(h):
-            out.append(h)
-            continue
-        n = max(1, len(h) - k + 1)
+    for h in hasher.texts([(t or "").encode() for t in texts]):
+        n = max(1, len(h) - k + 1) if len(h) else 0
         s = np.zeros(n, np.uint64)
         for i in range(min(k, len(h))):
             s = mixed(s + h[i : i + n] + np.uint64(0x9E3779B97F4A7C15))
-        out.append(np.unique(s))
-    return out
+        yield np.unique(s)
 
 
-def part_numbers(s: np.ndarray, band: int, parts: int) -> np.ndarray:
-    """One number for each part of the hash space: the band, the part and a sum over the part's hashes."""
+def part_numbers(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
+    """Numbers of the parts of the hash space: of the band, the part and a sum over the part's hashes.
+
+    Two linked sets share more than `differ` parts less those empty in both.
+    So empty parts are left out by every set that fills more parts than that;
+    a pair then still shares a filled part, unless both sets name empty ones.
+    """
+    parts = rule.parts(band)
+    place = ((s >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
     sums = np.zeros(parts, np.uint64)
-    np.add.at(sums, ((s >> np.uint64(33)) % np.uint64(parts)).astype(np.int64), mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))
-    return mixed(sums + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band * 0xC2B2AE3D27D4EB4F) & MASK)).view(np.int64)
+    np.add.at(sums, place, mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))
+    numbers = mixed(sums + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band * 0xC2B2AE3D27D4EB4F) & MASK)).view(np.int64)
+    filled = np.bincount(place, minlength=parts) > 0
+    return numbers[filled] if filled.sum() > rule.differ(band) else numbers
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """id, n, set_key (16 bytes), own and next (part numbers of the set's band and of the next) for each row."""
-    rule = Rule(percent)
+def node_of(s: np.ndarray) -> tuple[bytes, int]:
+    """The 16-byte key of a set and its node: an even number made of the key's first half."""
+    import xxhash
+
+    key = xxhash.xxh3_128_digest(s.tobytes())
+    return key, int.from_bytes(key[:8], "little", signed=True) & ~1
 
-    def run(batches):
-        import xxhash
 
+def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id, n, node, set_key for each row."""
+    def run(batches):
+        hasher = WordHasher()
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 some = batch.slice(begin, 1000)
-                sizes, keys, own, after = [], [], [], []
-                for s in shingle_hashes([t or "" for t in some.column(1).to_pylist()], k):
-                    n = len(s)
-                    sizes.append(n)
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    b = int(rule.band(np.int64(n))) if n else 0
-                    own.append(part_numbers(s, b, rule.parts(b)) if n else None)
-                    after.append(part_numbers(s, b + 1, rule.parts(b + 1)) if n and rule.reaches(n, b) else None)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int64()))], ["id", "n", "set_key", "own", "next"])
+                sizes, keys = [], []
+                for s in shingle_hashes(some.column(1).to_pylist(), k, hasher):
+                    sizes.append(len(s))
+                    keys.append(node_of(s))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([x[0] for x in keys], pa.binary())], ["id", "n", "node", "set_key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, set_key binary, own array<long>, next array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, node long, set_key binary")
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): each node with another of its groups, a group being the nodes that share a part number."""
-    def rows(column, guest):
-        return sets.where(F.col(column).isNotNull()).select(F.explode(column).alias("number"), (F.col("node") * 2 + guest).alias("who"))
+def part_rows(docs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
+    """(number, who): the part numbers of each set's band (who: its node) and of the next one (node + 1: a guest), once a task."""
+    rule = Rule(percent)
 
     def run(batches):
-        number = leader = waiting = None  # of the group at hand; waiting: its guests before its first own node
+        given: set[int] = set()
+        hasher = WordHasher()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                numbers, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for s in shingle_hashes(batch.column(0).slice(begin, 1000).to_pylist(), k, hasher):
+                    n, node = len(s), node_of(s)[1]
+                    if not n or node in given:
+                        continue
+                    given.add(node)
+                    b = int(rule.band(np.int64(n)))
+                    numbers.append(part_numbers(s, b, rule))
+                    who.append(np.full(len(numbers[-1]), node))
+                    if rule.reaches(n, b):
+                        numbers.append(part_numbers(s, b + 1, rule))
+                        who.append(np.full(len(numbers[-1]), node + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers)), pa.array(np.concatenate(who))], ["number", "who"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "number long, who long")
+
+
+def candidate_edges(parts: DataFrame) -> DataFrame:
+    """(a, b): each node with another of its groups, a group being the nodes that share a part number."""
+    def run(batches):
+        number = leader = None  # of the group at hand
         for batch in batches:
             left, right = [], []
             v, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -134,13 +155,12 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
                     number, leader = int(v[i]), int(w[i])
                 elif leader is not None:
                     if not leader & 1 or not int(w[i]) & 1:  # groups of guests alone link nothing
-                        left.append(int(w[i]) >> 1)
-                        right.append(leader >> 1)
+                        left.append(int(w[i]) & ~1)
+                        right.append(leader & ~1)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     # Own nodes (even) sort before guests within a number, so the leader is a guest only in groups of guests alone.
-    every = rows("own", 0).unionByName(rows("next", 1))
-    dealt = every.repartition("number").sortWithinPartitions("number", F.col("who").bitwiseAND(1), "who")
+    dealt = parts.repartition("number").sortWithinPartitions("number", F.col("who").bitwiseAND(1), "who")
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
@@ -200,19 +220,20 @@ def verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     def arrays(batches):
         import xxhash
 
+        hasher = WordHasher()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
-                got = shingle_hashes([t or "" for t in some.column(5).to_pylist()], k)
+                got = list(shingle_hashes(some.column(5).to_pylist(), k, hasher))
                 good = [i for i, (s, key) in enumerate(zip(got, some.column(3).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == key]
                 taken = some.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), taken.column(4), pa.array([got[i].tobytes() for i in good], pa.binary())], ["node", "group", "copies", "n", "hashes"])
 
     ready = texts.mapInArrow(arrays, "node long, group long, copies long, n long, hashes binary")
-    # blocks: groups of up to BLOCK are one tile; larger ones are cut by bands of sizes and then by salts
+    # groups of up to BLOCK hashes are one tile; larger ones are cut by bands of sizes and then by salts
     step = np.log(100 / percent)
     fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    banded = members.where("crowd > %d" % BLOCK).groupBy("group", fine.alias("fine")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    banded = members.where(F.col("weight") > BLOCK).groupBy("group", fine.alias("fine")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     maps = banded.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("fine", "blocks"))).alias("blocks"))
     placed = ready.join(maps, "group", "left").withColumn("fine", fine)
     salt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -269,12 +290,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     two; a row with a null id takes the component of its set, if a row with an
     id has that set too, and is not compared otherwise.
     """
-    rows = written(describe(docs, id_col, text_col, k, percent), "sets")
-    made = rows.where("n > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("next").alias("next"))
-    sets = written(made.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups = components(candidate_edges(sets)).withColumnRenamed("component", "group")
-    crowds = groups.groupBy("group").agg(F.count("*").alias("crowd"))
-    members = written(groups.join(crowds, "group").join(sets.select("node", "n", "rep", "copies", "set_key"), "node"), "members")
+    rows = written(describe(docs, id_col, text_col, k), "sets")
+    sets = written(rows.where("n > 0").groupBy("node", "set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "nodes")
+    groups = components(candidate_edges(part_rows(docs, text_col, k, percent))).withColumnRenamed("component", "group")
+    found = groups.join(sets.select("node", "n", "rep", "copies", "set_key"), "node")
+    members = written(found.join(found.groupBy("group").agg(F.sum("n").alias("weight")), "group"), "members")
     links = written(verified(members, docs, id_col, text_col, k, percent), "links")
     linked = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
