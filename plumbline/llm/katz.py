@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, crc_mod, written
-from .jaccard import LOWER
-from .tokens import process_memory
+from .words import WordHasher
 
 #: Characters of text in a block, about.
 BLOCK = 6_000_000
@@ -41,7 +40,7 @@ def packed(a: np.ndarray) -> bytes:
 
     a = np.ascontiguousarray(a)
     planes = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpacked(b: bytes, kind) -> np.ndarray:
@@ -82,52 +81,57 @@ class Unigrams:
         return np.where(c > 0, self.d[np.minimum(c, TOP) * (c <= TOP)] * c / self.total * self.scale, self.unknown)
 
 
-def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (block, ids, held, ends, tokens, words, counts): documents as numbers of the block's words."""
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def make_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Rows (block, ids, held, ends, tokens, place, words, counts): documents as ranks of the block's words by frequency.
+
+    words and counts go by hash bucket, then hash; place tells where a rank's word stands there.
+    """
     def run(batches):
-        import xxhash
         from pyspark import TaskContext
 
         task, k = TaskContext.get().partitionId(), 0
-        known = process_memory().setdefault(("words", "xxh3"), {})
-        digest = xxhash.xxh3_64_intdigest
-        held: list[tuple[object, bool, list[bytes]]] = []
+        hasher = WordHasher()
+        held: list[tuple[object, bool, np.ndarray]] = []
 
         def done():
             nonlocal k, held
-            if len(known) > 500_000:
-                known.clear()
-            parts = []
-            for _, _, words in held:
-                for w in set(words):
-                    if w not in known:
-                        known[w] = digest(w)
-                parts += [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.array([END])]
-            ends = np.cumsum([len(w) + 1 for _, _, w in held])
-            flat = np.concatenate(parts)
-            words, local = np.unique(flat, return_inverse=True)
+            ends = np.cumsum([len(h) + 1 for _, _, h in held])
+            flat = np.concatenate([x for _, _, h in held for x in (h, [END])])
+            words, local, often = np.unique(flat, return_inverse=True, return_counts=True)
             train = np.repeat([not h for _, h, _ in held], np.diff(ends, prepend=0))
             counts = np.bincount(local[train], minlength=len(words))
-            row = [(task << 32) + k, [i for i, _, _ in held], [h for _, h, _ in held], packed(ends), packed(local.astype(np.uint32)), words.tobytes(), packed(counts)]
+            by_bucket = np.argsort(bucket_of(words, buckets), kind="stable")
+            at = np.empty(len(words), np.uint32)
+            at[by_bucket] = np.arange(len(words))
+            by_rank = np.argsort(-often, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[by_rank] = np.arange(len(words))
+            row = [(task << 32) + k, [i for i, _, _ in held], [h for _, h, _ in held], packed(ends), packed(rank[local]), packed(at[by_rank]), words[by_bucket].tobytes(), packed(counts[by_bucket])]
             k, held = k + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["block", "ids", "held", "ends", "tokens", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["block", "ids", "held", "ends", "tokens", "place", "words", "counts"])
 
         size, types = 0, None
         for batch in batches:
-            types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.bool_()), *[pa.binary()] * 4]
-            for i in range(batch.num_rows):
-                text = (batch.column(2)[i].as_py() or "").encode()
-                held.append((batch.column(0)[i].as_py(), bool(batch.column(1)[i].as_py()), text.translate(LOWER).split()))
-                size += len(text) + 100
-                if size > BLOCK:
-                    yield done()
-                    size = 0
+            types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.bool_()), *[pa.binary()] * 5]
+            for begin in range(0, batch.num_rows, 200):
+                some = batch.slice(begin, 200)
+                texts = [(t or "").encode() for t in some.column(2).to_pylist()]
+                for i, h, text, hashes in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts, hasher.texts(texts), strict=True):
+                    held.append((i, bool(h), hashes.copy()))
+                    size += len(text) + 100
+                    if size > BLOCK:
+                        yield done()
+                        size = 0
         if held:
             yield done()
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), crc_mod(id_col, 5).eqNullSafe(1).alias("held"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, ends binary, tokens binary, words binary, counts binary")
+    return given.mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, ends binary, tokens binary, place binary, words binary, counts binary")
 
 
 def grouped(df: DataFrame, key: str, order: list[str], work, schema: str) -> DataFrame:
@@ -164,11 +168,9 @@ def unigram_replies(blocks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for block, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 h, c = np.frombuffer(words, np.uint64), unpacked(counts, np.int64)
-                bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                cuts = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
                 some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                parts = [order[cuts[b] : cuts[b + 1]] for b in some]
+                parts = [slice(cuts[b], cuts[b + 1]) for b in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([packed(c[p]) for p in parts], pa.binary())], ["bucket", "block", "words", "counts"])
 
     def work(rows):
@@ -192,14 +194,10 @@ def unigram_replies(blocks: DataFrame, buckets: int) -> DataFrame:
     return grouped(asked, "bucket", ["block"], work, "block long, bucket long, a binary, b binary")
 
 
-def word_table(block: dict, replies: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and totals of a block's words, in the order of its words."""
-    h = np.frombuffer(block["words"], np.uint64)
-    order = np.argsort(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), kind="stable")
-    number, total = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-    number[order] = np.concatenate([unpacked(r["a"], np.int64) for r in replies])
-    total[order] = np.concatenate([unpacked(r["b"], np.int64) for r in replies])
-    return number, total
+def word_table(block: dict, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and totals of a block's words, by rank."""
+    place = unpacked(block["place"], np.uint32)
+    return tuple(np.concatenate([unpacked(r[c], np.int64) for r in replies])[place] for c in ("a", "b"))
 
 
 def bigrams(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +225,7 @@ def bigram_replies(both: DataFrame, words: Unigrams, hot: float, buckets: int) -
     """(block, bucket, a: training totals of the block's bigrams, b: sums by context) and rows of block -1 (counts of counts) and -2 (hot contexts' sums)."""
     def ask(rows):
         block, replies = rows[-1], rows[:-1]
-        number, total = word_table(block, replies, buckets)
+        number, total = word_table(block, replies)
         _, _, pairs, at, train = bigrams(block)
         count = np.bincount(at[train], minlength=len(pairs))
         c, w, bucket, crowded, order = deal(pairs, number, total, hot, buckets)
@@ -291,7 +289,7 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.char_length(F.col(text_col).cast("string")) + 100)).first()[0] or 0
     buckets = max(8, int(chars // BLOCK) * 2)
-    blocks = written(make_blocks(docs, id_col, text_col), "blocks")
+    blocks = written(make_blocks(docs, id_col, text_col, buckets), "blocks")
     unigrams = written(unigram_replies(blocks, buckets), "unigrams")
     n, total = np.zeros(TOP + 3, np.int64), 0
     for r in unigrams.where("block = -1").select("a", "b").toLocalIterator():  # a row a bucket
@@ -299,7 +297,7 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     types = int(n[1:].sum())
     words = Unigrams(total, types, n.tolist())
     hot = max(total * HOT_SHARE, 100.0)
-    columns = {c: blocks.schema[c].dataType.simpleString() for c in blocks.columns if c != "block"}
+    columns = ("ids", "held", "ends", "tokens", "place")
 
     def joined(replies):
         """Per block: replies in the order of their buckets, kind by kind, and the block's own row last."""
@@ -324,7 +322,7 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def work(rows):
         words, d, names, crowd_sums = shared.value
         block, first, second = rows[-1], [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
-        number, total = word_table(block, first, buckets)
+        number, total = word_table(block, first)
         ends, tokens, pairs, at, _ = bigrams(block)
         c, w, bucket, crowded, order = deal(pairs, number, total, hot, buckets)
         count = np.empty(len(pairs), np.int64)
