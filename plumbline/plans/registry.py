@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, measures, names
+from ..functions import codes, measures, names, policy
 from ..operators import aggregates as A
 from ..operators import canonical as C
 from ..operators import linkage as L
@@ -652,3 +652,78 @@ def metrics(a):
         F.sum("violent_offenses").alias("violent_crime_count"), F.sum("property_offenses").alias("property_crime_count"),
     )
 
+
+
+# --- further queries of the catalogue ----------------------------------------------------------------------------------
+
+
+@query("g1_denominator", "SELECT entity_id, data_year, balance_population, denominator, denominator_basis FROM population")
+def denominator(a):
+    return a.population.select("entity_id", "data_year", "balance_population", "denominator", "denominator_basis")
+
+
+@query("g12_gates_by_kind", "SELECT kind, denominator_type, confidence, coverage, violent_withheld, count(*) AS n FROM agency_year GROUP BY ALL")
+def gates(a):
+    return a.agency_year.groupBy("kind", "denominator_type", "confidence", "coverage", "violent_withheld").agg(F.count("*").alias("n"))
+
+
+@query("g15_absent_reason", "SELECT entity_id, data_year, CASE WHEN confidence = 'NOT_COMPARABLE' THEN 'not_comparable' WHEN sworn IS NULL THEN 'staffing_not_reported' WHEN NOT coalesce(denominator > 0, false) THEN 'no_population' ELSE 'not_available' END AS reason FROM agency_year WHERE officers_per_1k IS NULL")
+def absent(a):
+    return a.agency_year.where("officers_per_1k is null").select("entity_id", "data_year", policy.absent_reason(F.col("confidence"), F.col("sworn"), F.col("denominator")).alias("reason"))
+
+
+@query("j1_entity_geography", "SELECT e.entity_id, e.kind, e.review_status, n.n_name AS geo_name, r.r_name AS region FROM entity e LEFT JOIN nation n ON n.n_name = e.state AND e.review_status = 'accepted' LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
+def geography(a):
+    links = a.entity.where("review_status = 'accepted'").select("entity_id", "state")
+    geo = a.read("nation").join(F.broadcast(a.read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("geo_name"), F.col("r_name").alias("region"))
+    linked = links.join(F.broadcast(geo), F.col("state") == F.col("geo_name")).select("entity_id", "geo_name", "region")
+    return a.entity.select("entity_id", "kind", "review_status").join(linked, "entity_id", "left")
+
+
+@query("j4_aligned_groups", "SELECT entity_id, data_year, max(CASE WHEN offense_group = 'violent-crime' THEN offenses END) AS violent, max(CASE WHEN offense_group = 'property-crime' THEN offenses END) AS property FROM crime GROUP BY 1, 2")
+def aligned(a):
+    wide = a.crime.groupBy("entity_id", "data_year").pivot("offense_group", ["violent-crime", "property-crime"]).agg(F.max("offenses"))
+    return wide.withColumnsRenamed({"violent-crime": "violent", "property-crime": "property"})
+
+
+@query("a18_state_summary", "SELECT data_year, count(*) AS states, CAST(sum(n) AS BIGINT) AS offenses, round(median(n), 6) AS median_offenses, CAST(sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM (SELECT state, data_year, sum(violent_offenses) AS n FROM agency_year GROUP BY 1, 2) GROUP BY 1")
+def state_summary(a):
+    by = a.agency_year.groupBy("state", "data_year").agg(F.sum("violent_offenses").alias("n"))
+    return by.groupBy("data_year").agg(F.count("*").alias("states"), F.sum("n").alias("offenses"), F.round(F.median("n"), 6).alias("median_offenses"), F.count_if(F.col("n").isNull()).alias("missing"))
+
+
+@query("l2_top_n", "SELECT entity_id, data_year, violent_offenses FROM agency_year WHERE violent_offenses IS NOT NULL AND data_year = 1999 ORDER BY violent_offenses DESC, entity_id LIMIT 15")
+def top_n(a):
+    return a.agency_year.where("violent_offenses is not null and data_year = 1999").orderBy(F.desc("violent_offenses"), "entity_id").limit(15).select("entity_id", "data_year", "violent_offenses")
+
+
+@query("q1_agencies", "SELECT entity_id, name, denominator, total_rows, CAST(ceil(total_rows / 10.0) AS BIGINT) AS pages FROM (SELECT *, count(*) OVER () AS total_rows, row_number() OVER (ORDER BY denominator DESC NULLS LAST, name, entity_id) AS r FROM agency_year WHERE data_year = 1998 AND contains(lower(name), '1') AND kind = 'municipal_police' AND denominator >= 1000) WHERE r <= 10")
+def agencies(a):
+    return published.agencies(a.agency_year, 1998, q="1", kind="municipal_police", population=(1000, None), sort="denominator", descending=True, size=10).select("entity_id", "name", "denominator", "total_rows", "pages")
+
+
+@query("q3_profile_history", f"SELECT entity_id, data_year, violent_offenses, coverage, confidence, warning FROM agency_year WHERE entity_id = '{SUBJECT}'")
+def history(a):
+    return published.profile(a.entity, a.agency_year, SUBJECT)["history"].select("entity_id", "data_year", "violent_offenses", "coverage", "confidence", "warning")
+
+
+@query("q7_missing_members", "SELECT entity_id, max(data_year) AS latest_year FROM agency_year WHERE entity_id IN ('000000002', '000000003') AND entity_id NOT IN (SELECT entity_id FROM agency_year WHERE data_year = 2004) GROUP BY 1")
+def missing_members(a):
+    return published.compare(a.agency_year, ["000000002", "000000003"], 2004)["missing"]
+
+
+@query("q11_resolution_matrix", "SELECT kind, count(*) AS total, CAST(sum(CASE WHEN review_status = 'accepted' THEN 1 ELSE 0 END) AS BIGINT) AS accepted, CAST(sum(CASE WHEN review_status = 'needs_review' THEN 1 ELSE 0 END) AS BIGINT) AS needs_review, CAST(sum(CASE WHEN review_status = 'unmatched' THEN 1 ELSE 0 END) AS BIGINT) AS unmatched FROM entity GROUP BY 1")
+def resolution(a):
+    return A.status_pivot(a.entity, ["kind"], "review_status", ["accepted", "needs_review", "unmatched"])
+
+
+@query("q15_adhoc_sql", "SELECT kind, CAST(sum(violent_offenses) AS BIGINT) AS n FROM agency_year GROUP BY kind")
+def adhoc(a):
+    return published.adhoc({"agency_year_view": a.agency_year}, "SELECT kind, sum(violent_offenses) AS n FROM agency_year_view GROUP BY kind")
+
+
+@query("p16_finite_values", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <> 25 THEN round(l_extendedprice / (l_quantity - 25), 6) END AS v FROM lineitem", prefix=False)
+def finite_values(a):
+    d = F.col("l_quantity") - 25
+    raw = F.when(d != 0, F.col("l_extendedprice") / d).otherwise(F.lit(float("nan")))
+    return a.read("lineitem").select("l_orderkey", "l_linenumber", F.round(measures.finite(raw), 6).alias("v"))
