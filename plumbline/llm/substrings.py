@@ -24,17 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .graph import mixed
+from .words import BASE, mixed, powers
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text handled at once, and of a buffer whose suffixes are sorted.
 BLOCK, BUFFER = 2_000_000, 3_000_000
 PLACE = 24  # low bits of a gram's hash that hold its place in the block
-BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    return np.r_[np.uint64(1), np.multiply.accumulate(np.full(max(n - 1, 0), base, np.uint64))][:n]
 
 
 def gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
@@ -168,7 +163,11 @@ def repeated(parts: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows (least, content, k1, k2, first, last): segments, with hashes of their minimizer and of their bytes."""
+    """Rows (least, content, k1, k2, first, last, n): segments, with hashes of their minimizer and of their bytes.
+
+    n is 1, or 2 for the first of several alike in a block of texts; those
+    alike, the first too, are there again with n = 0, as repeats already known.
+    """
     def run(batches):
         import xxhash
 
@@ -194,48 +193,66 @@ def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
         parts = [memoryview(x[2]) for x in held]
         content = np.fromiter((digest(parts[k][a : b + length]) for k, a, b in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(of))
         row, shift = (np.array([x[k] for x in held], np.int64)[of] if len(of) else of for k in (0, 1))
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first + shift).astype(np.int32)), pa.array((last + shift).astype(np.int32))], ["least", "content", "k1", "k2", "first", "last"])
-
-    return docs.select("k1", "k2", "text").mapInArrow(run, "least long, content long, k1 long, k2 long, first int, last int")
+        order = np.lexsort((content, least))
+        new = np.r_[True, (least[order][1:] != least[order][:-1]) | (content[order][1:] != content[order][:-1])] if len(order) else np.zeros(0, bool)
+        alike = np.diff(np.r_[np.flatnonzero(new), len(order)])
+        heads = order[new]
+        known = order[np.repeat(alike >= 2, alike)]
+        pick = np.r_[heads, known]
+        n = np.r_[np.minimum(alike, 2), np.zeros(len(known), np.int64)]
+        take = pa.array(row[pick])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(least[pick].view(np.int64)), pa.array(content[pick].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first + shift)[pick].astype(np.int32)), pa.array((last + shift)[pick].astype(np.int32)), pa.array(n.astype(np.int32))],
+            ["least", "content", "k1", "k2", "first", "last", "n"],
+        )
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "least long, content long, k1 long, k2 long, first int, last int, n int")
 
 
 def settle(found: DataFrame) -> DataFrame:
     """From segments: whole repeats (content null) and representatives to compare (content: 1 if it stands for itself alone)."""
     def run(batches):
-        held = np.zeros((0, 7), np.int64)  # the last content's first rows; the seventh column: were rows of it given out?
+        held = np.zeros((0, 8), np.int64)  # the last content's first rows; the last column: was the row given out?
         before = False  # has the held content's minimizer another content before it?
         for batch in batches:
             rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns] + [np.zeros(batch.num_rows, np.int64)], 1)
-            rows = np.r_[held, rows]
-            out, held, before = cut(rows, before, False)
+            given = rows[:, 6] == 0
+            if given.any():
+                yield table(rows[given], rows[:0], None)
+            rows = rows[~given]
+            rows[:, 7] = rows[:, 6] == 2
+            out, held, before = cut(np.r_[held, rows], before, False)
             yield out
         yield cut(held, before, True)[0]
 
+    def table(whole, part, alone):
+        flat = np.r_[whole, part]
+        mark = np.zeros(len(flat), np.int64)
+        if len(part):
+            mark[len(whole) :] = alone
+        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(mark, mask=np.arange(len(flat)) < len(whole)), *(pa.array(flat[:, k]) for k in (2, 3)), *(pa.array(flat[:, k].astype(np.int32)) for k in (4, 5))], ["least", "content", "k1", "k2", "first", "last"])
+
     def cut(rows, before, final):
         n = len(rows)
+        if not n:
+            return table(rows, rows, None), rows, before
         least, content = rows[:, 0], rows[:, 1]
-        new = np.r_[True, (least[1:] != least[:-1]) | (content[1:] != content[:-1])] if n else np.zeros(0, bool)
+        new = np.r_[True, (least[1:] != least[:-1]) | (content[1:] != content[:-1])]
         begin = np.flatnonzero(new)
-        size = np.diff(np.r_[begin, n])
-        done = len(begin) - (0 if final else 1)  # runs that are complete
-        alike = np.r_[before, least[begin[1:]] == least[begin[:-1]]] if n else np.zeros(0, bool)
-        other = alike | np.r_[alike[1:], False]
-        run = np.repeat(np.arange(len(begin)), size)
-        twice = (size >= 2)[run] & (rows[:, 6] == 0)
-        whole = rows[twice]
-        reps = begin[:max(done, 0)][other[: max(done, 0)]]
-        part = rows[reps]
-        alone = (size[: max(done, 0)] == 1)[other[: max(done, 0)]]
-        flat = np.r_[whole, part]
-        table = pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(np.r_[np.zeros(len(whole), np.int64), alone.astype(np.int64)], mask=np.arange(len(flat)) < len(whole)), *(pa.array(flat[:, k]) for k in (2, 3)), *(pa.array(flat[:, k].astype(np.int32)) for k in (4, 5))], ["least", "content", "k1", "k2", "first", "last"])
-        if final or not n:
-            return table, rows[:0], before
+        size, weight = np.diff(np.r_[begin, n]), np.add.reduceat(rows[:, 6], begin)
+        done = len(begin) - (0 if final else 1)  # contents that are complete
+        alike = np.r_[before, least[begin[1:]] == least[begin[:-1]]]
+        other = (alike | np.r_[alike[1:], False])[:done]
+        whole = rows[np.repeat(weight >= 2, size) & (rows[:, 7] == 0)]
+        out = table(whole, rows[begin[:done][other]], (weight == 1)[:done][other].astype(np.int64))
+        if final:
+            return out, rows[:0], before
         keep = rows[begin[-1] : begin[-1] + 2].copy()
-        keep[:, 6] |= size[-1] >= 2  # all rows of a run of two or more have been given out
-        return table, keep, bool(alike[-1])
+        keep[:, 7] |= weight[-1] >= 2  # all rows of several alike have been given out
+        return out, keep, bool(alike[-1])
 
-    return found.repartition("least").sortWithinPartitions("least", "content").mapInArrow(run, "least long, content long, k1 long, k2 long, first int, last int")
+    spread = F.when(F.col("n") == 0, F.xxhash64("k1", "k2", "first")).otherwise(F.col("least"))
+    return found.repartition(spread).sortWithinPartitions("least", "content").mapInArrow(run, "least long, content long, k1 long, k2 long, first int, last int")
 
 
 def compare(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
