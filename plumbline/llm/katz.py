@@ -222,7 +222,7 @@ def deal(pairs: np.ndarray, number: np.ndarray, total: np.ndarray, hot: float, b
 
 
 def bigram_replies(both: DataFrame, words: Unigrams, hot: float, buckets: int) -> DataFrame:
-    """(block, bucket, a: training totals of the block's bigrams, b: sums by context) and rows of block -1 (counts of counts) and -2 (hot contexts' sums)."""
+    """(block, bucket, a: training totals of the block's bigrams, b: sums of the contexts c that need them) and rows of block -1 (counts of counts) and -2 (hot contexts' sums)."""
     def ask(rows):
         block, replies = rows[-1], rows[:-1]
         number, total = word_table(block, replies)
@@ -251,19 +251,20 @@ def bigram_replies(both: DataFrame, words: Unigrams, hot: float, buckets: int) -
         seen = count > 0
         np.add.at(sums, (of[seen], np.where(count[seen] > TOP, 0, count[seen])), np.where(count[seen] > TOP, count[seen], 1))
         sums[:, TOP + 1] = np.bincount(of[seen], mass[seen], len(contexts))
+        bare = sums[:, 1 : TOP + 1].sum(1) == 0  # nothing to discount: its occurrences alone don't tell the probabilities
         out, begin = [], 0
         for r, mine in zip(rows, c, strict=True):
             place = at[begin : begin + len(mine)]
             begin += len(mine)
-            asked = np.unique(mine)
-            out.append((r["block"], r["bucket"], packed(count[place]), packed(sums[np.searchsorted(contexts, asked)].ravel())))
-        out.append((-1, r["bucket"], packed(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)), b""))
+            asked = np.unique(mine[(count[place] == 0) | bare[ci[begin - len(mine) : begin]]])
+            out.append((r["block"], r["bucket"], packed(count[place]), packed(sums[np.searchsorted(contexts, asked)].ravel()), packed(asked)))
+        out.append((-1, r["bucket"], packed(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)), b"", b""))
         crowded = np.unique(np.concatenate([unpacked(r["x"], np.int64) for r in rows]))
-        out.append((-2, r["bucket"], packed(crowded), packed(sums[np.searchsorted(contexts, crowded)].ravel())))
+        out.append((-2, r["bucket"], packed(crowded), packed(sums[np.searchsorted(contexts, crowded)].ravel()), b""))
         return out
 
     asked = grouped(both, "block", ["kind", "bucket"], ask, "bucket long, block long, c binary, w binary, n binary, t binary, x binary")
-    return grouped(asked, "bucket", ["block"], work, "block long, bucket long, a binary, b binary")
+    return grouped(asked, "bucket", ["block"], work, "block long, bucket long, a binary, b binary, c binary")
 
 
 def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +302,7 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def joined(replies):
         """Per block: replies in the order of their buckets, kind by kind, and the block's own row last."""
-        parts = blocks.select("block", F.lit(9).alias("kind"), F.lit(0).cast("long").alias("bucket"), *columns, F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
+        parts = blocks.select("block", F.lit(9).alias("kind"), F.lit(0).cast("long").alias("bucket"), *columns, *(F.lit(None).cast("binary").alias(x) for x in "abc"))
         for k, r in enumerate(replies):
             parts = parts.unionByName(r.where("block >= 0").withColumn("kind", F.lit(k)), allowMissingColumns=True)
         return parts
@@ -327,14 +328,17 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         c, w, bucket, crowded, order = deal(pairs, number, total, hot, buckets)
         count = np.empty(len(pairs), np.int64)
         count[order] = np.concatenate([unpacked(r["a"], np.int64) for r in second])
-        size, weight = np.empty(len(pairs)), np.empty(len(pairs))
+        before = (pairs >> np.uint64(32)).astype(np.int64) - 1
+        size, weight = total[before].astype(float), np.ones(len(pairs))  # a trained word is a context as often as it occurs
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for r in second:
             p = order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
-            asked = np.unique(c[p])
-            s, a = backoff(unpacked(r["b"], np.float64).reshape(-1, TOP + 2), d)
-            k = np.searchsorted(asked, c[p])
-            size[p], weight[p] = s[k], a[k]
+            asked = unpacked(r["c"], np.int64)
+            if len(asked):
+                s, a = backoff(unpacked(r["b"], np.float64).reshape(-1, TOP + 2), d)
+                k = np.minimum(np.searchsorted(asked, c[p]), len(asked) - 1)
+                k, p = k[asked[k] == c[p]], p[asked[k] == c[p]]
+                size[p], weight[p] = s[k], a[k]
         s, a = backoff(crowd_sums, d)
         if crowded.any():
             k = np.searchsorted(names, c[crowded])
