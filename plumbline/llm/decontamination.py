@@ -137,7 +137,7 @@ def find(docs: DataFrame, key: str, text_col: str, items: list[tuple[str, str]],
         for batch in batches:
             counts, ranges, items, held, size = [], [], [], [], 0
             for t in [*batch.column(1), None]:
-                if held and (t is None or size > 4_000_000):
+                if held and (t is None or size > 1_000_000):
                     for out, x in zip((counts, ranges, items), block(held), strict=True):
                         out += x
                     held, size = [], 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import VOCABULARY, WordCoder, load, short_encoder, stable_parts, text_blocks
+from .tokens import VOCABULARY, WordCoder, short_encoder, stable_parts, text_blocks
 
 SIZE = 2048
 #: The share of the fitted repeats that is used; the rest leaves lengths of all kinds for the best-fit step.
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        coder = WordCoder(load(vocabulary), little_endian, short_encoder(vocabulary), vocabulary)
+        coder = WordCoder(None, little_endian, short_encoder(vocabulary), vocabulary)
         seen = [0] * (size + 1)
         end = b"\0\0\0\0"
         for batch in batches:

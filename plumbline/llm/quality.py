@@ -137,15 +137,12 @@ def grade_quality(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         weights, theta = shared.value
-        memory = process_memory()
-        for old in [k for k in memory if k[0] == "quality" and k[1] != run_id]:
-            del memory[old]
-        known = memory.setdefault(("quality", run_id), {})
+        known = process_memory(("quality", run_id))
         for batch in batches:
             scores = []
             for t in batch.column(2).to_pylist():
                 tokens = (t or "").split()
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known.clear()
                 for w in set(tokens):
                     if w not in known:

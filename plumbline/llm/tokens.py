@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.json"
 SPACE_BLANK = re.compile(r"\s ")
 #: Parts that a worker process remembers at most; the memory is cleared when full, results stay the same.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def load(vocabulary: str):
@@ -44,12 +44,18 @@ def load(vocabulary: str):
     return t
 
 
-def process_memory() -> dict:
-    """What this worker process keeps from task to task (the functions themselves arrive anew with each task)."""
+def process_memory(name: object) -> dict:
+    """What this worker process keeps from task to task for one purpose; another purpose's things go.
+
+    The functions themselves arrive anew with each task, so this can't be a global of theirs.
+    """
     import sys
     import types
 
-    return vars(sys.modules.setdefault("_corpus_memory", types.ModuleType("_corpus_memory"))).setdefault("kept", {})
+    own = vars(sys.modules.setdefault("_corpus_memory", types.ModuleType("_corpus_memory")))
+    if own.get("name") != name:
+        own["name"], own["kept"] = name, {}
+    return own["kept"]
 
 
 def stable_parts(text: str) -> list[str]:
@@ -97,8 +103,15 @@ class WordCoder:
     """Encodes stable parts, each distinct one once; `value` turns the list of ids into what is remembered."""
 
     def __init__(self, tokenizer, value: Callable[[list[int]], object], short=None, vocabulary: str = VOCABULARY):
-        self.tokenizer, self.value, self.short = tokenizer, value, short
-        self.known = process_memory().setdefault(("parts", vocabulary, value.__name__), {})
+        self.given, self.value, self.short, self.vocabulary = tokenizer, value, short, vocabulary
+        self.known = process_memory(("parts", vocabulary, value.__name__))
+
+    @property
+    def tokenizer(self):
+        """The tokenizer given, else one loaded when it is first needed."""
+        if self.given is None:
+            self.given = load(self.vocabulary)
+        return self.given
 
     def learn(self, texts: list[list[str]]) -> None:
         known = self.known
@@ -115,7 +128,7 @@ class WordCoder:
                 known[p] = self.value(e.ids)
 
 
-def text_blocks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of bounded size (one text at least): first row, texts; null counts as empty."""
     begin, held, size = 0, [], 0
     for i in range(len(column)):
@@ -178,8 +191,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays null; other columns are not read, so their names don't matter.
     """
     def run(batches):
-        tokenizer = load(vocabulary)
-        coder = WordCoder(tokenizer, len, short_encoder(vocabulary), vocabulary)
+        coder = WordCoder(None, len, short_encoder(vocabulary), vocabulary)
         for batch in batches:
             sizes, counts = [], []
             for _, texts in text_blocks(batch.column(1)):
@@ -188,7 +200,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 known = coder.known
                 for t, p in zip(texts, parts, strict=True):
                     sizes.append(len(t.encode()))
-                    counts.append(spliced_count(tokenizer, t, chunk, overlap) if len(t) > huge else sum(map(known.__getitem__, p)))
+                    counts.append(spliced_count(coder.tokenizer, t, chunk, overlap) if len(t) > huge else sum(map(known.__getitem__, p)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -144,21 +144,24 @@ def readings(token: str, costs: np.ndarray) -> tuple[str, ...]:
     return tuple(out)
 
 
-def words_of(text: str, costs: np.ndarray, known: dict) -> set[str]:
-    """The distinct words of a text, disguised ones restored."""
+def words_of(text: str, costs: np.ndarray, known: dict, wanted: dict | None = None) -> set[str]:
+    """The distinct words of a text, disguised ones restored; only wanted ones, if given (known is for one such set)."""
+    def some(words):
+        return tuple(words) if wanted is None else tuple(w for w in words if w in wanted)
+
     out: set[str] = set()
     for token in set(text.split()):
         got = known.get(token)
         if got is None:
-            if len(known) > 400_000:
+            if len(known) > (150_000 if wanted is not None else 60_000):
                 known.clear()
-            got = known[token] = readings(token, costs)
+            got = known[token] = some(readings(token, costs))
         out.update(got)
     for m in SPACED.finditer(text):
         run = re.sub(r"[ ._*-]+", " ", folded(m[0]))
         got = known.get(run)
         if got is None:
-            got = known[run] = tuple(set().union(*(begins(w) for w in restore(run, costs).split() if len(w) > 1)))
+            got = known[run] = some(set().union(*(begins(w) for w in restore(run, costs).split() if len(w) > 1)))
         out.update(got)
     return out
 
@@ -201,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, id_col: str, text
     def hits(batches):
         index, known = chosen.value, {}
         for batch in batches:
-            got = [sorted({index[w] for w in words_of(t or "", shared.value, known) if w in index}) for t in batch.column(1).to_pylist()]
+            got = [sorted({index[w] for w in words_of(t or "", shared.value, known, index)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(got, pa.list_(pa.int32()))], ["y", "at"])
 
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
@@ -244,13 +247,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         costs, weights, bias = shared.value
-        memory = process_memory()
-        name = ("toxic", run_id)
-        for old in [k for k in memory if k[0] == "toxic" and k != name]:
-            del memory[old]
-        known = memory.setdefault(name, {})
+        known = process_memory(("toxic", run_id))
         for batch in batches:
-            total = [bias + sum(weights[w] for w in words_of(t or "", costs, known) & weights.keys()) for t in batch.column(0).to_pylist()]
+            total = [bias + sum(weights[w] for w in words_of(t or "", costs, known, weights)) for begin in range(0, batch.num_rows, 500) for t in batch.column(0).slice(begin, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))))], names)
 
     others = [F.col(id_col).alias("c0"), crc_mod(id_col, 4).eqNullSafe(2).alias("c1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(keep or [], 2))]
