@@ -214,8 +214,8 @@ def verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     """node, other, links from tiles of the candidate groups; members: node, group, n, rep (a document), copies, set_key."""
     rule = Rule(percent)
     spark = members.sparkSession
-    # the texts of candidates alone become arrays of hashes
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(members, "rep").select("node", "group", "copies", "set_key", "n", "text")
+    # the texts of candidates alone become arrays of hashes; members grow with the input, so they are never broadcast
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "rep").select("node", "group", "copies", "set_key", "n", "text")
 
     def arrays(batches):
         import xxhash
