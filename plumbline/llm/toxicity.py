@@ -2,10 +2,12 @@
 
 * A character model (trigrams over a-z and word bounds) is counted over every
   whole text.
-* A word that holds digits or signs among its letters, long runs of one
-  letter, or comes letter by letter, becomes a lattice of what each character
-  may stand for; a Viterbi search takes the reading that the character model
-  and the costs of the disguise together find likeliest.
+* A word that holds digits or signs, alone or among its letters, long runs of
+  one letter, or comes letter by letter, becomes a lattice of what each
+  character may stand for; a Viterbi search takes the reading that the
+  character model and the costs of the disguise together find likeliest.
+  Words of any length and any share of digits are read; only a sign that
+  stands alone isn't.
 * Words that tell the labels apart are found on a bounded sample of labelled
   rows, and a logistic regression on their presence gives the score.
 """
@@ -15,6 +17,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,14 @@ BEGINS = (4, 5, 6, 7)
 #: Signs around a word that are no part of it.
 EDGE = "\"'#%&*.,;:?!()[]{}<>|/\\-_=+~^`$@…"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: One letter at a time, three or more.
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-]{1,2}[^\W_$@!]){2,}(?![^\W_])")
+#: What a reading can come from, and three or more of one letter.
+READABLE = {*LETTERS, *STANDS_FOR}
+RUNS = re.compile(r"([^\W\d_])\1\1")
+#: One letter at a time, three or more; then the same with signs that stand for letters among them.
+BETWEEN, ONE = "[ ._*-]{1,2}", rf"(?:[^\W_]|[{re.escape(''.join(STANDS_FOR))}])"
+LETTERED = re.compile(rf"(?<![^\W_])[^\W_](?:{BETWEEN}[^\W_]){{2,}}(?![^\W_])")
+SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:{BETWEEN}{ONE}){{2,}}(?![^\W_])")
+NEXT = re.compile(f"{BETWEEN}({ONE})")
 CODE = np.zeros(256, np.uint8)
 for _i, _c in enumerate(LETTERS):
     CODE[ord(_c)] = CODE[ord(_c.upper())] = _i + 1
@@ -76,42 +86,66 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(0.9 * tri + 0.08 * bi[None] + 0.015 * one[None, None] + 0.005 / 27).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+@cache
+def choices(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n (3 stands for more) of one character may stand for and the cost."""
+    if c in LETTERS:
+        return [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, DOUBLE)] if n == 2 else [(c * 2, RUN), (c, RUN)]
+    if c == " ":
+        return [("", BLANK), (" ", 1.0)]
+    out = [("", SEPARATOR if c in SEPARATORS else SIGN)]
+    for x in STANDS_FOR.get(c, ""):
+        price = SUBSTITUTE + (c in SEPARATORS)
+        out += [(x, price)] if n == 1 else [(x * 2, price), (x, price + (DOUBLE if n == 2 else RUN))]
+    return out
+
+
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of one character: what it may stand for (letters, maybe none or two) and the cost."""
-    out, i = [], 0
+    i = 0
     while i < len(token):
         c, j = token[i], i
         while j < len(token) and token[j] == c:
             j += 1
-        n, i = j - i, j
-        if c in LETTERS:
-            out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, DOUBLE)] if n == 2 else [(c * 2, RUN), (c, RUN)])
-        elif c == " ":
-            out.append([("", BLANK), (" ", 1.0)])
-        else:
-            out.append([("", SEPARATOR if c in SEPARATORS else SIGN)])
-            for x in STANDS_FOR.get(c, ""):
-                price = SUBSTITUTE + (c in SEPARATORS)
-                out[-1] += [(x, price)] if n == 1 else [(x * 2, price), (x, price + (DOUBLE if n == 2 else RUN))]
-    return out
+        if c in READABLE or c == " ":  # others add the same cost to all readings
+            yield choices(c, min(j - i, 3))
+        i = j
+
+
+def flat(costs: np.ndarray | list[float]) -> list[float]:
+    """The costs as one list, which is quicker to look up in."""
+    return costs if isinstance(costs, list) else costs.ravel().tolist()
 
 
-def restore(token: str, costs: np.ndarray) -> str:
+def restore(token: str, costs: np.ndarray | list[float]) -> str:
     """The likeliest reading of a token: words of a-z, blanks between them where letters were spaced."""
-    best = {(0, 0): (0.0, "")}
-    for choices in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
-            for letters, price in choices:
-                x, y, total = a, b, cost + price
+    def text(end):
+        back = []
+        while end is not None:
+            end, letters = end
+            back.append(letters)
+        return "".join(reversed(back))
+
+    costs, done, steps = flat(costs), [], 0
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last two letters: cost, and the letters as a chain
+    for some in lattice(token):
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for state, (cost, end) in best.items():
+            for letters, price in some:
+                x, total = state, cost + price
                 for c in letters:
-                    z = 0 if c == " " else ord(c) - 96
-                    total += float(costs[x, y, z])
-                    x, y = y, z
-                if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + letters)
-        best = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:BEAM])
-    return min((cost + float(costs[a, b, 0]), text) for (a, b), (cost, text) in best.items())[1]
+                    at = x * 27 + (0 if c == " " else ord(c) - 96)
+                    total += costs[at]
+                    x = at % 729
+                if x not in after or total < after[x][0]:
+                    after[x] = (total, (end, letters) if letters else end)
+        best = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda kv: kv[1][0])[:BEAM])
+        steps += 1
+        if steps > 1000 and len(best) == 1:  # all readings share what came so far
+            (state, (cost, end)), steps = *best.items(), 0
+            done.append(text(end))
+            best = {state: (cost, None)}
+    return "".join(done) + min((cost + costs[state * 27], text(end)) for state, (cost, end) in best.items())[1]
 
 
 def folded(token: str) -> str:
@@ -126,25 +160,25 @@ def begins(word: str) -> set[str]:
     return {word, *(word[:n] + "*" for n in BEGINS if len(word) >= n)}
 
 
-def readings(token: str, costs: np.ndarray) -> tuple[str, ...]:
+def readings(token: str, costs: np.ndarray | list[float]) -> tuple[str, ...]:
     """What a token says: its words and their beginnings as they stand and, if it looks disguised, words as restored."""
+    if token.isascii() and token.isalpha() and not RUNS.search(token.lower()):
+        return tuple(begins(token.lower()))
     plain = token.lower().strip(EDGE)
     out = set().union(*map(begins, [plain] if plain.isalpha() else [w for w in re.split(r"[\W_]+", plain) if w]))
     t = folded(token)
     core = t.strip(EDGE)
-    letters = sum(c in LETTERS for c in core)
     edges = t.strip("\"'#%&*.,;:?)[]{}<>/\\-_=~^`")  # keeps signs that may stand for letters
-    ends = len(edges) - len(core) in (1, 2)
-    run = re.search(r"([^\W\d_])\1\1", core)
-    if letters >= 2 and len(edges) <= 24 and (run or ends or not core.isalpha()) and sum(c.isdigit() for c in edges) <= 0.6 * len(edges):
-        for form in {core, edges} if ends else {core}:
-            out.update(*map(begins, restore(form, costs).split()))
-    elif not token.isascii():
+    if edges != core or not core.isalpha() or RUNS.search(core):
+        for form in {core, edges}:
+            if len(form) > 1 and not READABLE.isdisjoint(form):
+                out.update(*map(begins, restore(form, costs).split()))
+    if not token.isascii():
         out.update(begins(core))
     return tuple(out)
 
 
-def words_of(text: str, costs: np.ndarray, known: dict, wanted: dict | None = None) -> set[str]:
+def words_of(text: str, costs: np.ndarray | list[float], known: dict, wanted: dict | None = None) -> set[str]:
     """The distinct words of a text, disguised ones restored; only wanted ones, if given (known is for one such set)."""
     def some(words):
         return tuple(words) if wanted is None else tuple(w for w in words if w in wanted)
@@ -157,8 +191,11 @@ def words_of(text: str, costs: np.ndarray, known: dict, wanted: dict | None = No
                 known.clear()
             got = known[token] = some(readings(token, costs))
         out.update(got)
-    for m in SPACED.finditer(text):
-        run = re.sub(r"[ ._*-]+", " ", folded(m[0]))
+    spaced = {m[0] for m in SPACED.finditer(text)}
+    if any(c in STANDS_FOR and not c.isdigit() for x in spaced for c in x):  # letters alone are read too, signs beside them may be no part of the word
+        spaced.update(m[0] for m in LETTERED.finditer(text))
+    for x in spaced:
+        run = folded(" ".join([x[0], *NEXT.findall(x, 1)]))
         got = known.get(run)
         if got is None:
             got = known[run] = some(set().union(*(begins(w) for w in restore(run, costs).split() if len(w) > 1)))
@@ -196,15 +233,15 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, id_col: str, text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id")
 
     def words(batches):
-        known = {}
+        costs, known = flat(shared.value), {}
         for batch in batches:
-            got = [list(words_of(t or "", shared.value, known)) for t in batch.column(1).to_pylist()]
+            got = [list(words_of(t or "", costs, known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.string()))], ["id", "y", "words"])
 
     def hits(batches):
-        index, known = chosen.value, {}
+        index, costs, known = chosen.value, flat(shared.value), {}
         for batch in batches:
-            got = [sorted({index[w] for w in words_of(t or "", shared.value, known, index)}) for t in batch.column(1).to_pylist()]
+            got = [sorted({index[w] for w in words_of(t or "", costs, known, index)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(got, pa.list_(pa.int32()))], ["y", "at"])
 
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
@@ -247,6 +284,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         costs, weights, bias = shared.value
+        costs = flat(costs)
         known = process_memory(("toxic", run_id))
         for batch in batches:
             total = [bias + sum(weights[w] for w in words_of(t or "", costs, known, weights)) for begin in range(0, batch.num_rows, 500) for t in batch.column(0).slice(begin, 500).to_pylist()]

@@ -193,6 +193,27 @@ def test_restoring_reads_disguises():
     assert [toxicity.restore(t, costs) for t in ("m0r0n", "stuuupid", "1d10t", "l-o-s-e-r", "s t u p i d", "$tup1d")] == ["moron", "stupid", "idiot", "loser", "stupid", "stupid"]
 
 
+@pytest.mark.parametrize("disguise, word", [
+    ("st" + "u" * 21 + "pid", "stupid"), ("1d107", "idiot"), ("w0r7h1355", "worthless"), ("p47h371c", "pathetic"), ("$$$tupid", "stupid"), ("10$3r", "loser"), ("l o $ e r", "loser"), ("s t u p ! d", "stupid"), ("s t * p i d", "stupid"),
+    ("| s t u p i d |", "stupid"), ("s-t-u-p-i-d-" * 3 + "!", "stupidstupidstupid"), ("455", "ass"),
+])
+def test_any_disguise_is_read(disguise, word):
+    counts = np.zeros((27, 27, 27))
+    for w in ["the", "moron", "stupid", "stupidstupidstupid", "idiot", "loser", "river", "stone", "worthless", "pathetic", "ass"] * 50:
+        s = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            counts[a, b, c] += 1
+    costs = toxicity.character_costs(counts)
+    assert word in toxicity.words_of(f"river {disguise} stone", costs, {}, {word: 0})
+
+
+def test_restoring_long_words_is_whole():
+    costs = toxicity.character_costs(np.ones((27, 27, 27)))
+    text = "".join(random.Random(3).choices("bcdefg", k=20_000))
+    once = re.sub(r"(.)\1+", r"\1", text)
+    assert toxicity.restore(once, costs) == once
+
+
 def test_quality(spark):
     rows, labels = labelled(spark)
     docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "water")], "doc_id long, text string")
