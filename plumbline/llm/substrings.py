@@ -60,6 +60,7 @@ def segments(texts: list[bytes], length: int, gram: int):
     if len(t) < length:
         return none, none.view(np.uint64), none, none
     h = gram_hashes(t, gram)
+    assert len(h) <= 1 << PLACE, "a block's places must fit their bits"
     low = np.uint64((1 << PLACE) - 1)
     least = window_least((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     ends = np.cumsum([len(x) for x in texts])
@@ -162,6 +163,25 @@ def repeated(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [hit[e - s : e - length + 1] for s, e in zip(sizes, ends, strict=True)]
 
 
+def blocks(texts, length: int):
+    """Lists of (number, begin, bytes): the texts' pieces, as many as make a block and no more than PLACE bits tell apart.
+
+    Pieces of very long texts overlap by a window less one.
+    """
+    held, size, step = [], 0, min(8 * BLOCK, (1 << PLACE) - length + 1)
+    for i, text in enumerate(texts):
+        if len(text) >= length:
+            for begin in range(0, len(text) - length + 1, step):
+                piece = text[begin : begin + step + length - 1]
+                if held and (size > BLOCK or size + len(piece) > 1 << PLACE):
+                    yield held
+                    held, size = [], 0
+                held.append((i, begin, piece))
+                size += len(piece)
+    if held:
+        yield held
+
+
 def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows (least, content, k1, k2, first, last, n): segments, with hashes of their minimizer and of their bytes.
 
@@ -173,20 +193,8 @@ def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            held, size = [], 0
-            for i in range(batch.num_rows + 1):
-                if held and (i == batch.num_rows or size > BLOCK):
-                    yield from one(batch, held, digest)
-                    held, size = [], 0
-                if i < batch.num_rows:
-                    text = (batch.column(2)[i].as_py() or "").encode()
-                    if len(text) >= length:
-                        for begin in range(0, max(1, len(text) - length + 1), 8 * BLOCK):  # pieces of very long texts overlap by a window less one
-                            held.append((i, begin, text[begin : begin + 8 * BLOCK + length - 1]))
-                            size += len(held[-1][2])
-                            if size > BLOCK:
-                                yield from one(batch, held, digest)
-                                held, size = [], 0
+            for held in blocks(((batch.column(2)[i].as_py() or "").encode() for i in range(batch.num_rows)), length):
+                yield from one(batch, held, digest)
 
     def one(batch, held, digest):
         of, least, first, last = segments([x[2] for x in held], length, gram)

@@ -250,6 +250,23 @@ def test_repeats(docs, length, gram):
     assert got == sorted(brute_repeats(rows, length), key=key)
 
 
+def test_blocks_fit_the_bits_of_a_place(monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 500)
+    monkeypatch.setattr(substrings, "PLACE", 12)
+    rng = random.Random(11)
+    x = rng.randbytes(200)
+    parts = [rng.randbytes(480), rng.randbytes(3900) + x, x + rng.randbytes(100), rng.randbytes(9000), b"short"]
+    hashes, seen = {}, []
+    for held in substrings.blocks(parts, 40):
+        assert sum(len(piece) for _, _, piece in held) <= 1 << substrings.PLACE
+        for k, least, a, b in zip(*substrings.segments([piece for _, _, piece in held], 40, 10), strict=True):
+            i, begin, _ = held[k]
+            seen += [(i, w) for w in range(begin + a, begin + b + 1)]
+            hashes.update({(i, w): least for w in range(begin + a, begin + b + 1)})
+    assert sorted(seen) == [(i, w) for i, p in enumerate(parts) for w in range(len(p) - 39)]
+    assert all(hashes[1, 3900 + w] == hashes[2, w] for w in range(161))
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for alphabet in ([0, 1], [5, 5, 6], list(range(256))):
