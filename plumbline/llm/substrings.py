@@ -10,7 +10,9 @@
 3. Representatives are gathered by minimizer into buffers, whose suffixes are
    sorted in two stages: those smaller than their successor directly, all
    others by scanning the buckets of first bytes.  Neighbours in that order
-   with a common prefix of `length` bytes are repeats.
+   with a common prefix of `length` bytes are repeats.  Where a minimizer's
+   representatives would fill more than a buffer, their windows are dealt by
+   128 bits of hashes and equal ones are repeats: no task holds them together.
 4. Documents meet the runs of their repeated windows and lose those bytes.
 """
 
@@ -32,10 +34,10 @@ BLOCK, BUFFER = 2_000_000, 3_000_000
 PLACE = 24  # low bits of a gram's hash that hold its place in the block
 
 
-def gram_hashes(t: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(t: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the gram at each place of t (one fewer than gram at the end have none)."""
     n = len(t)
-    table = mixed(np.arange(1, 257, dtype=np.uint64))
+    table = mixed(np.arange(1, 257, dtype=np.uint64) + np.uint64(256 * seed))
     up, down = powers(BASE, n + 1), powers(pow(BASE, -1, 1 << 64), n + 1)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(table[t] * down[:n], out=run[1:])
@@ -269,37 +271,65 @@ def compare(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = (batch.column(2)[i].as_py() or "").encode()
+                k1, k2 = (batch.column(k)[i].as_py() for k in (0, 1))
                 mine = batch.column(3)[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["least"] for x in mine], pa.int64()), *(pa.array([batch.column(k)[i].as_py()] * len(mine), pa.int64()) for k in (0, 1)), pa.array([x["first"] for x in mine], pa.int32()), pa.array([x["content"] for x in mine], pa.int64()), pa.array([text[x["first"] : x["last"] + length] for x in mine], pa.binary())],
-                    ["least", "k1", "k2", "first", "alone", "bytes"],
-                )
+                cold = [x for x in mine if not x["hot"]]
+                if cold:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x["least"] for x in cold], pa.int64()), pa.array([0] * len(cold), pa.int64()), *(pa.array([k] * len(cold), pa.int64()) for k in (k1, k2)), pa.array([x["first"] for x in cold], pa.int32()), pa.array([x["content"] for x in cold], pa.int64()), pa.array([text[x["first"] : x["last"] + length] for x in cold], pa.binary())],
+                        names,
+                    )
+                for x in mine:
+                    if x["hot"]:  # its windows one by one
+                        t = np.frombuffer(text[x["first"] : x["last"] + length], np.uint8)
+                        n = x["last"] - x["first"] + 1
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(gram_hashes(t, length, seed).view(np.int64)) for seed in (1, 2)), *(pa.array(np.full(n, k, np.int64)) for k in (k1, k2)), pa.array(np.arange(x["first"], x["last"] + 1, dtype=np.int32)), pa.array(np.full(n, x["content"], np.int64)), pa.nulls(n, pa.binary())],
+                            names,
+                        )
 
     def run(batches):
-        held, size, now = [], 0, None
+        held, size, now, before, again = [], 0, None, None, False
         for batch in batches:
+            windows = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[6] is None:
+                    same = before is not None and row[:2] == before[:2]
+                    if same and not again and before[5]:
+                        windows.append(before)
+                    if same and row[5]:
+                        windows.append(row)
+                    before, again = row, same
+                    continue
                 if row[0] != now and size > BUFFER:  # a minimizer's rows stay together
                     yield done(held)
                     held, size = [], 0
                 now = row[0]
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
+            if windows:
+                yield spans([(r[2], r[3], r[4], r[4]) for r in windows])
         if held:
             yield done(held)
 
     def done(held):
         out = []
-        for (_, k1, k2, first, alone, _), hit in zip(held, repeated([r[5] for r in held], length), strict=True):
+        for (_, _, k1, k2, first, alone, _), hit in zip(held, repeated([r[6] for r in held], length), strict=True):
             if alone and hit.any():
                 edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
                 out += [(k1, k2, first + a, first + b - 1) for a, b in edge.reshape(-1, 2).tolist()]
+        return spans(out)
+
+    def spans(out):
         k1, k2, a, b = zip(*out, strict=True) if out else ((),) * 4
         return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["k1", "k2", "first", "last"])
 
-    by_text = reps.groupBy("k1", "k2").agg(F.collect_set(F.struct("least", "first", "last", "content")).alias("mine"))
-    pieces = docs.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "mine").mapInArrow(cut, "least long, k1 long, k2 long, first int, alone long, bytes binary")
-    return pieces.repartition("least").sortWithinPartitions("least").mapInArrow(run, "k1 long, k2 long, first int, last int")
+    names = ["least", "second", "k1", "k2", "first", "alone", "bytes"]
+    hot = reps.groupBy("least").agg(F.sum(F.col("last") - F.col("first") + length).alias("size")).where(F.col("size") > BUFFER).select("least", F.lit(True).alias("hot"))
+    marked = reps.join(F.broadcast(hot), "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # a row of hot stands for more than BUFFER bytes
+    by_text = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("least", "first", "last", "content", "hot")).alias("mine"))
+    pieces = docs.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "mine").mapInArrow(cut, "least long, second long, k1 long, k2 long, first int, alone long, bytes binary")
+    return pieces.repartition("least").sortWithinPartitions("least", "second").mapInArrow(run, "k1 long, k2 long, first int, last int")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -267,6 +267,27 @@ def test_blocks_fit_the_bits_of_a_place(monkeypatch):
     assert all(hashes[1, 3900 + w] == hashes[2, w] for w in range(161))
 
 
+def test_repeats_of_a_hot_minimizer_need_no_large_buffer(spark, monkeypatch):
+    rng = random.Random(12)
+    line = "".join(rng.choices("abcdefghij", k=90))
+    around = lambda n: "".join(rng.choices("klmnopqrstuvwxyz", k=n))
+    tails = [around(8) for _ in range(5)]  # some windows that hold the line are alike, most aren't
+    rows = [(i, around(60) + line + tails[i % 40] + around(60) if i % 40 < 5 else around(60) + line + around(60)) for i in range(400)]
+    rows += [(400, None), (None, rows[7][1])]
+    df = spark.createDataFrame(rows, SCHEMA.split(", lang")[0])
+    monkeypatch.setattr(substrings, "BUFFER", 2_000)
+    largest, sort = spark.sparkContext.accumulator(0), substrings.repeated
+
+    def counted(parts, length):
+        largest.add(sum(map(len, parts)) > 4_000)
+        return sort(parts, length)
+
+    monkeypatch.setattr(substrings, "repeated", counted)
+    got = table(substrings.remove_repeats(df, length=96, gram=20), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute_repeats(rows, 96), key=key)
+    assert largest.value == 0
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for alphabet in ([0, 1], [5, 5, 6], list(range(256))):
