@@ -12,7 +12,7 @@ STATE_FIPS = {
     "MD": "24", "MA": "25", "MI": "26", "MN": "27", "MS": "28", "MO": "29", "MT": "30", "NE": "31", "NV": "32", "NH": "33",
     "NJ": "34", "NM": "35", "NY": "36", "NC": "37", "ND": "38", "OH": "39", "OK": "40", "OR": "41", "PA": "42", "RI": "44",
     "SC": "45", "SD": "46", "TN": "47", "TX": "48", "UT": "49", "VT": "50", "VA": "51", "WA": "53", "WV": "54", "WI": "55",
-    "WY": "56",
+    "WY": "56", "AS": "60", "GU": "66", "MP": "69", "PR": "72", "VI": "78",
 }
 STATE_ALIASES = {"NB": "NE"}
 TRUE_FLAGS = ("Y", "YES", "TRUE", "1")

@@ -37,7 +37,10 @@ DEPARTMENT_WORDS = (
     "PD", "SO", "CO", "COUNTY SHERIFFS?", "SHERIFFS?", "PUBLIC SAFETY", "DPS", "MARSHALS?", "THE", "OF", "CITY OF", "TOWN OF",
     "VILLAGE OF", "BOROUGH OF", "TOWNSHIP OF", "UNIVERSITY OF", "STATE",
 )
-PLACE_WORDS = ("CITY", "TOWN", "VILLAGE", "BOROUGH", "TOWNSHIP", "CDP", "COUNTY", "PARISH", "MUNICIPALITY", "CHARTER", "OF", "THE")
+PLACE_WORDS = (
+    "CITY", "TOWN", "VILLAGE", "BOROUGH", "TOWNSHIP", "CDP", "MUNICIPALITY", "PLANTATION", "URBAN COUNTY", "METROPOLITAN GOVERNMENT",
+    "CONSOLIDATED GOVERNMENT", "GOVERNMENT", "UT", "CCD", "COUNTY", "PARISH", "CENSUS AREA", "PLANNING REGION", "BALANCE", "METRO",
+)
 
 
 def classify(name: Column, label: Column, rules: Sequence[tuple[str, str]] = AGENCY_RULES, labels: dict[str, str] | None = None) -> Column:

@@ -84,6 +84,11 @@ def pick_source(df: DataFrame, keys: Sequence[str], source: str, precedence: Seq
     return _ranked(df.withColumn("_p", F.when(rank == 0, len(precedence) + 1).otherwise(rank)), keys, [F.asc("_p"), F.asc(source)]).drop("_p")
 
 
+def append_basis(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows of two bases of one measure; a column that one lacks (the margin of an estimate) is null there."""
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def unpivot_years(df: DataFrame, ids: Sequence[str], prefix: str, value: str = "population") -> DataFrame:
     """Wide year columns (prefix and year) to rows; missing values have no row."""
     wide = [c for c in df.columns if c.startswith(prefix)]
@@ -105,7 +110,7 @@ def apportioned_balance(places: DataFrame, counties: DataFrame, bridge: DataFram
 
 
 # Meaning of the flag on a reported amount.
-AMOUNT_FLAGS = {"R": "reported", "I": "imputed", "E": "estimated", "A": "adjusted"}
+AMOUNT_FLAGS = {"R": "reported", "I": "imputed", "S": "alternative_source", "A": "analyst_correction"}
 
 
 def finance(amounts: DataFrame, units: DataFrame, flags: dict[str, str] = AMOUNT_FLAGS) -> DataFrame:
@@ -115,16 +120,17 @@ def finance(amounts: DataFrame, units: DataFrame, flags: dict[str, str] = AMOUNT
     return latest_wins(out, ["gov_id", "data_year", "item"], "file_year", "amount", "flag")
 
 
-def monthly_to_annual(df: DataFrame, keys: Sequence[str], period: str, value: str, need: int = 12, cutoff: int | None = None) -> DataFrame:
+def monthly_to_annual(df: DataFrame, keys: Sequence[str], period: str, value: str, need: int = 12, cutoff: int | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """Monthly values (period MM-YYYY) to years: sum, months really there, and reported or partial_year.
 
     Null months don't count, periods of another form are skipped, a year
-    without a month has no row, years behind the cutoff are dropped.
+    without a month has no row, years behind the cutoff are dropped.  `also`:
+    further aggregates of the year, by name.
     """
     year = F.when(F.col(period).rlike("^[0-9]{2}-[0-9]{4}$"), F.substring(period, 4, 4).cast("int"))
     out = df.where(F.col(value).isNotNull()).withColumn("data_year", year).where("data_year is not null")
     out = out.where(F.col("data_year") <= cutoff) if cutoff is not None else out
-    out = out.groupBy(*keys, "data_year").agg(F.bround(F.sum(value), 0).cast("long").alias("total"), F.count_distinct(period).cast("int").alias("months_reported"))
+    out = out.groupBy(*keys, "data_year").agg(F.bround(F.sum(value), 0).cast("long").alias("total"), F.count_distinct(period).cast("int").alias("months_reported"), *(c.alias(name) for name, c in (also or {}).items()))
     return out.withColumn("value_type", F.when(F.col("months_reported") >= need, "reported").otherwise("partial_year"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.measures import haversine_km, token_set_ratio
 
 # Thresholds of the cascade.
@@ -51,8 +52,8 @@ def link(entities: DataFrame, targets: DataFrame, at: Thresholds = Thresholds())
         F.when(near, 0.98).otherwise(0.5).alias("score"), F.when(near, "accepted").otherwise("needs_review").alias("review_status"),
     )
     rest = entities.join(exact.select("entity_id").distinct(), "entity_id", "left_anti")
-    names = rest.select("block", "norm_name").distinct().join(t.select("block", "t_name").distinct(), "block").withColumn("like", token_set_ratio(F.col("norm_name"), F.col("t_name")))
-    pairs = rest.join(names.where(F.col("like") >= min(at.review_score, at.nearest_score)), ["block", "norm_name"]).join(t, ["block", "t_name"]).withColumn("km", _distance())
+    likes = rest.select("block", "norm_name").distinct().join(t.select("block", "t_name").distinct(), "block").withColumn("like", token_set_ratio(F.col("norm_name"), F.col("t_name")))
+    pairs = rest.join(likes.where(F.col("like") >= min(at.review_score, at.nearest_score)), ["block", "norm_name"]).join(t, ["block", "t_name"]).withColumn("km", _distance())
     top = _best(pairs, F.desc("like"), F.asc_nulls_last("km"))
     within = lambda km: F.col("km").isNull() | (F.col("km") <= km)
     accepted = (F.col("like") >= at.accept_score) & within(at.accept_km)
@@ -76,10 +77,64 @@ def rule_links(entities: DataFrame, states: DataFrame, statewide: list[str]) ->
     return some.select("entity_id", "target_id", F.when(there, "type_rule").otherwise("none").alias("method"), F.when(there, 1.0).otherwise(0.0).alias("score"), F.when(there, "accepted").otherwise("unmatched").alias("review_status"))
 
 
-def nearest(left: DataFrame, right: DataFrame, block: str, most_km: float) -> DataFrame:
-    """entity_id, target_id, km: the nearest target of the block within most_km."""
-    r = right.select(F.col(block), "target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    return _best(left.join(r, block).withColumn("km", _distance()).where(F.col("km") <= most_km), F.asc("km")).select("entity_id", "target_id", "km")
+#: Kilometres of a degree of latitude, a little short.
+DEGREE_KM = 111.0
+
+
+def _cells(lat: Column, lon: Column, most_km: float, row: Column) -> Column:
+    """The cell of a point in a row of latitude, cut into cells no narrower than most_km anywhere in the row and its neighbours."""
+    step = most_km / DEGREE_KM
+    widest = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * step + step, F.lit(90.0))
+    n = F.greatest(F.floor(F.lit(360.0) * F.cos(F.radians(widest)) / F.lit(step)), F.lit(1)).cast("int")
+    return F.struct(F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("int"), n).alias("at"), n.alias("n"))
+
+
+def nearest(left: DataFrame, right: DataFrame, block: str, most_km: float, others: bool = False) -> DataFrame:
+    """entity_id, target_id, km: the nearest target of the block within most_km (others: not the entity itself).
+
+    Points meet in cells of a grid of most_km: a target goes to the nine cells
+    around it, so a block's points are never compared all with all.
+    """
+    step = most_km / DEGREE_KM
+    row = lambda lat: F.floor(F.col(lat) / F.lit(step)).cast("int")
+    own = left.where("lat is not null and lon is not null").withColumn("_row", row("lat"))
+    own = own.withColumn("_at", _cells(F.col("lat"), F.col("lon"), most_km, F.col("_row"))["at"])
+    r = right.where("lat is not null and lon is not null").select(F.col(block), "target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    r = r.withColumn("_row", F.explode(F.array(*(row("t_lat") + d for d in (-1, 0, 1))))).withColumn("_c", _cells(F.col("t_lat"), F.col("t_lon"), most_km, F.col("_row")))
+    r = r.withColumn("_at", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("_c.at") + d, F.col("_c.n")) for d in (-1, 0, 1)))))).drop("_c")
+    met = own.join(r, [block, "_row", "_at"]).withColumn("km", _distance()).where(F.col("km") <= most_km)
+    met = met.where(F.col("entity_id") != F.col("target_id")) if others else met
+    return _best(met, F.asc("km")).select("entity_id", "target_id", "km")
+
+
+def municipalities(geo: DataFrame, town_states: tuple[str, ...]) -> DataFrame:
+    """The places that govern: county subdivisions where towns do (town_states), incorporated places elsewhere."""
+    towns = F.col("state").isin(*town_states)
+    return geo.where(F.col("state").isNotNull() & F.when(towns, F.col("geo_level") == "cousub").otherwise(F.col("geo_level") == "place"))
+
+
+def county_links(entities: DataFrame, counties: DataFrame, at: Thresholds = Thresholds()) -> DataFrame:
+    """One row for each entity (entity_id, state, county_name, name): its county among counties (target_id, state, name).
+
+    In order: the one county of the state with the same normal name; the
+    likeliest by likeness of names if good enough (the entity's own name where
+    it has no county's); else the state, for review.
+    """
+    named = entities.withColumn("norm", names.normalize_place(F.when(F.trim(F.coalesce("county_name", F.lit(""))) == "", F.col("name")).otherwise(F.col("county_name")))).withColumn("given", F.trim(F.coalesce("county_name", F.lit(""))) != "")
+    c = counties.select("target_id", "state", names.normalize_place(F.col("name")).alias("c_norm"))
+    same = c.groupBy("state", F.col("c_norm").alias("norm")).agg(F.count("*").alias("n"), F.min("target_id").alias("target_id"))
+    exact = named.where("given").join(same.where("n = 1"), ["state", "norm"]).select("entity_id", "target_id", F.lit("exact_county_name").alias("method"), F.lit(1.0).alias("score"))
+    rest = named.join(exact.select("entity_id"), "entity_id", "left_anti")
+    # likeness of distinct names of a state; of counties with one name, the one with the smallest id
+    likes = rest.select("state", "norm").distinct().join(same.select("state", F.col("norm").alias("c_norm"), "target_id"), "state").withColumn("like", token_set_ratio(F.col("norm"), F.col("c_norm"))).where(F.col("like") >= at.accept_score)
+    top = likes.groupBy("state", "norm").agg(F.max_by(F.struct("target_id", "like"), F.struct("like", F.col("c_norm") == F.col("norm"))).alias("b")).select("state", "norm", F.col("b.target_id").alias("target_id"), (F.col("b.like") / 100).alias("score"))
+    fuzzy = rest.join(top, ["state", "norm"]).select("entity_id", "target_id", F.when(F.col("given"), "fuzzy_county_name").otherwise("fuzzy_entity_name").alias("method"), "score")
+    out = entities.select("entity_id", "state").join(exact.unionByName(fuzzy), "entity_id", "left")
+    lost = F.col("method").isNull()
+    return out.select(
+        "entity_id", F.when(lost, F.concat(F.lit("state:"), "state")).otherwise(F.col("target_id")).alias("target_id"), F.coalesce("method", F.lit("state_fallback")).alias("method"),
+        F.coalesce("score", F.lit(0.2)).alias("score"), F.when(lost, "needs_review").otherwise("accepted").alias("review_status"), F.when(lost, "no county of this name").alias("note"),
+    )
 
 
 def disambiguate(records: DataFrame, candidates: DataFrame, least: float = 85.0, margin: float = 20.0, primary: str = "00") -> tuple[DataFrame, DataFrame]:

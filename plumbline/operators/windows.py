@@ -27,10 +27,17 @@ def latest_value(df: DataFrame, key: str, period: str, value: str) -> DataFrame:
 
 
 def percentile_below(df: DataFrame, cohort: Sequence[str], column: str, digits: int = 1) -> DataFrame:
-    """Share of the cohort strictly below, in percent: (rank - 1) / size * 100."""
-    rank = F.rank().over(Window.partitionBy(*cohort).orderBy(column))
-    size = F.count("*").over(Window.partitionBy(*cohort))
-    return df.where(F.col(column).isNotNull()).withColumns({"percentile": F.bround((rank - 1).cast("double") / size * 100, digits), "cohort_size": size})
+    """Share of the cohort strictly below, in percent: (rank - 1) / size * 100; rows without a value are left out.
+
+    Values are counted first, so what one task ranks is a cohort's distinct
+    values, not its rows.
+    """
+    there = df.where(F.col(column).isNotNull())
+    counts = there.groupBy(*cohort, column).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*cohort)
+    placed = counts.withColumns({"_below": F.sum("_c").over(w.orderBy(column)) - F.col("_c"), "cohort_size": F.sum("_c").over(w)})
+    percentile = F.bround(F.col("_below").cast("double") / F.col("cohort_size") * 100, digits).alias("percentile")
+    return there.join(placed.drop("_c"), [*cohort, column]).select(*df.columns, percentile, "cohort_size")
 
 
 def index_to_base(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:

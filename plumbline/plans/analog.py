@@ -53,10 +53,8 @@ class Analog:
 
     @cached_property
     def crime(self) -> DataFrame:
-        keys = ["suppkey", "offense_group"]
-        offenses = monthly_to_annual(self.monthly, keys, "period", "n").withColumnRenamed("total", "offenses")
-        cleared = self.monthly.groupBy(*keys, F.substring("period", 4, 4).cast("int").alias("data_year")).agg(F.sum("cleared").alias("clearances"))
-        return offenses.join(cleared, [*keys, "data_year"]).select(F.lpad(F.col("suppkey").cast("string"), 9, "0").alias("entity_id"), "data_year", "offense_group", "offenses", "clearances", "months_reported", "value_type", F.lit("monthly").alias("source"))
+        offenses = monthly_to_annual(self.monthly, ["suppkey", "offense_group"], "period", "n", also={"clearances": F.sum("cleared")}).withColumnRenamed("total", "offenses")
+        return offenses.select(F.lpad(F.col("suppkey").cast("string"), 9, "0").alias("entity_id"), "data_year", "offense_group", "offenses", "clearances", "months_reported", "value_type", F.lit("monthly").alias("source"))
 
     @cached_property
     def staffing(self) -> DataFrame:

@@ -62,7 +62,7 @@ def peers(ay: DataFrame, entity_id: str, year: int, metric: str) -> DataFrame:
     members = pool.join(F.broadcast(subject), (F.col("kind") == F.col("s_kind")) & (F.col("band") == F.col("s_band")) & (F.coalesce("urbanicity", F.lit("")) == F.col("s_urb")))
     q = F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = members.groupBy("subject_id").agg(F.count("*").alias("cohort_size"), F.count_if(F.col(m) < F.col("s_value")).alias("below"), q.alias("_q"))
-    areas = pool.join(F.broadcast(subject.select("subject_id", "s_state"))).groupBy("subject_id").agg(F.median(F.when(F.col("state") == F.col("s_state"), F.col(m))).alias("state_median"), F.median(m).alias("national_median"))
+    areas = pool.join(F.broadcast(subject.select("subject_id", "s_state", F.lit(year).alias("data_year"))), "data_year").groupBy("subject_id").agg(F.median(F.when(F.col("state") == F.col("s_state"), F.col(m))).alias("state_median"), F.median(m).alias("national_median"))
     out = subject.join(stats, "subject_id", "left").join(areas, "subject_id", "left")
     n = F.coalesce("cohort_size", F.lit(0))
     return out.select(
@@ -131,3 +131,43 @@ def adhoc(tables: dict[str, DataFrame], sql: str):
     """Any SQL over the warehouse's tables."""
     register_views(tables)
     return next(iter(tables.values())).sparkSession.sql(sql)
+
+
+def state_profile(ay: DataFrame, state: str, year: int, most: int = 10) -> dict[str, DataFrame]:
+    """A state's summary by year, its kinds and its largest entities of a year."""
+    own = ay.where(F.col("state") == state)
+    now = own.where(F.col("data_year") == year)
+    return {
+        "trend": own.groupBy("data_year").agg(F.sum("violent_offenses").alias("offenses"), F.sum("denominator").alias("population")), "composition": A.share_of_total(now, "kind", "sworn"),
+        "largest": now.orderBy(F.desc_nulls_last("denominator"), "entity_id").limit(most), "quality": A.status_pivot(now, ["kind"], "coverage", ["COMPLETE", "PARTIAL", "NONE", "UNKNOWN"]),
+    }
+
+
+def entity_coverage(ay: DataFrame, log: DataFrame, entity_id: str) -> dict[str, DataFrame]:
+    """An entity's years with what was reported and why a rate is withheld, and its findings in the log."""
+    years = ay.where(F.col("entity_id") == entity_id).select("entity_id", "data_year", "violent_months_reported", "coverage", "violent_rate_allowed", "violent_withheld")
+    return {"years": years, "flags": log.where(F.col("entity_id") == entity_id)}
+
+
+def coverage_detail(ay: DataFrame, year: int, state: str | None = None, status: str | None = None, most: int = 200) -> DataFrame:
+    """The largest entities of a year, state and coverage status."""
+    out = ay.where(F.col("data_year") == year)
+    for column, value in (("state", state), ("coverage", status)):
+        out = out.where(F.col(column) == value) if value else out
+    return out.orderBy(F.desc_nulls_last("denominator"), "entity_id").limit(most)
+
+
+def flag_detail(log: DataFrame, entity: DataFrame, check_id: str, most: int = 200) -> DataFrame:
+    """A check's latest findings with the entities' names."""
+    some = log.where(F.col("check_id") == check_id).orderBy(F.desc_nulls_last("data_year"), "entity_id", "observed").limit(most)
+    return some.join(entity.select("entity_id", "name", "state"), "entity_id", "left")
+
+
+def sources(registry: DataFrame, usage: DataFrame) -> DataFrame:
+    """The registry's sources with how many observations the tables have of each."""
+    return registry.join(usage.select("source", "observations"), "source", "left").fillna(0, ["observations"])
+
+
+def release(ay: DataFrame, release_id: str, periods: dict[str, Column]) -> DataFrame:
+    """The release and the latest year of each measure."""
+    return A.latest_periods(ay, "data_year", periods).select(F.lit(release_id).alias("release_id"), "*")

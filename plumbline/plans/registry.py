@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import codes, measures, names, policy
 from ..operators import aggregates as A
@@ -14,8 +15,8 @@ from ..operators import linkage as L
 from ..operators import quality as V
 from ..operators import reconcile as K
 from ..operators import windows as W
-from ..sources import fixed_width
-from . import analog, published
+from ..sources import delimited, fixed_width, records, sinks
+from . import analog, faulty, published
 from .analog import Analog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +38,6 @@ def r6(c: str, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
 
-def tables_of(a: Analog) -> dict[str, DataFrame]:
-    nation = a.read("nation").select(F.col("n_name").alias("state"))
-    return {"entity": a.entity, "nation": nation, "population": a.population, "crime": a.crime, "staffing": a.staffing, "agency_year": a.agency_year}
-
-
 # --- flagship: the count survives, the rate is withheld with a reason ------------------------------------------------
 
 PUBLISHED = ["entity_id", "data_year", "violent_offenses", "violent_months_reported", "denominator", "denominator_basis", "denominator_type", "confidence", "coverage", "violent_rate_allowed", "violent_withheld"]
@@ -61,7 +57,9 @@ ORDER_LAYOUT = {"record_type": (0, 1), "key": (1, 13), "status": (13, 14), "pric
 def fixed_width_scan(a):
     kind = F.when(F.col("o_orderkey") % 7 != 0, "5").otherwise("1")
     line = fixed_width.render(ORDER_LAYOUT, 50, {"record_type": (kind, False), "key": (F.col("o_orderkey"), True), "status": (F.col("o_orderstatus"), False), "price": (F.floor("o_totalprice").cast("long"), True), "year2": (F.date_format("o_orderdate", "yy"), False), "priority": (F.col("o_orderpriority"), False)})
-    got = fixed_width.parse(a.read("orders").select(line.alias("value")), ORDER_LAYOUT, ("key", "price"), 50, lambda c: c.startswith("5"))
+    path = sinks.landing_folder(a.spark)
+    a.read("orders").select(line.alias("value")).write.option("encoding", "ISO-8859-1").text(path)
+    got = fixed_width.read_fixed_width(a.spark, path, ORDER_LAYOUT, numbers=("key", "price"), least=50, where=lambda c: c.startswith("5"))
     return got.select("key", "status", "price", fixed_width.full_year(F.col("year2")).alias("data_year"), "priority")
 
 
@@ -71,7 +69,9 @@ def finance_amounts(a):
     sums = a.read("lineitem").groupBy("l_suppkey", "l_returnflag", item.alias("item"), F.year("l_shipdate").alias("y"), "l_linestatus").agg(F.sum(F.floor("l_extendedprice")).cast("long").alias("amount"))
     signed = F.when(F.col("l_returnflag") == "A", -F.col("amount")).otherwise(F.col("amount"))
     line = fixed_width.render(fixed_width.FINANCE_AMOUNTS, 32, {"gov_id": (F.lpad(F.col("l_suppkey").cast("string"), 12, "0"), False), "item": (F.col("item"), False), "amount": (signed, True), "data_year": (F.col("y"), False), "flag": (F.col("l_linestatus"), False)})
-    return fixed_width.parse(sums.select(line.alias("value")), fixed_width.FINANCE_AMOUNTS, ("amount", "data_year"), 32, signed=True).where(F.col("item").isin("E62", "F62"))
+    path = sinks.landing_folder(a.spark)
+    sums.select(line.alias("value")).write.text(path)
+    return fixed_width.read_finance_amounts(a.spark, path, ["E62", "F62"]).select("gov_id", "item", "amount", "data_year", "flag")
 
 
 @query("s3_unit_directory", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS gov_id, s_name AS name, n_name AS county, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS place_code FROM supplier JOIN nation ON s_nationkey = n_nationkey", prefix=False)
@@ -79,7 +79,9 @@ def unit_directory(a):
     s = a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     short = {k: v for k, v in fixed_width.UNIT_DIRECTORY.items() if k in ("gov_id", "name", "county", "place_code")}
     line = F.rtrim(fixed_width.render(short, 116, {"gov_id": (F.lpad(F.col("s_suppkey").cast("string"), 12, "0"), False), "name": (F.col("s_name"), False), "county": (F.col("n_name"), False), "place_code": (F.lpad(F.col("s_nationkey").cast("string"), 5, "0"), False)}))
-    return fixed_width.parse(s.select(line.alias("value")), short, pad_to=146)
+    path = sinks.landing_folder(a.spark)
+    s.select(line.alias("value")).write.text(path)
+    return fixed_width.read_unit_directory(a.spark, path).select(*short)
 
 
 @query("s10_monthly_json", "SELECT suppkey, offense_group, period, CAST(n AS DOUBLE) AS value FROM monthly")
@@ -87,7 +89,10 @@ def monthly_json(a):
     counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("period", "n"))))
     body = F.to_json(F.struct(F.struct(F.create_map(F.lit("X Offenses"), counts).alias("actuals")).alias("offenses")))
     raw = a.monthly.groupBy("suppkey", "offense_group").agg(body.alias("body"))
-    parsed = C.pick_series(C.monthly_json(raw, ["suppkey", "offense_group"], "body"), ["suppkey", "offense_group"], " Offenses")
+    path = sinks.landing_folder(a.spark)
+    raw.write.option("compression", "gzip").json(path)
+    landed = records.read_json(a.spark, path, "suppkey long, offense_group string, body string")
+    parsed = C.pick_series(C.monthly_json(landed, ["suppkey", "offense_group"], "body"), ["suppkey", "offense_group"], " Offenses")
     return parsed.select("suppkey", "offense_group", "period", "value")
 
 
@@ -182,9 +187,10 @@ def reporting(a):
     return C.first_wins(a.read("orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", codes.to_flag(flag).alias("participated"))
 
 
-@query("c14_unpivot_years", "SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS data_year, CAST(sum(l_quantity) AS BIGINT) AS population FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2", prefix=False)
+@query("c14_unpivot_years", "SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS data_year, CAST(sum(l_quantity) AS BIGINT) AS population FROM lineitem GROUP BY 1, 2", prefix=False)
 def unpivot(a):
-    wide = a.read("lineitem").groupBy("l_suppkey").agg(*[F.sum(F.when(F.year("l_shipdate") == y, F.col("l_quantity"))).cast("long").alias(f"POPESTIMATE{y}") for y in range(1995, 2001)])
+    years = sorted(r[0] for r in a.read("lineitem").select(F.year("l_shipdate")).distinct().collect())  # one row a year
+    wide = a.read("lineitem").groupBy("l_suppkey").agg(*[F.sum(F.when(F.year("l_shipdate") == y, F.col("l_quantity"))).cast("long").alias(f"POPESTIMATE{y}") for y in years])
     return C.unpivot_years(wide, ["l_suppkey"], "POPESTIMATE")
 
 
@@ -195,7 +201,7 @@ def unpivot(a):
    UNION ALL SELECT (s_nationkey + 1) % 25, l_suppkey, CAST(year(l_shipdate) AS INT), sum(l_quantity) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 4 = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2) i ON i.county = c.n_nationkey AND i.iy = y.data_year""", prefix=False)
 def balance(a):
     s, li = a.read("supplier"), a.read("lineitem")
-    q = li.join(F.broadcast(s), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey", "s_suppkey", F.year("l_shipdate").alias("data_year")).agg(F.sum("l_quantity").cast("long").alias("population"))
+    q = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey", "s_suppkey", F.year("l_shipdate").alias("data_year")).agg(F.sum("l_quantity").cast("long").alias("population"))
     geo = lambda c: codes.pad(c, 5)
     counties = q.groupBy("s_nationkey", "data_year").agg(F.sum("population").alias("population")).select(geo(F.col("s_nationkey")).alias("geo"), "data_year", "population")
     places = q.select(F.col("s_suppkey").cast("string").alias("geo"), "data_year", "population")
@@ -204,11 +210,17 @@ def balance(a):
     return C.apportioned_balance(places, counties, bridge)
 
 
-@query("c18_finance_fact", "SELECT l_suppkey, CAST(year(l_shipdate) AS INT) AS data_year, l_returnflag AS item, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS amount, CASE l_returnflag WHEN 'R' THEN 'reported' WHEN 'A' THEN 'adjusted' ELSE 'unknown' END AS value_type, year(l_shipdate) % 5 = 2 AS is_cog_year, s_name AS unit FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey, year(l_shipdate), l_returnflag, s_name", prefix=False)
+@query("c18_finance_fact", f"SELECT gov_id, data_year, item, amount, value_type, is_cog_year, unit FROM {faulty.FINANCE_SQL}", prefix=False)
 def finance(a):
-    amounts = a.read("lineitem").groupBy(F.col("l_suppkey").alias("gov_id"), F.year("l_shipdate").alias("data_year"), F.col("l_returnflag").alias("item")).agg(F.sum(F.floor("l_extendedprice")).cast("long").alias("amount")).withColumns({"flag": F.col("item"), "file_year": F.col("data_year")})
-    units = a.read("supplier").select(F.col("s_suppkey").alias("gov_id"), F.col("s_name").alias("unit"), F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("file_year"))
-    return C.finance(amounts, units).select(F.col("gov_id").alias("l_suppkey"), "data_year", "item", "amount", "value_type", "is_cog_year", "unit")
+    return faulty.finance(a).select("gov_id", "data_year", "item", "amount", "value_type", "is_cog_year", "unit")
+
+
+@query("m15_police_spending", f"SELECT s_nationkey, data_year, CAST(sum(CASE WHEN item = 'E62' THEN amount END) AS BIGINT) AS operations, CAST(sum(CASE WHEN item = 'F62' THEN amount END) AS BIGINT) AS construction, round(CASE WHEN sum(amount) > 0 THEN CAST(sum(CASE WHEN item = 'E62' THEN amount END) AS DOUBLE) / sum(amount) END, 6) AS share_of_all FROM {faulty.FINANCE_SQL} GROUP BY 1, 2", prefix=False)
+def spending(a):
+    """Operations and construction, and the share of all amounts that are there."""
+    of = lambda item: F.sum(F.when(F.col("item") == item, F.col("amount")))
+    sums = faulty.finance(a).groupBy("s_nationkey", "data_year").agg(of("E62").alias("operations"), of("F62").alias("construction"), F.sum("amount").alias("all"))
+    return sums.select("s_nationkey", "data_year", "operations", "construction", F.round(measures.safe_ratio(F.col("operations"), F.col("all")), 6).alias("share_of_all"))
 
 
 @query("c20_monthly_to_annual", "SELECT entity_id, data_year, offense_group, offenses, clearances, months_reported, value_type FROM crime")
@@ -294,9 +306,9 @@ def star(a):
     return a.base.select("entity_id", "data_year", "violent_offenses", "violent_clearances", "violent_months_reported", "property_offenses", "denominator", "sworn", "total")
 
 
-@query("j5_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", prefix=False)
+@query("j5_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", prefix=False)
 def anti(a):
-    return a.read("customer").join(a.read("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return a.read("customer").join(a.read("orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j7_semi_join", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)", prefix=False)
@@ -311,10 +323,9 @@ def inner(a):
 
 
 @query("j13_nearest", """SELECT entity_id, target_id, round(km, 6) AS km FROM (SELECT entity_id, target_id, km, row_number() OVER (PARTITION BY entity_id ORDER BY km, target_id) AS r FROM (SELECT a.entity_id, b.entity_id AS target_id,
- 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM entity a JOIN entity b ON a.state = b.state WHERE a.suppkey % 2 = 1 AND b.suppkey % 2 = 0) WHERE km <= 500) WHERE r = 1""")
+ 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM entity a JOIN entity b ON a.state = b.state AND a.entity_id <> b.entity_id) WHERE km <= 500) WHERE r = 1""")
 def near(a):
-    odd, even = a.entity.where("suppkey % 2 = 1"), a.entity.where("suppkey % 2 = 0").withColumnRenamed("entity_id", "target_id")
-    return L.nearest(odd, even, "state", 500.0).select("entity_id", "target_id", r6("km"))
+    return L.nearest(a.entity, a.entity.withColumnRenamed("entity_id", "target_id"), "state", 500.0, others=True).select("entity_id", "target_id", r6("km"))
 
 
 # --- linkage ----------------------------------------------------------------------------------------------------------
@@ -326,19 +337,20 @@ def statewide(a):
     return L.rule_links(a.entity, states, ["state_police"])
 
 
-@query("r4_exact_name_links", """SELECT e.p_partkey AS entity_id, CASE WHEN n = 1 THEN lo WHEN n > 1 THEN NULL END AS only_target, coalesce(n, 0) AS n FROM part e LEFT JOIN (SELECT p_brand AS b, p_name AS m, count(*) AS n, min(p_partkey) AS lo FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2) t ON t.b = e.p_brand AND t.m = e.p_name WHERE e.p_partkey % 2 = 1""", prefix=False)
+@query("r4_exact_name_links", """SELECT e.p_partkey AS entity_id, CASE WHEN n = 1 THEN lo WHEN n > 1 THEN NULL END AS only_target, coalesce(n, 0) AS n FROM part e LEFT JOIN (SELECT p_brand AS b, p_name AS m, count(*) AS n, min(p_partkey) AS lo FROM part GROUP BY 1, 2) t ON t.b = e.p_brand AND t.m = CASE WHEN e.p_partkey % 5 = 0 THEN e.p_name || ' ANNEX' ELSE e.p_name END""", prefix=False)
 def exact_links(a):
     p = a.read("part")
-    odd = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("block"), names.normalize(F.concat("p_name", F.lit(" CITY")), ("CITY",)).alias("norm_name"))
-    t = p.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("block"), names.normalize(F.col("p_name"), ("CITY",)).alias("norm_name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("lo"))
-    return odd.join(t, ["block", "norm_name"], "left").select("entity_id", F.when(F.col("n") == 1, F.col("lo")).alias("only_target"), F.coalesce("n", F.lit(0)).alias("n"))
+    named = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" ANNEX CITY"))).otherwise(F.concat("p_name", F.lit(" CITY")))
+    left = p.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("block"), names.normalize(named, ("CITY",)).alias("norm_name"))
+    t = p.groupBy(F.col("p_brand").alias("block"), names.normalize(F.col("p_name"), ("CITY",)).alias("norm_name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("lo"))
+    return left.join(t, ["block", "norm_name"], "left").select("entity_id", F.when(F.col("n") == 1, F.col("lo")).alias("only_target"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("r6_link_cascade", None)
 def cascade(a):
     left = a.entity.select("entity_id", F.col("state").alias("block"), names.normalize_place(F.concat("name", F.lit(" city"))).alias("norm_name"), "lat", "lon")
-    noisy = F.concat(F.lit("SUPPLIER "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.when(F.col("s_suppkey") % 3 == 0, " NEW").otherwise(""))
-    t = a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 7 <> 0").select(F.concat(F.lit("place:"), F.col("s_suppkey").cast("string")).alias("target_id"), F.col("n_name").alias("block"), noisy.alias("norm_name"), (F.col("s_nationkey") * 2.0).alias("lat"), (F.col("s_suppkey") % 50).cast("double").alias("lon"))
+    noisy = F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("DEPOT "), (F.col("s_suppkey") * 13).cast("string"))).otherwise(F.concat(F.lit("SUPPLIER "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.when(F.col("s_suppkey") % 3 == 0, " NEW").otherwise("")))
+    t = a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("place:"), F.col("s_suppkey").cast("string")).alias("target_id"), F.col("n_name").alias("block"), noisy.alias("norm_name"), (F.col("s_nationkey") * 2.0).alias("lat"), (F.col("s_suppkey") % 50).cast("double").alias("lon"))
     return L.link(left, t)
 
 
@@ -513,72 +525,73 @@ def difference(a):
 
 # --- quality, reconciliation ------------------------------------------------------------------------------------------
 
-V_SQL = """SELECT check_id, severity, count(*) AS findings FROM (
- SELECT 'clearances_exceed_offenses' AS check_id, 'warning' AS severity FROM crime WHERE clearances > offenses * 1.5
- UNION ALL SELECT 'year_out_of_range', 'error' FROM staffing WHERE NOT data_year BETWEEN 1985 AND 2026
- UNION ALL SELECT 'zero_sworn_with_civilians', 'warning' FROM staffing WHERE sworn = 0 AND civilian > 0
- UNION ALL SELECT 'staffing_dropped_to_zero', 'warning' FROM (SELECT sworn, lag(sworn) OVER (PARTITION BY entity_id ORDER BY data_year) AS p FROM staffing) WHERE p > 20 AND sworn = 0
- UNION ALL SELECT 'count_jumped', 'warning' FROM (SELECT offenses, lag(offenses) OVER (PARTITION BY entity_id, offense_group ORDER BY data_year) AS p FROM crime WHERE value_type = 'reported') WHERE p >= 10 AND offenses >= 1.5 * p
- UNION ALL SELECT 'implausible_rate', 'warning' FROM agency_year WHERE implausible AND pep >= 1000
- UNION ALL SELECT 'no_denominator_for_year', 'info' FROM agency_year WHERE denominator IS NULL AND violent_offenses IS NOT NULL
- UNION ALL SELECT 'likely_contract_policing', 'warning' FROM agency_year WHERE officers_per_1k > 8 AND kind = 'county_sheriff'
- UNION ALL SELECT 'unresolved_link', 'info' FROM entity WHERE review_status <> 'accepted'
- UNION ALL SELECT 'population_divergence', 'warning' FROM population WHERE pep > 0 AND open IS NOT NULL AND abs(pep - open) * 1.0 / pep > 0.6
-) GROUP BY 1, 2"""
-
-
-@query("v0_check_register", V_SQL)
+LOG_SQL = faulty.SQL + ", log AS (" + " UNION ALL ".join(f"SELECT '{c.check_id}' AS check_id, '{c.severity}' AS severity, * FROM ({faulty.CHECK_SQL[c.check_id]})" for c in V.CHECKS) + ")\n"
+
+
+@query("v0_check_register", LOG_SQL + "SELECT check_id, severity, count(*) AS findings FROM log GROUP BY 1, 2")
 def register(a):
-    log = V.run_checks(tables_of(a))
-    return log.groupBy("check_id", "severity").agg(F.count("*").alias("findings"))
+    return V.run_checks(faulty.tables(a)).groupBy("check_id", "severity").agg(F.count("*").alias("findings"))
 
 
-@query("v0_capped_log", f"SELECT check_id, findings, least(findings, 50) AS logged FROM ({V_SQL})")
+@query("v0_capped_log", LOG_SQL + "SELECT check_id, count(*) AS findings, least(count(*), 50) AS logged FROM log GROUP BY 1")
 def capped(a):
-    log = V.run_checks(tables_of(a))
-    some = V.run_checks(tables_of(a), most=50).groupBy("check_id").agg(F.count("*").alias("logged"))
+    log = V.run_checks(faulty.tables(a))
+    some = V.run_checks(faulty.tables(a), most=50).groupBy("check_id").agg(F.count("*").alias("logged"))
     return log.groupBy("check_id").agg(F.count("*").alias("findings")).join(some, "check_id")
 
 
-def _check_query(c: V.Check, sql: str):
-    query(f"v_{c.check_id}", sql)(lambda a: V.run_checks(tables_of(a), [c]).select("entity_id", "data_year", "observed"))
-
-
-_YEAR = "entity_id, data_year, CAST({} AS VARCHAR) AS observed"
-_NONE = "entity_id, CAST(NULL AS INT) AS data_year, CAST({} AS VARCHAR) AS observed"
-CHECK_SQL = {
-    "entity_id_not_unique": f"SELECT {_NONE.format('count(*)')} FROM entity GROUP BY 1 HAVING count(*) > 1",
-    "invalid_entity_code": f"SELECT {_NONE.format('entity_id')} FROM entity WHERE NOT regexp_full_match(entity_id, '[0-9]{{9}}')",
-    "unknown_state": f"SELECT {_NONE.format('state')} FROM entity WHERE state NOT IN (SELECT n_name FROM nation)",
-    "negative_population": f"SELECT {_YEAR.format('pep')} FROM population WHERE pep < 0",
-    "negative_count": f"SELECT {_YEAR.format('offenses')} FROM crime WHERE offenses < 0",
-    "clearances_exceed_offenses": f"SELECT {_YEAR.format('clearances')} FROM crime WHERE clearances > offenses * 1.5",
-    "year_out_of_range": f"SELECT {_YEAR.format('data_year')} FROM staffing WHERE NOT data_year BETWEEN 1985 AND 2026",
-    "year_beyond_cutoff": f"SELECT {_YEAR.format('data_year')} FROM crime WHERE data_year > 2025",
-    "zero_sworn_with_civilians": f"SELECT {_YEAR.format('civilian')} FROM staffing WHERE sworn = 0 AND civilian > 0",
-    "staffing_dropped_to_zero": f"SELECT {_YEAR.format('p')} FROM (SELECT *, lag(sworn) OVER (PARTITION BY entity_id ORDER BY data_year) AS p FROM staffing) WHERE p > 20 AND sworn = 0",
-    "count_jumped": f"SELECT {_YEAR.format('offenses')} FROM (SELECT *, lag(offenses) OVER (PARTITION BY entity_id, offense_group ORDER BY data_year) AS p FROM crime WHERE value_type = 'reported') WHERE p >= 10 AND offenses >= 1.5 * p",
-    "no_denominator_for_year": f"SELECT {_YEAR.format('violent_offenses')} FROM agency_year WHERE denominator IS NULL AND violent_offenses IS NOT NULL",
-    "rate_across_years": f"SELECT {_YEAR.format(chr(39) + 'rate' + chr(39))} FROM agency_year a WHERE violent_rate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM population p WHERE p.entity_id = a.entity_id AND p.data_year = a.data_year AND p.denominator IS NOT NULL)",
-    "rate_on_unaccepted_link": f"SELECT {_YEAR.format('review_status')} FROM agency_year WHERE violent_rate IS NOT NULL AND review_status <> 'accepted'",
-    "rate_on_ineligible_kind": f"SELECT {_YEAR.format('kind')} FROM agency_year WHERE violent_rate IS NOT NULL AND kind IN ('state_police', 'university_police')",
-    "rate_of_partial_year": f"SELECT {_YEAR.format('violent_months_reported')} FROM agency_year WHERE violent_rate IS NOT NULL AND violent_months_reported < 12",
-    "unresolved_link": f"SELECT {_NONE.format('review_status')} FROM entity WHERE review_status <> 'accepted'",
-    "population_divergence": f"SELECT {_YEAR.format('open')} FROM population WHERE pep > 0 AND open IS NOT NULL AND abs(pep - open) * 1.0 / pep > 0.6",
-    "missing_source": f"SELECT {_YEAR.format('source')} FROM staffing WHERE source IS NULL",
-}
+def _check_query(c: V.Check):
+    query(f"v_{c.check_id}", f"{faulty.SQL}\n{faulty.CHECK_SQL[c.check_id]}")(lambda a: V.run_checks(faulty.tables(a), [c]).select("entity_id", "data_year", "observed"))
+
+
 for _c in V.CHECKS:
-    if _c.check_id in CHECK_SQL:
-        _check_query(_c, CHECK_SQL[_c.check_id])
+    _check_query(_c)
+
+
+STAFF_RECORDS = "SELECT CAST(l_suppkey AS VARCHAR) AS key, 'pe' AS source, CAST(year(l_shipdate) AS INT) AS data_year, CASE WHEN year(l_shipdate) = 1996 THEN 0 ELSE count(*) END AS total FROM lineitem GROUP BY l_suppkey, year(l_shipdate), l_returnflag"
+STAFF_KEYS = "SELECT entity_id, CASE WHEN suppkey % 10 = 9 THEN CAST(suppkey - 1 AS VARCHAR) ELSE CAST(suppkey AS VARCHAR) END AS key FROM entity"
+STAFF_LOG = f"""SELECT 'zero_filled_year' AS check_id, data_year, source AS entity_id FROM ({STAFF_RECORDS}) GROUP BY 2, 3 HAVING sum(total) = 0
+ UNION ALL SELECT 'duplicate_record', r.data_year, u.entity_id FROM ({STAFF_RECORDS}) r JOIN (SELECT key, min(entity_id) AS entity_id FROM ({STAFF_KEYS}) GROUP BY 1 HAVING count(*) = 1) u USING (key) WHERE r.data_year <> 1996 GROUP BY 2, 3 HAVING count(DISTINCT total) > 1
+ UNION ALL SELECT 'ambiguous_key', CAST(NULL AS INT), key FROM ({STAFF_KEYS}) GROUP BY 3 HAVING count(*) > 1"""
+
+
+def _staff_log(a):
+    li = a.read("lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("data_year"), "l_returnflag").agg(F.count("*").alias("n"))
+    total = F.when(F.col("data_year") == 1996, 0).otherwise(F.col("n"))
+    records = li.select(F.col("l_suppkey").cast("string").alias("key"), F.lit("pe").alias("source"), "data_year", total.alias("total"), total.alias("male"), F.lit(0).cast("long").alias("female"))
+    keys = a.entity.select("entity_id", F.when(F.col("suppkey") % 10 == 9, F.col("suppkey") - 1).otherwise(F.col("suppkey")).cast("string").alias("key"))
+    return C.staffing(records, keys)[1]
+
+
+@query("v24_loader_findings", STAFF_LOG)
+def loader_findings(a):
+    return _staff_log(a)
 
 
-BUCKETS = "SELECT p_partkey AS record, p_brand || '|' || p_name AS key, CAST(floor(p_retailprice) AS BIGINT) AS amount, CASE WHEN n = 1 THEN 'unique_key' WHEN n > 1 THEN 'ambiguous' WHEN p_name LIKE '%a%' THEN 'out_of_scope' ELSE 'unresolved' END AS bucket FROM part LEFT JOIN (SELECT p_brand AS b, p_name AS m, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2) ON b = p_brand AND m = p_name"
+@query("r8_disambiguated_keys", "SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0 THEN 'key_disambiguated' ELSE 'ambiguous_key' END AS check_id, CASE WHEN n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0 THEN 'info' ELSE 'warning' END AS severity FROM nation", prefix=False)
+def disambiguated(a):
+    n = a.read("nation").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"))
+    second = F.when(F.col("k") % 5 == 0, F.struct(F.lit("00").alias("s"), F.lit("99").alias("name"))).otherwise(F.struct(F.lit("01").alias("s"), F.lit("99").alias("name")))
+    claims = F.array(F.struct(F.lit("00").alias("s"), F.when(F.col("k") % 3 == 0, "77").otherwise(F.col("name")).alias("name")), F.struct(F.lit("9E").alias("s"), F.lit("88").alias("name")), second)
+    candidates = n.select("key", F.explode(claims).alias("c")).select("key", F.concat("key", "c.s").alias("candidate_id"), "c.name")
+    return L.disambiguate(n.select("key", "name"), candidates)[1]
+
+
+@query("v29_log_lifecycle", f"{faulty.SQL}, loaded AS ({STAFF_LOG}) SELECT check_id, count(*) AS n FROM (SELECT check_id FROM loaded UNION ALL SELECT 'missing_source' FROM ({faulty.CHECK_SQL['missing_source']})) GROUP BY 1")
+def lifecycle(a):
+    t, checks = faulty.tables(a), {c.check_id: c for c in V.CHECKS}
+    before = _staff_log(a).unionByName(V.run_checks(t, [checks["negative_count"]]), allowMissingColumns=True)
+    return V.refreshed(before, V.run_checks(t, [checks["missing_source"]])).groupBy("check_id").agg(F.count("*").alias("n"))
+
+
+BUCKETS = "SELECT p_partkey AS record, p_brand || '|' || CASE WHEN p_partkey % 3 = 0 THEN p_name || '?' ELSE p_name END AS key, CAST(floor(p_retailprice) AS BIGINT) AS amount, CASE WHEN n = 1 THEN 'unique_key' WHEN n > 1 THEN 'ambiguous' WHEN p_name LIKE '%a%' THEN 'out_of_scope' ELSE 'unresolved' END AS bucket FROM part LEFT JOIN (SELECT p_brand AS b, p_name AS m, count(*) AS n FROM part GROUP BY 1, 2) ON b = p_brand AND m = CASE WHEN p_partkey % 3 = 0 THEN p_name || '?' ELSE p_name END"
 
 
 def _buckets(a):
-    key = F.concat_ws("|", "p_brand", "p_name")
-    p = a.read("part").select(F.col("p_partkey").alias("record"), key.alias("key"), F.floor("p_retailprice").cast("long").alias("amount"), "p_name")
-    return K.bucketed(p, p.where("record % 3 <> 0").groupBy("key").agg(F.count("*").alias("n")), F.col("p_name").rlike("a")).drop("p_name")
+    written = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name"))
+    p = a.read("part").select(F.col("p_partkey").alias("record"), F.concat_ws("|", "p_brand", written).alias("key"), F.floor("p_retailprice").cast("long").alias("amount"), "p_name")
+    known = a.read("part").groupBy(F.concat_ws("|", "p_brand", "p_name").alias("key")).agg(F.count("*").alias("n"))
+    return K.bucketed(p, known, F.col("p_name").rlike("a")).drop("p_name")
 
 
 @query("k1_buckets", BUCKETS, prefix=False)
@@ -638,17 +651,18 @@ def state_map(a):
     return published.map_layer(a.agency_year, 1999, "violent_rate", "state")["features"].withColumn("value", F.round("value", 6))
 
 
-@query("q13_search", "SELECT type, id, name, relevance FROM (SELECT *, CASE WHEN lower(id) = 'in' THEN 0 WHEN lower(name) = 'in' THEN 1 ELSE 2 END AS relevance FROM (SELECT 'entity' AS type, entity_id AS id, name FROM entity UNION ALL SELECT DISTINCT 'state', state, state FROM entity)) WHERE lower(id) = 'in' OR contains(lower(name), 'in') ORDER BY relevance, length(name), id LIMIT 20")
+@query("q13_search", "SELECT type, id, name, relevance FROM (SELECT *, CASE WHEN lower(id) = 'er' THEN 0 WHEN lower(name) = 'er' THEN 1 ELSE 2 END AS relevance FROM (SELECT 'entity' AS type, entity_id AS id, name FROM entity UNION ALL SELECT DISTINCT 'state', state, state FROM entity)) WHERE lower(id) = 'er' OR contains(lower(name), 'er') ORDER BY relevance, length(name), id LIMIT 20")
 def search(a):
-    return published.search(a.entity, "in")
+    return published.search(a.entity, "er")
 
 
 @query("m_metric_catalogue", """SELECT state, data_year, count(DISTINCT entity_id) AS agency_count, CAST(sum(sworn) AS BIGINT) AS sworn_officers, CAST(sum(civilian) AS BIGINT) AS civilian_personnel, CAST(sum(total) AS BIGINT) AS total_personnel, round(CASE WHEN sum(sworn) > 0 THEN CAST(sum(denominator) AS DOUBLE) / sum(sworn) END, 6) AS population_per_officer,
- round(avg(violent_months_reported / 12.0), 6) AS reporting_completeness, CAST(sum(violent_offenses) AS BIGINT) AS violent_crime_count, CAST(sum(property_offenses) AS BIGINT) AS property_crime_count FROM agency_year GROUP BY 1, 2""")
+ round(avg(violent_months_reported / 12.0), 6) AS reporting_completeness, round(CASE WHEN sum(total) > 0 THEN CAST(sum(civilian) AS DOUBLE) / sum(total) END, 6) AS civilian_share, CAST(sum(violent_offenses) AS BIGINT) AS violent_crime_count, CAST(sum(property_offenses) AS BIGINT) AS property_crime_count FROM agency_year GROUP BY 1, 2""")
 def metrics(a):
     return a.agency_year.groupBy("state", "data_year").agg(
         F.count_distinct("entity_id").alias("agency_count"), F.sum("sworn").alias("sworn_officers"), F.sum("civilian").alias("civilian_personnel"), F.sum("total").alias("total_personnel"),
         F.round(measures.safe_ratio(F.sum("denominator"), F.sum("sworn")), 6).alias("population_per_officer"), F.round(F.avg(F.col("violent_months_reported") / 12.0), 6).alias("reporting_completeness"),
+        F.round(measures.safe_ratio(F.sum("civilian"), F.sum("total")), 6).alias("civilian_share"),
         F.sum("violent_offenses").alias("violent_crime_count"), F.sum("property_offenses").alias("property_crime_count"),
     )
 
@@ -727,3 +741,248 @@ def finite_values(a):
     d = F.col("l_quantity") - 25
     raw = F.when(d != 0, F.col("l_extendedprice") / d).otherwise(F.lit(float("nan")))
     return a.read("lineitem").select("l_orderkey", "l_linenumber", F.round(measures.finite(raw), 6).alias("v"))
+
+
+# --- places, drill-downs, bundle ---------------------------------------------------------------------------------------
+
+
+@query("p4_state_codes", "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN '60' WHEN 1 THEN '66' WHEN 2 THEN '69' WHEN 3 THEN '72' WHEN 4 THEN '78' ELSE '31' END AS fips FROM supplier", prefix=False)
+def state_codes(a):
+    given = F.element_at(F.array(*map(F.lit, ("AS", "GU", "MP", "PR", "vi ", "NB"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    return a.read("supplier").select("s_suppkey", codes.state_fips(given).alias("fips"))
+
+
+@query("p9_place_names", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(p_name || ' Charter Township of the Census Area, Urban County'), '[^A-Z0-9 ]+', ' ', 'g'), '\b(CITY|TOWN|VILLAGE|BOROUGH|TOWNSHIP|CDP|MUNICIPALITY|PLANTATION|URBAN COUNTY|METROPOLITAN GOVERNMENT|CONSOLIDATED GOVERNMENT|GOVERNMENT|UT|CCD|COUNTY|PARISH|CENSUS AREA|PLANNING REGION|BALANCE|METRO)\b', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM part", prefix=False)
+def place_names(a):
+    return a.read("part").select("p_partkey", names.normalize_place(F.concat("p_name", F.lit(" Charter Township of the Census Area, Urban County"))).alias("norm"))
+
+
+def _municipal(a):
+    level = F.when(F.col("s_suppkey") % 2 == 0, "place").otherwise("cousub")
+    return a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("state"), level.alias("geo_level"), F.concat(level, F.lit(":"), F.col("s_suppkey").cast("string")).alias("geo_id"))
+
+
+@query("r1_block_selection", "SELECT state, geo_level, geo_id FROM (SELECT n_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'place' ELSE 'cousub' END AS geo_level, CASE WHEN s_suppkey % 2 = 0 THEN 'place:' ELSE 'cousub:' END || CAST(s_suppkey AS VARCHAR) AS geo_id FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE (state IN ('FRANCE', 'CANADA', 'KENYA')) = (geo_level = 'cousub')", prefix=False)
+def block_selection(a):
+    return L.municipalities(_municipal(a), ("FRANCE", "CANADA", "KENYA"))
+
+
+COUNTIES = "SELECT 'county:' || CAST(p_partkey AS VARCHAR) AS target_id, p_brand AS state, upper(p_name) AS c FROM part WHERE p_size <= 25"
+
+
+@query("r3_county_links", f"""WITH c AS ({COUNTIES}), e AS (SELECT 's' || CAST(p_partkey AS VARCHAR) AS entity_id, p_brand AS state, upper(p_name) AS c FROM part), x AS (SELECT e.entity_id, count(*) AS n, min(c.target_id) AS target_id FROM e JOIN c ON c.state = e.state AND c.c = e.c GROUP BY 1)
+SELECT e.entity_id, CASE WHEN n >= 1 THEN target_id ELSE 'state:' || e.state END AS target_id, CASE WHEN n = 1 THEN 'exact_county_name' WHEN n > 1 THEN 'fuzzy_county_name' ELSE 'state_fallback' END AS method, CASE WHEN n >= 1 THEN 1.0 ELSE 0.2 END AS score, CASE WHEN n >= 1 THEN 'accepted' ELSE 'needs_review' END AS review_status FROM e LEFT JOIN x USING (entity_id)""", prefix=False)
+def county_links(a):
+    """Names that aren't equal are unlike in these tables: a name of the same words is the same name."""
+    p = a.read("part")
+    entities = p.select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_brand").alias("state"), F.concat("p_name", F.lit(" County")).alias("county_name"), F.lit("Sheriff").alias("name"))
+    counties = p.where("p_size <= 25").select(F.concat(F.lit("county:"), F.col("p_partkey").cast("string")).alias("target_id"), F.col("p_brand").alias("state"), F.concat("p_name", F.lit(" Parish")).alias("name"))
+    return L.county_links(entities, counties).drop("note")
+
+
+@query("q5_entity_coverage", f"SELECT entity_id, data_year, violent_months_reported, coverage, violent_rate_allowed, violent_withheld FROM agency_year WHERE entity_id = '{SUBJECT}'")
+def entity_coverage(a):
+    return published.entity_coverage(a.agency_year, V.run_checks(faulty.tables(a)), SUBJECT)["years"]
+
+
+@query("q5_entity_flags", LOG_SQL + f"SELECT check_id, severity, data_year, observed FROM log WHERE entity_id = '{SUBJECT}'")
+def entity_flags(a):
+    return published.entity_coverage(a.agency_year, V.run_checks(faulty.tables(a)), SUBJECT)["flags"].select("check_id", "severity", "data_year", "observed")
+
+
+@query("q12_coverage_detail", "SELECT entity_id, name, state, coverage, denominator FROM agency_year WHERE data_year = 1998 AND coverage = 'PARTIAL' ORDER BY denominator DESC NULLS LAST, entity_id LIMIT 200")
+def coverage_detail(a):
+    return published.coverage_detail(a.agency_year, 1998, status="PARTIAL").select("entity_id", "name", "state", "coverage", "denominator")
+
+
+@query("q12_flag_detail", LOG_SQL + "SELECT l.entity_id, l.data_year, l.observed, l.severity, e.name, e.state FROM log l LEFT JOIN entity e ON e.entity_id = l.entity_id WHERE check_id = 'rate_of_partial_year' ORDER BY l.data_year DESC NULLS LAST, l.entity_id, l.observed LIMIT 200")
+def flag_detail(a):
+    return published.flag_detail(V.run_checks(faulty.tables(a)), a.entity, "rate_of_partial_year").select("entity_id", "data_year", "observed", "severity", "name", "state")
+
+
+@query("q14_sources", f"SELECT s.source, coalesce(CAST(n AS BIGINT), 0) AS observations FROM (VALUES ('pe'), ('api'), ('monthly'), ('inline')) s(source) LEFT JOIN (SELECT source, sum(observations) AS n FROM ({PROVENANCE}) GROUP BY 1) u ON u.source = s.source")
+def sources(a):
+    listed = a.spark.createDataFrame([(x,) for x in ("pe", "api", "monthly", "inline")], "source string")
+    return published.sources(listed, A.source_usage(A.provenance({"crime": a.crime, "staffing": a.staffing})))
+
+
+@query("q14_release", "SELECT 'r1' AS release_id, max(CASE WHEN violent_offenses IS NOT NULL THEN data_year END) AS latest_violent, max(CASE WHEN sworn IS NOT NULL THEN data_year END) AS latest_staffing FROM agency_year")
+def release(a):
+    return published.release(a.agency_year, "r1", {"violent": F.col("violent_offenses").isNotNull(), "staffing": F.col("sworn").isNotNull()})
+
+
+@query("q3_profile_latest", f"SELECT entity_id, data_year, violent_offenses FROM agency_year WHERE entity_id = '{SUBJECT}' AND violent_offenses IS NOT NULL ORDER BY data_year DESC LIMIT 1")
+def profile_latest(a):
+    return published.profile(a.entity, a.agency_year, SUBJECT)["latest"].select("entity_id", "data_year", "violent_offenses")
+
+
+@query("q4_one_series", f"SELECT entity_id, data_year, round(officers_per_1k, 6) AS value, coverage, confidence FROM agency_year WHERE entity_id = '{SUBJECT}'")
+def one_series(a):
+    return published.series(a.agency_year, SUBJECT, "officers_per_1k").withColumn("value", F.round("value", 6))
+
+
+@query("q7_snapshot", "SELECT entity_id, data_year, violent_offenses FROM agency_year WHERE entity_id IN ('000000001', '000000002') AND data_year = 1998")
+def snapshot(a):
+    return published.compare(a.agency_year, ["000000001", "000000002"], 1998)["snapshot"].select("entity_id", "data_year", "violent_offenses")
+
+
+@query("q9_overview_trend", "SELECT data_year, CAST(sum(violent_offenses) AS BIGINT) AS n, CAST(sum(denominator) AS BIGINT) AS d, round(CAST(sum(violent_offenses) AS DOUBLE) * 100000 / sum(denominator), 6) AS rate FROM agency_year WHERE coverage = 'COMPLETE' AND denominator > 0 GROUP BY 1")
+def overview_trend(a):
+    return published.overview(a.agency_year, 1999)["trend"].withColumn("rate", F.round("rate", 6))
+
+
+@query("q9_overview_composition", "SELECT kind, CAST(sum(sworn) AS BIGINT) AS total, round_even(CAST(sum(sworn) AS DOUBLE) / sum(sum(sworn)) OVER (), 4) AS share FROM agency_year WHERE data_year = 1999 GROUP BY 1")
+def overview_composition(a):
+    return published.overview(a.agency_year, 1999)["composition"]
+
+
+_CODED = ("kind", "state", "region", "coverage", "confidence", "name", "entity_id")
+
+
+@query("s16_dictionary_columns", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) <= greatest(64, count(*) / 200) AS coded FROM agency_year" for c in _CODED))
+def dictionary_columns(a):
+    from ..sources.sinks import dictionary_columns as coded
+
+    return coded(a.agency_year.select(*_CODED))
+
+
+@query("s16_bundle_log", LOG_SQL + "SELECT check_id, least(count(*), 200) AS logged FROM log GROUP BY 1")
+def bundle_log(a):
+    """The bundle's part of the log: 200 rows a check."""
+    return V.run_checks(faulty.tables(a), most=200).groupBy("check_id").agg(F.count("*").alias("logged"))
+
+
+# --- readers over files that Spark has written from the tables ---------------------------------------------------------
+
+
+@query("s4_archive_members", "SELECT 'units' AS member, count(*) AS n FROM supplier UNION ALL SELECT 'amounts', count(*) FROM (SELECT DISTINCT l_suppkey, year(l_shipdate) FROM lineitem)", prefix=False)
+def archive_members(a):
+    folder = sinks.landing_folder(a.spark)
+    unit = fixed_width.render(fixed_width.UNIT_DIRECTORY, 146, {"gov_id": (F.lpad(F.col("s_suppkey").cast("string"), 12, "0"), False), "name": (F.col("s_name"), False)})
+    a.read("supplier").select(unit.alias("value")).write.text(f"{folder}/units")
+    sums = a.read("lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y")).agg(F.count("*").alias("n"))
+    amount = fixed_width.render(fixed_width.FINANCE_AMOUNTS, 32, {"gov_id": (F.lpad(F.col("l_suppkey").cast("string"), 12, "0"), False), "item": (F.lit("E62"), False), "amount": (F.col("n"), True), "data_year": (F.col("y"), False), "flag": (F.lit("R"), False)})
+    sums.select(amount.alias("value")).write.text(f"{folder}/amounts")
+    got = fixed_width.read_members(a.spark, folder, {"units": fixed_width.read_unit_directory, "amounts": fixed_width.read_finance_amounts})
+    return sinks.release_manifest(got, "r").select(F.col("table_name").alias("member"), F.col("rows").alias("n"))
+
+
+@query("s5_sniffed_delimiter", "SELECT CAST(s_suppkey AS VARCHAR) AS geoid, s_name || ' | x' AS name FROM supplier", prefix=False)
+def sniffed(a):
+    path = sinks.landing_folder(a.spark)
+    a.read("supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias(" geoid"), F.concat("s_name", F.lit(" | x ")).alias("name ")).write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    return delimited.read_delimited(a.spark, path)
+
+
+@query("s8_yearly_files", "SELECT CAST(o_custkey AS VARCHAR) AS custkey, CAST(max(year(o_orderdate)) AS INT) AS last_year FROM orders GROUP BY 1", prefix=False)
+def yearly_files(a):
+    """One file name a year; of several years of a key the latest wins."""
+    path = sinks.landing_folder(a.spark)
+    years = a.read("orders").select(F.col("o_custkey").cast("string").alias("custkey"), F.year("o_orderdate").alias("year")).distinct()
+    years.write.partitionBy("year").option("header", True).csv(path)
+    rows = delimited.read_yearly_csv(a.spark, path, r"year=([0-9]{4})")
+    return C.latest_wins(rows, ["custkey"], "file_year").select("custkey", F.col("file_year").alias("last_year"))
+
+
+@query("s9_json_array", "SELECT CAST(s_suppkey AS BIGINT) AS ori, s_name AS agency_name, s_acctbal > 0 AS is_nibrs FROM supplier", prefix=False)
+def json_array(a):
+    path = sinks.landing_folder(a.spark)
+    one = F.to_json(F.array(F.struct(F.col("s_suppkey").alias("ori"), F.col("s_name").alias("agency_name"), (F.col("s_acctbal") > 0).alias("is_nibrs"))))
+    a.read("supplier").select(one.alias("value")).write.text(path)
+    return records.read_json(a.spark, path, "ori long, agency_name string, is_nibrs boolean")
+
+
+@query("s11_padded_codes", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS uace, n_name AS name FROM nation", prefix=False)
+def padded_codes(a):
+    path = sinks.landing_folder(a.spark)
+    a.read("nation").select(F.col("n_nationkey").alias("uace"), F.col("n_name").alias("name")).write.option("header", True).csv(path)
+    return delimited.pad_codes(delimited.read_delimited(a.spark, path, sep=","), {"uace": 5})
+
+
+@query("s12_registry", "SELECT r_name AS source_id, string_agg(n_name, ' | ' ORDER BY n_name) AS members, false AS deferred FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1", prefix=False)
+def registry_table(a):
+    """A registry of a few records: lists joined, missing booleans false."""
+    nation = a.read("nation").join(F.broadcast(a.read("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    found = nation.groupBy(F.col("r_name").alias("source_id")).agg(F.array_sort(F.collect_list("n_name")).alias("members")).collect()  # one row a region
+    return records.registry_df(a.spark, [r.asDict() for r in found], StructType.fromDDL("source_id string, members string, deferred boolean"))
+
+
+# --- joins, orders and rules that had no query of their own --------------------------------------------------------------
+
+
+@query("j6_left_join_is_null", "SELECT s.entity_id, s.data_year FROM staffing s LEFT JOIN crime c ON c.entity_id = s.entity_id AND c.data_year = s.data_year AND c.offense_group = 'violent-crime' AND c.value_type = 'reported' WHERE c.entity_id IS NULL")
+def left_null(a):
+    return a.staffing.select("entity_id", "data_year").join(a.crime.where("offense_group = 'violent-crime' AND value_type = 'reported'"), ["entity_id", "data_year"], "left_anti")
+
+
+@query("j9_using_join", "SELECT entity_id, data_year, s.total, p.pep FROM staffing s JOIN population p USING (entity_id, data_year)")
+def using(a):
+    return a.staffing.select("entity_id", "data_year", "total").join(a.population.select("entity_id", "data_year", "pep"), ["entity_id", "data_year"])
+
+
+@query("j11_described_provenance", f"SELECT p.*, e.name, e.state FROM ({PROVENANCE}) p LEFT JOIN entity e ON e.entity_id = p.entity_id AND e.review_status = 'accepted'")
+def described(a):
+    names_ = a.entity.where("review_status = 'accepted'").select("entity_id", "name", "state")
+    return A.provenance({"crime": a.crime, "staffing": a.staffing}).join(names_, "entity_id", "left")
+
+
+@query("a13_severity_order", LOG_SQL + "SELECT check_id, severity, count(*) AS findings, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS severity_order FROM log GROUP BY 1, 2")
+def severity_order(a):
+    return A.check_register(V.run_checks(faulty.tables(a))).drop("message")
+
+
+@query("l4_worst_checks", LOG_SQL + "SELECT check_id, severity, count(*) AS findings FROM log GROUP BY 1, 2 ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, findings DESC, check_id LIMIT 8")
+def worst(a):
+    return A.check_register(V.run_checks(faulty.tables(a))).orderBy("severity_order", F.desc("findings"), "check_id").limit(8).select("check_id", "severity", "findings")
+
+
+@query("c9_first_wins", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1", prefix=False)
+def first_seen(a):
+    return C.first_wins(a.read("lineitem"), ["l_suppkey"], "l_shipdate", "l_orderkey", "l_linenumber").select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+DEMOGRAPHICS = "SELECT entity_id, data_year, 'pep' AS basis, pep AS population, CAST(NULL AS DOUBLE) AS margin FROM demographics WHERE pep IS NOT NULL UNION ALL SELECT entity_id, data_year, 'acs5', acs5, round(acs5 * 0.02, 6) FROM demographics WHERE acs5 IS NOT NULL"
+
+
+def _bases(a):
+    pep = a.demographics.select("entity_id", "data_year", F.lit("pep").alias("basis"), F.col("pep").alias("population")).where("population is not null")
+    acs = a.demographics.select("entity_id", "data_year", F.lit("acs5").alias("basis"), F.col("acs5").alias("population"), F.round(F.col("acs5") * 0.02, 6).alias("margin")).where("population is not null")
+    return C.append_basis(pep, acs)
+
+
+@query("c15_second_basis", DEMOGRAPHICS)
+def second_basis(a):
+    return _bases(a)
+
+
+@query("c17_last_basis_wins", f"SELECT entity_id, basis, max(data_year) AS data_year, arg_max(population, data_year) AS population FROM ({DEMOGRAPHICS}) GROUP BY 1, 2")
+def last_basis(a):
+    return C.latest_wins(_bases(a), ["entity_id", "basis"], "data_year").select("entity_id", "basis", "data_year", "population")
+
+
+@query("p17_stripped_keys", "SELECT entity_id, data_year, population FROM (SELECT entity_id, data_year, balance_population AS population FROM population WHERE balance_population IS NOT NULL)")
+def stripped(a):
+    return a.population.where("balance_population is not null").select(codes.strip_suffix(F.concat("entity_id", F.lit("#balance"))).alias("entity_id"), "data_year", F.col("balance_population").alias("population"))
+
+
+@query("q8_state_largest", "SELECT entity_id, name, denominator FROM agency_year WHERE state = 'FRANCE' AND data_year = 1998 ORDER BY denominator DESC NULLS LAST, entity_id LIMIT 10")
+def state_largest(a):
+    return published.state_profile(a.agency_year, "FRANCE", 1998)["largest"].select("entity_id", "name", "denominator")
+
+
+@query("q8_state_trend", "SELECT data_year, CAST(sum(violent_offenses) AS BIGINT) AS offenses FROM agency_year WHERE state = 'FRANCE' GROUP BY 1")
+def state_trend(a):
+    return published.state_profile(a.agency_year, "FRANCE", 1998)["trend"].select("data_year", "offenses")
+
+
+@query("q11_coverage_heat", "SELECT state, data_year, count(*) AS total, " + ", ".join(f"CAST(sum(CASE WHEN coverage = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c.lower()}" for c in ("COMPLETE", "PARTIAL", "NONE", "UNKNOWN")) + " FROM agency_year GROUP BY 1, 2")
+def coverage_heat(a):
+    return A.status_pivot(a.agency_year, ["state", "data_year"], "coverage", ["COMPLETE", "PARTIAL", "NONE", "UNKNOWN"])
+
+
+@query("g14_allowed_metrics", "SELECT m.metric_id, a.n FROM (VALUES ('violent_rate', true), ('sworn', false)) m(metric_id, ranking_allowed) JOIN (SELECT 'violent_rate' AS metric_id, count(violent_rate) AS n FROM agency_year UNION ALL SELECT 'sworn', count(sworn) FROM agency_year) a ON a.metric_id = m.metric_id WHERE ranking_allowed")
+def allowed_metrics(a):
+    """How many values each metric has that the registry lets be ranked."""
+    listed = records.registry_df(a.spark, [{"metric_id": "violent_rate", "ranking_allowed": True}, {"metric_id": "sworn"}], StructType.fromDDL("metric_id string, ranking_allowed boolean"))
+    n = a.agency_year.agg(F.count("violent_rate").alias("violent_rate"), F.count("sworn").alias("sworn")).unpivot([], ["violent_rate", "sworn"], "metric_id", "n")
+    return n.join(F.broadcast(listed.where("ranking_allowed").select("metric_id")), "metric_id")

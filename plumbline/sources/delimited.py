@@ -22,10 +22,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     return trimmed(spark.read.option("header", True).option("encoding", encoding).option("sep", sep or sniff(spark, path)).option("inferSchema", False).csv(path))
 
 
-def read_yearly_csv(spark: SparkSession, path: str, year_regex: str = r"([0-9]{4})") -> DataFrame:
-    """The union of files of several years, with the year of each file's name."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path).withColumn("file_year", F.regexp_extract(F.col("_metadata.file_name"), year_regex, 1).try_cast("int"))
-    return df.select(*[F.trim(F.col(f"`{c}`")).alias(c.replace("﻿", "").strip()) if c != "file_year" else F.col(c) for c in df.columns])
+def read_yearly_csv(spark: SparkSession, path: str, year_regex: str = r"([0-9]{4})[^/]*$") -> DataFrame:
+    """The union of files of several years, with the year that year_regex finds in each file's path (in its name, if not told)."""
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path).withColumn("file_year", F.regexp_extract(F.col("_metadata.file_path"), year_regex, 1).try_cast("int"))
+    return df.select(*[F.trim(F.col(f"`{c}`")).alias(c.replace("\ufeff", "").strip()) if c != "file_year" else F.col(c) for c in df.columns])
 
 
 def pad_codes(df: DataFrame, widths: dict[str, int]) -> DataFrame:

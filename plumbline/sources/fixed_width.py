@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codes import lookup
+
 # Record layouts (0-based, end exclusive).
 POLICE_EMPLOYEES = {
     "record_type": (0, 1), "state_code_numeric": (1, 3), "ori7": (3, 10), "population_group": (10, 12), "year2": (13, 15), "sequence": (15, 20),
@@ -17,6 +19,9 @@ POLICE_NUMBERS = ("population", "male_officers", "male_civilians", "male_total",
 FINANCE_AMOUNTS = {"gov_id": (0, 12), "item": (12, 15), "amount": (15, 27), "data_year": (27, 31), "flag": (31, 32)}
 UNIT_DIRECTORY = {"gov_id": (0, 12), "name": (12, 76), "county": (76, 111), "place_code": (111, 116), "population": (116, 125), "fiscal_year_ending": (140, 144), "survey_year2": (144, 146)}
 
+# Kinds of government by the third character of their id.
+GOVERNMENT_TYPES = {"0": "State", "1": "County", "2": "City", "3": "Township", "4": "Special District", "5": "Independent School District"}
+
 
 def parse(lines: DataFrame, layout: dict[str, tuple[int, int]], numbers: Sequence[str] = (), least: int = 0, where: Callable[[Column], Column] | None = None, pad_to: int | None = None, signed: bool = False, line: str = "value") -> DataFrame:
     """Trimmed slices of lines of at least `least` characters; numbers are null unless digits alone."""
@@ -50,7 +55,8 @@ def read_police_employees(spark: SparkSession, path: str) -> DataFrame:
 def read_finance_amounts(spark: SparkSession, path: str, items: Sequence[str] = ()) -> DataFrame:
     out = read_fixed_width(spark, path, FINANCE_AMOUNTS, numbers=("amount", "data_year"), least=32, signed=True)
     out = out.where(F.col("item").isin(*items)) if items else out
-    return out.withColumns({"state_fips": F.substring("gov_id", 1, 2), "gov_type": F.substring("gov_id", 3, 1), "pid6": F.substring("gov_id", 7, 6)})
+    kind = F.substring("gov_id", 3, 1)
+    return out.withColumns({"state_fips": F.substring("gov_id", 1, 2), "gov_type_code": kind, "gov_type": lookup(kind, GOVERNMENT_TYPES), "county_fips": F.substring("gov_id", 4, 3), "pid6": F.substring("gov_id", 7, 6)})
 
 
 def read_unit_directory(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def landing_folder(spark: SparkSession) -> str:
+    """A new folder for files that driver and executors share: in the session's spark.checkpoint.dir, on one machine else a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/landing-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, schema: StructType, mode: str = "overwrite") -> None:
     """Exactly the declared columns, cast to their types; another set of columns is an error."""
     if sorted(df.columns) != sorted(schema.names):
@@ -64,3 +77,23 @@ def next_release_id(existing: Sequence[str], day: str) -> str:
     base = f"release_{day.replace('-', '_')}_"
     taken = [int(r[len(base) :]) for r in existing if r.startswith(base) and r[len(base) :].isdigit()]
     return f"{base}{max(taken, default=0) + 1:03d}"
+
+
+def dictionary_columns(df: DataFrame, least: int = 64, share: float = 1 / 200) -> DataFrame:
+    """column_name, n_distinct and coded for each string column: few enough distinct values for a dictionary.
+
+    One aggregate over the table; Parquet's writer then encodes such columns by itself.
+    """
+    strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    counts = df.agg(F.count("*").alias("_rows"), *(F.count_distinct(c).alias(c) for c in strings))
+    found = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_distinct")) for c in strings))).alias("x")
+    return counts.select("_rows", found).select("x.*", (F.col("x.n_distinct") <= F.greatest(F.lit(float(least)), F.col("_rows") * share)).alias("coded"))
+
+
+def export_bundle(tables: dict[str, DataFrame], log: DataFrame, out: str, most: int = 200) -> None:
+    """Each table as Parquet, sorted for its readers, and the log's first `most` rows of each check."""
+    w = Window.partitionBy("check_id").orderBy(F.desc_nulls_last("data_year"), "entity_id", "observed")
+    some = log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    for name, df in {**tables, "data_quality_log": some}.items():
+        by = [c for c in ("entity_id", "data_year") if c in df.columns]
+        (df.sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{out}/{name}")

@@ -1,4 +1,9 @@
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.operators import canonical, linkage, quality, reconcile, windows
 from plumbline.sources import delimited, fixed_width, records, sinks
@@ -29,8 +34,34 @@ def test_police_record(spark, tmp_path):
 
 def test_finance_records(spark, tmp_path):
     (tmp_path / "f.txt").write_text("172031162236E62     22384832024R\n011001100001E62        60492024I\n011001100001T01        60492024I\nshort")
-    got = rows(fixed_width.read_finance_amounts(spark, str(tmp_path), ["E62"]), "gov_id", "amount", "data_year", "flag", "state_fips")
-    assert got == [("011001100001", 6049, 2024, "I", "01"), ("172031162236", 2238483, 2024, "R", "17")]
+    got = rows(fixed_width.read_finance_amounts(spark, str(tmp_path), ["E62"]), "gov_id", "amount", "data_year", "flag", "state_fips", "gov_type", "county_fips", "pid6")
+    assert got == [("011001100001", 6049, 2024, "I", "01", "County", "001", "100001"), ("172031162236", 2238483, 2024, "R", "17", "City", "031", "162236")]
+
+
+def test_unit_directory_and_members(spark, tmp_path):
+    unit = "011001100001" + "AUTAUGA COUNTY".ljust(64) + "Autauga".ljust(35) + "99001" + "59759".rjust(9) + " " * 15 + "0930" + "24"
+    (tmp_path / "units.txt").write_text(unit + "\n" + "022002200002SHORT TOWN")
+    (tmp_path / "amounts.txt").write_text("172031162236E62     22384832024R")
+    got = fixed_width.read_members(spark, str(tmp_path), {"units.txt": fixed_width.read_unit_directory, "amounts.txt": fixed_width.read_finance_amounts})
+    assert rows(got["units.txt"], "gov_id", "name", "population", "fiscal_year_ending") == [("011001100001", "AUTAUGA COUNTY", 59759, "0930"), ("022002200002", "SHORT TOWN", None, "")]
+    assert got["amounts.txt"].count() == 1
+
+
+def test_yearly_files_and_codes(spark, tmp_path):
+    (tmp_path / "agencies_2023.csv").write_text("ori,place\nA, 124\n")
+    (tmp_path / "agencies_2024.csv").write_text("ori,place\nA,00125\nB,\n")
+    got = delimited.pad_codes(delimited.read_yearly_csv(spark, str(tmp_path)), {"place": 5})
+    assert sorted((r.ori, r.place or "", r.file_year) for r in got.collect()) == [("A", "00124", 2023), ("A", "00125", 2024), ("B", "", 2024)]
+
+
+def test_registry_and_gate(spark):
+    schema = StructType.fromDDL("metric_id string, sources string, comparison_allowed boolean, ranking_allowed boolean")
+    registry = records.registry_df(spark, [{"metric_id": "rate", "sources": ["a", "b"], "comparison_allowed": True}, {"metric_id": "rank", "sources": "c"}], schema)
+    assert rows(registry, "metric_id", "sources", "comparison_allowed", "ranking_allowed") == [("rank", "c", False, False), ("rate", "a | b", True, False)]
+    records.gate_metric(registry, "rate", "comparison")
+    for metric, use in (("rate", "ranking"), ("rank", "comparison"), ("none", "comparison")):
+        with pytest.raises(ValueError):
+            records.gate_metric(registry, metric, use)
 
 
 def test_delimited_sniffing(spark, tmp_path):
@@ -72,6 +103,40 @@ def test_link_cascade_statuses(spark):
     assert got == {"a": ("t1", "exact_name", "accepted"), "b": ("t2", "exact_name_nearest", "accepted"), "c": ("t4", "fuzzy_name", "needs_review"), "d": (None, "none", "unmatched"), "e": (None, "ambiguous_name", "needs_review")}
 
 
+def test_nearest_meets_all_within_reach(spark):
+    """Against all pairs, around poles and the date line too."""
+    rng = random.Random(8)
+    points = [(f"p{k:03d}", "S", rng.choice([rng.uniform(-90, 90), rng.uniform(86, 90), rng.uniform(40, 43)]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), rng.uniform(-180, -178)])) for k in range(250)]
+    df = spark.createDataFrame([*points, ("lost", "S", None, 1.0)], "entity_id string, block string, lat double, lon double")
+    for most in (30.0, 400.0, 3000.0):
+        want = {}
+        for i, _, a, b in points:
+            km = lambda p: 12742.0 * math.asin(math.sqrt(min(1.0, math.sin(math.radians(p[2] - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(p[2])) * math.sin(math.radians(p[3] - b) / 2) ** 2)))  # noqa: B023, E731
+            d, j = min((round(km(p), 9), p[0]) for p in points if p[0] != i)
+            if d <= most:
+                want[i] = d
+        got = {r.entity_id: round(r.km, 9) for r in linkage.nearest(df, df.withColumnRenamed("entity_id", "target_id"), "block", most, others=True).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_county_links(spark):
+    counties = spark.createDataFrame([("c1", "AL", "Autauga County"), ("c2", "AL", "St. Clair County"), ("c3", "LA", "Acadia Parish"), ("c4", "AL", "Twin County"), ("c5", "AL", "Twin")], "target_id string, state string, name string")
+    entities = spark.createDataFrame([("a", "AL", "AUTAUGA", "x"), ("b", "AL", "St Clair", "x"), ("c", "AL", None, "Autauga County Sheriff's Office"), ("d", "LA", "Orleans", "x"), ("e", "AL", "Twin", "x")], "entity_id string, state string, county_name string, name string")
+    got = {r.entity_id: (r.target_id, r.method, r.score, r.review_status) for r in linkage.county_links(entities, counties).collect()}
+    assert got == {
+        "a": ("c1", "exact_county_name", 1.0, "accepted"), "b": ("c2", "exact_county_name", 1.0, "accepted"), "c": ("c1", "fuzzy_entity_name", 1.0, "accepted"),
+        "d": ("state:LA", "state_fallback", 0.2, "needs_review"), "e": ("c4", "fuzzy_county_name", 1.0, "accepted"),
+    }
+
+
+def test_bundle(spark, tmp_path):
+    df = spark.createDataFrame([(f"e{k % 70}", 2000 + k, "x" if k % 2 else "y") for k in range(200)], "entity_id string, data_year int, kind string")
+    log = spark.createDataFrame([("c", f"e{k}", 2000, "1") for k in range(30)], "check_id string, entity_id string, data_year int, observed string")
+    sinks.export_bundle({"t": df}, log, str(tmp_path / "b"), most=5)
+    assert spark.read.parquet(str(tmp_path / "b/t")).count() == 200 and spark.read.parquet(str(tmp_path / "b/data_quality_log")).count() == 5
+    assert rows(sinks.dictionary_columns(df), "column_name", "n_distinct", "coded") == [("entity_id", 70, False), ("kind", 2, True)]
+
+
 def test_islands_and_lags(spark):
     df = spark.createDataFrame([("e", y, v) for y, v in [(2001, 1), (2002, None), (2003, 3), (2004, 30), (2006, 31)]], "e string, y int, v int")
     assert rows(windows.islands(df, "e", "y", "v"), "begin", "end", "points") == [(2001, 2001, 1), (2003, 2006, 3)]
