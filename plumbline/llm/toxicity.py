@@ -19,6 +19,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,14 @@ SEPARATORS = "-_.,*#~'/\\:;\"^`"
 #: Costs (negative log probabilities) of a disguise: a substitute, a separator or another sign left out, a long run or a
 #: double letter read as one, a blank left out.
 SUBSTITUTE, SEPARATOR, SIGN, RUN, DOUBLE, BLANK = 1.5, 0.5, 4.0, 0.5, 3.0, 0.2
-BEAM = 16
 #: Lengths of the beginnings of words that count as words.
 BEGINS = (4, 5, 6, 7)
 #: Signs around a word that are no part of it.
 EDGE = "\"'#%&*.,;:?!()[]{}<>|/\\-_=+~^`$@…"
+#: Those of them that are stripped where the others may stand for letters.
+QUIET = "\"'#%&*.,;:?)[]{}<>/\\-_=~^`"
+#: Tokens that a worker process remembers at most; the memory is cleared when full, results stay the same.
+REMEMBERED = 300_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: What a reading can come from, and three or more of one letter.
 READABLE = {*LETTERS, *STANDS_FOR}
@@ -112,13 +116,21 @@ def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
         i = j
 
 
-def flat(costs: np.ndarray | list[float]) -> list[float]:
-    """The costs as one list, which is quicker to look up in."""
-    return costs if isinstance(costs, list) else costs.ravel().tolist()
+class Costs(list):
+    """The costs as one list, which is quicker to look up in, and how far two letters can set readings apart."""
 
+    def __init__(self, costs: np.ndarray):
+        super().__init__(costs.ravel().tolist())
+        self.apart = 2 * float(costs.max() - costs.min()) + 1e-6
 
-def restore(token: str, costs: np.ndarray | list[float]) -> str:
-    """The likeliest reading of a token: words of a-z, blanks between them where letters were spaced."""
+
+def restore(token: str, costs: np.ndarray | Costs) -> str:
+    """The likeliest reading of a token: words of a-z, blanks between them where letters were spaced.
+
+    A Viterbi search over the last two letters.  From the next two letters on
+    all readings cost the same, so one that is dearer than the cheapest by more
+    than two letters can cost is out whatever follows: this bound loses nothing.
+    """
     def text(end):
         back = []
         while end is not None:
@@ -126,7 +138,8 @@ def restore(token: str, costs: np.ndarray | list[float]) -> str:
             back.append(letters)
         return "".join(reversed(back))
 
-    costs, done, steps = flat(costs), [], 0
+    costs = costs if isinstance(costs, Costs) else Costs(costs)
+    apart, done, steps = costs.apart, [], 0
     best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last two letters: cost, and the letters as a chain
     for some in lattice(token):
         after: dict[int, tuple[float, tuple | None]] = {}
@@ -139,7 +152,10 @@ def restore(token: str, costs: np.ndarray | list[float]) -> str:
                     x = at % 729
                 if x not in after or total < after[x][0]:
                     after[x] = (total, (end, letters) if letters else end)
-        best = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda kv: kv[1][0])[:BEAM])
+        if len(after) > 8:
+            most = min(after.values(), key=itemgetter(0))[0] + apart
+            after = {x: held for x, held in after.items() if held[0] <= most}
+        best = after
         steps += 1
         if steps > 1000 and len(best) == 1:  # all readings share what came so far
             (state, (cost, end)), steps = *best.items(), 0
@@ -148,11 +164,20 @@ def restore(token: str, costs: np.ndarray | list[float]) -> str:
     return "".join(done) + min((cost + costs[state * 27], text(end)) for state, (cost, end) in best.items())[1]
 
 
+class Fold(dict):
+    """By code point: what is left of a character without accents, widths and invisible parts."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = out = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        return out
+
+
+FOLD = Fold()
+
+
 def folded(token: str) -> str:
     """Lower case without accents, widths and invisible characters."""
-    if token.isascii():
-        return token.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", token.lower()) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return token.lower() if token.isascii() else token.lower().translate(FOLD)
 
 
 def begins(word: str) -> set[str]:
@@ -160,15 +185,24 @@ def begins(word: str) -> set[str]:
     return {word, *(word[:n] + "*" for n in BEGINS if len(word) >= n)}
 
 
-def readings(token: str, costs: np.ndarray | list[float]) -> tuple[str, ...]:
+def plain(token: str) -> tuple[str, ...]:
+    """The word of a token that is no disguise (letters, no run of three, quiet signs around them), and without accents; else none."""
+    core = token.strip(QUIET)
+    if not core.isalpha():
+        return ()
+    word = core.lower()
+    bare = word if token.isascii() else word.translate(FOLD)
+    return () if not bare.isalpha() or RUNS.search(bare) else (word,) if bare == word else (word, bare)
+
+
+def readings(token: str, costs: np.ndarray | Costs) -> tuple[str, ...]:
     """What a token says: its words and their beginnings as they stand and, if it looks disguised, words as restored."""
-    if token.isascii() and token.isalpha() and not RUNS.search(token.lower()):
-        return tuple(begins(token.lower()))
-    plain = token.lower().strip(EDGE)
-    out = set().union(*map(begins, [plain] if plain.isalpha() else [w for w in re.split(r"[\W_]+", plain) if w]))
+    if words := plain(token):
+        return tuple(set().union(*map(begins, words)))
+    stripped = token.lower().strip(EDGE)
+    out = set().union(*map(begins, [stripped] if stripped.isalpha() else [w for w in re.split(r"[\W_]+", stripped) if w]))
     t = folded(token)
-    core = t.strip(EDGE)
-    edges = t.strip("\"'#%&*.,;:?)[]{}<>/\\-_=~^`")  # keeps signs that may stand for letters
+    core, edges = t.strip(EDGE), t.strip(QUIET)
     if edges != core or not core.isalpha() or RUNS.search(core):
         for form in {core, edges}:
             if len(form) > 1 and not READABLE.isdisjoint(form):
@@ -178,31 +212,62 @@ def readings(token: str, costs: np.ndarray | list[float]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def words_of(text: str, costs: np.ndarray | list[float], known: dict, wanted: dict | None = None) -> set[str]:
-    """The distinct words of a text, disguised ones restored; only wanted ones, if given (known is for one such set)."""
-    def some(words):
-        return tuple(words) if wanted is None else tuple(w for w in words if w in wanted)
-
-    out: set[str] = set()
-    for token in set(text.split()):
-        got = known.get(token)
-        if got is None:
-            if len(known) > (150_000 if wanted is not None else 60_000):
-                known.clear()
-            got = known[token] = some(readings(token, costs))
-        out.update(got)
+def spaced_runs(text: str) -> Iterator[str]:
+    """Words of the text that come letter by letter, as letters with blanks between them."""
     spaced = {m[0] for m in SPACED.finditer(text)}
     if any(c in STANDS_FOR and not c.isdigit() for x in spaced for c in x):  # letters alone are read too, signs beside them may be no part of the word
         spaced.update(m[0] for m in LETTERED.finditer(text))
     for x in spaced:
-        run = folded(" ".join([x[0], *NEXT.findall(x, 1)]))
-        got = known.get(run)
-        if got is None:
-            got = known[run] = some(set().union(*(begins(w) for w in restore(run, costs).split() if len(w) > 1)))
-        out.update(got)
+        yield folded(" ".join([x[0], *NEXT.findall(x, 1)]))
+
+
+def words_of(text: str, costs: np.ndarray | Costs, known: dict) -> set[str]:
+    """The distinct words of a text and their beginnings, disguised ones restored; known: what tokens say."""
+    out: set[str] = set()
+    if len(known) > REMEMBERED // 5:
+        known.clear()
+    tokens = set(text.split())
+    for token in tokens.difference(known):
+        known[token] = readings(token, costs)
+    out.update(*map(known.__getitem__, tokens))
+    for run in spaced_runs(text):
+        out.update(*(begins(w) for w in restore(run, costs).split() if len(w) > 1))
     return out
 
 
+class Telling:
+    """Finds the wanted words in texts: as words_of would, without making the others."""
+
+    def __init__(self, wanted: dict, costs: np.ndarray | Costs, memory: dict):
+        self.wanted, self.costs, self.memory = wanted, costs, memory
+        self.stems = [(n, {w[:n] for w in wanted if len(w) == n + 1 and w[-1] == "*"}) for n in BEGINS]
+        self.stems = [(n, found) for n, found in self.stems if found]
+
+    def of_word(self, word: str) -> list[str]:
+        found = [word[:n] + "*" for n, stems in self.stems if word[:n] in stems]
+        return [word, *found] if word in self.wanted else found
+
+    def __call__(self, text: str) -> set[str]:
+        seen, telling = self.memory.setdefault("seen", set()), self.memory.setdefault("telling", {})
+        if len(seen) > REMEMBERED:
+            seen.clear()
+            telling.clear()
+        tokens = set(text.split())
+        new = tokens - seen
+        for token in new:
+            words = plain(token)
+            got = [x for w in words for x in self.of_word(w)] if words else [w for w in readings(token, self.costs) if w in self.wanted]
+            if got:
+                telling[token] = got
+        seen |= new
+        out: set[str] = set()
+        for token in tokens.intersection(telling):
+            out.update(telling[token])
+        for run in spaced_runs(text):
+            out.update(*(self.of_word(w) for w in restore(run, self.costs).split() if len(w) > 1))
+        return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of a logistic regression, the last one without penalty, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -233,15 +298,16 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, id_col: str, text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id")
 
     def words(batches):
-        costs, known = flat(shared.value), {}
-        for batch in batches:
+        costs, known = Costs(shared.value), {}
+        for batch in (b.slice(begin, 100) for b in batches for begin in range(0, b.num_rows, 100)):  # a text has thousands of words and beginnings
             got = [list(words_of(t or "", costs, known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.string()))], ["id", "y", "words"])
 
     def hits(batches):
-        index, costs, known = chosen.value, flat(shared.value), {}
+        index = chosen.value
+        told = Telling(index, Costs(shared.value), {})
         for batch in batches:
-            got = [sorted({index[w] for w in words_of(t or "", costs, known, index)}) for t in batch.column(1).to_pylist()]
+            got = [sorted({index[w] for w in told(t.as_py() or "")}) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(got, pa.list_(pa.int32()))], ["y", "at"])
 
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
@@ -273,9 +339,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Per row: id, held_out, score (0 to 1), predicted (1 if score >= threshold), and the columns named in keep.
 
     Rows whose crc32(id) mod 4 is 2 are held out: their labels are not read.
-    Null and empty texts get the score of a text without known words; repeated
-    rows stay; without labels the score is the same for all.  Driver and
-    broadcast hold 27^3 counts and at most FEATURES words.
+    Null and empty texts get the score of a text without known words, texts of
+    any length are read whole; repeated rows stay and score alike; an empty
+    table gives no rows; several labels of one id count as their majority, a tie
+    as toxic; without labels the score is the same for all.  Columns of docs may
+    have any names.  Driver and broadcast hold 27^3 counts and a model of at
+    most FEATURES words.
     """
     spark = docs.sparkSession
     costs = character_costs(character_counts(docs, text_col))
@@ -284,10 +353,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         costs, weights, bias = shared.value
-        costs = flat(costs)
-        known = process_memory(("toxic", run_id))
+        told = Telling(weights, Costs(costs), process_memory(("toxic", run_id)))
         for batch in batches:
-            total = [bias + sum(weights[w] for w in words_of(t or "", costs, known, weights)) for begin in range(0, batch.num_rows, 500) for t in batch.column(0).slice(begin, 500).to_pylist()]
+            total = [bias + sum(weights[w] for w in sorted(told(t or ""))) for begin in range(0, batch.num_rows, 500) for t in batch.column(0).slice(begin, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))))], names)
 
     others = [F.col(id_col).alias("c0"), crc_mod(id_col, 4).eqNullSafe(2).alias("c1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(keep or [], 2))]
