@@ -20,17 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import VOCABULARY, WordCoder, short_encoder, stable_parts, text_blocks
+from .tokens import VOCABULARY, TextCoder, text_blocks
 
 SIZE = 2048
 #: The share of the fitted repeats that is used; the rest leaves lengths of all kinds for the best-fit step.
 FITTED = 0.8
 
 
-def little_endian(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def exact_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
     """All of one, two or three of the lengths, largest first, that add up to size; 0 fills up."""
     there = np.zeros(size + 1, bool)
@@ -149,17 +145,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        coder = WordCoder(None, little_endian, short_encoder(vocabulary), vocabulary)
+        coder = TextCoder(vocabulary)
         seen = [0] * (size + 1)
         end = b"\0\0\0\0"
         for batch in batches:
             at, piece, start, length, crc, rank = [], [], [], [], [], []
             for begin, texts in text_blocks(batch.column(1)):
-                parts = [stable_parts(t) for t in texts]
-                coder.learn(parts)
-                known = coder.known.__getitem__
-                for row, p in enumerate(parts, begin):
-                    ids = b"".join(map(known, p)) + end
+                for row, found in enumerate(coder.ids(texts), begin):
+                    ids = found.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     where, k = 0, 0
                     while where < n:

@@ -7,8 +7,8 @@ character; and what follows a pre-token's begin depends on the text from there
 on only.  So such a place is a *stable boundary*: the ids of the whole text
 are those of its left and right parts joined.
 
-* `WordCoder` cuts texts at stable boundaries and encodes each distinct part
-  once a task.
+* `TextCoder` cuts texts at stable boundaries where the script changes, and
+  gives each run to the library that encodes it fastest.
 * `spliced_count` encodes overlapping chunks of a huge document with offsets
   and joins neighbours at a stable boundary where both have a token boundary;
   where the overlap holds none, it is widened.
@@ -17,7 +17,9 @@ are those of its left and right parts joined.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
 SPACE_BLANK = re.compile(r"\s ")
-#: Parts that a worker process remembers at most; the memory is cleared when full, results stay the same.
-REMEMBERED = 200_000
+#: A character beyond the Latin blocks.
+FAR = re.compile("[^\u0000-\u024f]")
 
 
 def load(vocabulary: str):
@@ -77,12 +79,12 @@ def stable_parts(text: str) -> list[str]:
     return parts
 
 
-def short_encoder(vocabulary: str):
-    """A function from a short text to its ids that costs little a call, or None where no rank file is there.
+def latin_encoder(vocabulary: str):
+    """A function from a text to its ids, several times faster than the tokenizer, or None where no rank file is there.
 
-    The rank file holds the same vocabulary for another library, whose calls
-    are ten times cheaper.  It is asked for Latin text only, where both
-    libraries' tables of letters and white space agree.
+    The rank file holds the same vocabulary for another library.  It is asked
+    for Latin text only, where both libraries' tables of letters and white
+    space agree (the tests compare them over all of it).
     """
     import base64
     from pathlib import Path
@@ -95,37 +97,42 @@ def short_encoder(vocabulary: str):
         return None
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
     own = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-    plain = own.encode_ordinary
-    return lambda text: own.encode(text, allowed_special="all") if "<|" in text else plain(text)
+    return lambda text: own.encode_to_numpy(text, allowed_special="all")
 
 
-class WordCoder:
-    """Encodes stable parts, each distinct one once; `value` turns the list of ids into what is remembered."""
+class TextCoder:
+    """Ids of whole texts under a public vocabulary, as arrays of 32 bits."""
 
-    def __init__(self, tokenizer, value: Callable[[list[int]], object], short=None, vocabulary: str = VOCABULARY):
-        self.given, self.value, self.short, self.vocabulary = tokenizer, value, short, vocabulary
-        self.known = process_memory(("parts", vocabulary, value.__name__))
+    def __init__(self, vocabulary: str = VOCABULARY):
+        self.vocabulary, self.latin, self.loaded = vocabulary, latin_encoder(vocabulary), None
 
     @property
     def tokenizer(self):
-        """The tokenizer given, else one loaded when it is first needed."""
-        if self.given is None:
-            self.given = load(self.vocabulary)
-        return self.given
-
-    def learn(self, texts: list[list[str]]) -> None:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for parts in texts for p in parts if p not in known})
-        if self.short:
-            latin = [p for p in new if max(p) < "\u0250"]
-            known.update(zip(latin, map(self.value, map(self.short, latin)), strict=True))
-            new = [p for p in new if p not in known]
-        for begin in range(0, len(new), 10_000):
-            some = new[begin : begin + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = self.value(e.ids)
+        """The tokenizer, loaded when it is first needed."""
+        if self.loaded is None:
+            self.loaded = load(self.vocabulary)
+        return self.loaded
+
+    def runs(self, text: str) -> list[tuple[bool, str]]:
+        """The text in runs of stable parts within the Latin blocks (True) and beyond."""
+        if self.latin is None:
+            return [(False, text)]
+        found = ((FAR.search(part) is None, part) for part in stable_parts(text))
+        return [(latin, "".join(p for _, p in run)) for latin, run in groupby(found, itemgetter(0))]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        mixed = {}
+        for i, t in enumerate(texts):
+            if self.latin is not None and (t.isascii() or not FAR.search(t)):
+                out[i] = self.latin(t)
+            else:
+                mixed[i] = self.runs(t)
+        if mixed:
+            far = iter(self.tokenizer.encode_batch_fast([t for runs in mixed.values() for latin, t in runs if not latin], add_special_tokens=False))
+            for i, runs in mixed.items():
+                out[i] = np.concatenate([np.zeros(0, np.uint32), *(self.latin(t) if latin else np.array(next(far).ids, np.uint32) for latin, t in runs)])
+        return out
 
 
 def text_blocks(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -188,19 +195,19 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have 0 of both; repeated rows stay repeated; a null id
-    stays null; other columns are not read, so their names don't matter.
+    stays null; an empty table gives no rows; texts of over `huge` characters
+    are encoded in chunks; other columns are not read, so their names don't
+    matter.
     """
     def run(batches):
-        coder = WordCoder(None, len, short_encoder(vocabulary), vocabulary)
+        coder = TextCoder(vocabulary)
         for batch in batches:
             sizes, counts = [], []
             for _, texts in text_blocks(batch.column(1)):
-                parts = [stable_parts(t) if len(t) <= huge else [] for t in texts]
-                coder.learn(parts)
-                known = coder.known
-                for t, p in zip(texts, parts, strict=True):
+                short = iter(coder.ids([t for t in texts if len(t) <= huge]))
+                for t in texts:
                     sizes.append(len(t.encode()))
-                    counts.append(spliced_count(coder.tokenizer, t, chunk, overlap) if len(t) > huge else sum(map(known.__getitem__, p)))
+                    counts.append(spliced_count(coder.tokenizer, t, chunk, overlap) if len(t) > huge else len(next(short)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
