@@ -53,9 +53,35 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
-def _lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table after another, as folds over characters."""
-    chars = lambda c: F.split(c, "(?!^)")
+#: The longest text whose characters fit the bits of a number.
+BITS = 60
+
+
+def _chars(c: Column) -> Column:
+    return F.split(c, "(?!^)")
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, b no longer than BITS: a row of the table is the bits of one number.
+
+    A bit is 1 where the row doesn't rise; each character of a makes the next
+    row by an addition, whose carries move the rises.
+    """
+    one = F.lit(1).cast("long")
+    places = F.transform(_chars(b), lambda c, j: F.struct(c.alias("c"), F.call_function("shiftleft", one, j).alias("bit")))
+    full = F.call_function("shiftleft", one, F.length(b)) - 1
+
+    def step(held: Column, x: Column) -> Column:
+        row, same = held["row"], F.aggregate(held["places"], F.lit(0).cast("long"), lambda n, p: F.when(p["c"] == x, n + p["bit"]).otherwise(n))
+        after = F.transform(F.array(row.bitwiseAND(same)), lambda hit: (row + hit).bitwiseOR(row - hit).bitwiseAND(held["full"]))  # the hits are made once
+        return F.struct(after[0].alias("row"), held["places"].alias("places"), held["full"].alias("full"))
+
+    first = F.struct(full.alias("row"), places.alias("places"), full.alias("full"))
+    return F.length(b) - F.aggregate(_chars(a), first, step, lambda held: F.bit_count(held["row"]))
+
+
+def _lcs_rows(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of any texts: one row of the table after another, as folds over characters."""
     empty = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
     def row(previous: Column, x: Column) -> Column:
@@ -65,8 +91,13 @@ def _lcs(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
 
-    filled = F.aggregate(chars(a), empty, row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(filled, -1))
+    return F.element_at(F.aggregate(_chars(a), empty, row), -1)
+
+
+def _lcs(a: Column, b: Column) -> Column:
+    n = F.least(F.length(a), F.length(b))
+    short, long = F.when(F.length(a) < F.length(b), a).otherwise(b), F.when(F.length(a) < F.length(b), b).otherwise(a)
+    return F.when(n == 0, F.lit(0)).when(n <= BITS, _lcs_bits(long, short)).otherwise(_lcs_rows(a, b))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

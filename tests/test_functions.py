@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,21 @@ def test_coverage_and_gates(spark):
     why = values(spark, policy.rate_withheld_reason(*columns), rows, "m int, d int, c string, o int")
     assert why == [None, *(policy.REASONS[k] for k in ("partial_year", "no_denominator", "negative_source_value", "not_comparable", "no_reporting")), None]
     assert values(spark, policy.percentile_allowed(F.col("n"), F.col("c")), [(5, "HIGH"), (4, "HIGH"), (None, "HIGH"), (5, "NOT_COMPARABLE")], "n int, c string") == [True, False, False, False]
+
+
+def test_common_subsequence_of_any_length(spark):
+    """By bits for short texts, by rows for long ones."""
+    rng = random.Random(5)
+    pairs = [("".join(rng.choices("ABC é", k=rng.randint(0, 75))), "".join(rng.choices("ABC é", k=rng.randint(0, 75)))) for _ in range(120)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            after = [0]
+            for j, y in enumerate(b):
+                after.append(row[j] + 1 if x == y else max(after[-1], row[j + 1]))
+            row = after
+        return row[-1]
+
+    got = values(spark, measures.indel_ratio(F.col("a"), F.col("b")), pairs, "a string, b string")
+    assert got == pytest.approx([200 * lcs(a, b) / (len(a) + len(b)) if a or b else 100 for a, b in pairs])
