@@ -97,8 +97,8 @@ def test_strings(items: list[tuple[str, str]], window: int) -> tuple[list[bytes]
     return list(of), [n for n, _ in of.values()], [sorted(x) for _, x in of.values()]
 
 
-def find(docs: DataFrame, key: str, text_col: str, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """key, n_words, ranges (of hit words, begin and end), items (names) for each row and one block of items."""
+def find(docs: DataFrame, text_col: str, carried: list[str], items: list[tuple[str, str]], window: int) -> DataFrame:
+    """The carried columns as c0, c1 and so on, n_words, ranges (of hit words, begin and end), items (names) for each row and one block of items."""
     spark = docs.sparkSession
     strings, sizes, names = test_strings(items, window)
     shared = spark.sparkContext.broadcast((strings, sizes, names))
@@ -136,7 +136,7 @@ def find(docs: DataFrame, key: str, text_col: str, items: list[tuple[str, str]],
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("until", pa.int32())]))
         for batch in batches:
             counts, ranges, items, held, size = [], [], [], [], 0
-            for t in [*batch.column(1), None]:
+            for t in [*batch.columns[-1], None]:
                 if held and (t is None or size > 1_000_000):
                     for out, x in zip((counts, ranges, items), block(held), strict=True):
                         out += x
@@ -144,40 +144,44 @@ def find(docs: DataFrame, key: str, text_col: str, items: list[tuple[str, str]],
                 if t is not None:
                     held.append(t.as_py() or "")
                     size += len(held[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ranges, kind), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "ranges", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ranges, kind), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[:-1], "n_words", "ranges", "items"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_words long, ranges array<struct<begin:int,until:int>>, items array<string>")
+    given = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carried)), F.col(text_col).cast("string").alias("text"))
+    fields = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried))
+    return given.mapInArrow(run, f"{fields}, n_words long, ranges array<struct<begin:int,until:int>>, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, items, ranges.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, items, ranges, and the columns named in keep.
 
     `ranges` are the runs of hit words (begin, until) and `items` the names of
     the items found, sorted.  Null and empty texts have no words; a null item
     id is named by the empty text; repeated rows of docs stay, items of one id
-    count once.  With an empty benchmark nothing is hit.
+    count once; texts may be of any length.  With an empty benchmark nothing is
+    hit, an empty docs gives no rows.  Columns that aren't named are not read.
 
     Test strings reach the tasks as a broadcast of at most BLOCK_BYTES of
     benchmark text; a larger benchmark is searched for in several blocks.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
+    blocks, carried = -(-total // BLOCK_BYTES) or 1, [id_col, *(keep or [])]
     if blocks == 1:
-        out = find(docs, id_col, text_col, [tuple(r) for r in items.collect()], window).withColumnRenamed("id", id_col)
+        out = find(docs, text_col, carried, [tuple(r) for r in items.collect()], window)
     else:
         (key,) = fresh(docs, "row")
-        rows = written(docs.select(F.monotonically_increasing_id().alias(key), id_col, text_col), "rows")
+        rows = written(docs.select(F.monotonically_increasing_id().alias(key), text_col, *(c for c in carried if c != text_col)), "rows")
         parts = None
         for k in range(blocks):
             block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()
-            part = written(find(rows, key, text_col, [tuple(r) for r in block], window), "hits")
+            part = written(find(rows, text_col, [key], [tuple(r) for r in block], window), "hits")
             parts = part if parts is None else parts.unionByName(part)
-        merged = parts.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = rows.select(F.col(key).alias("id"), id_col).join(merged, "id").drop("id")
+        merged = parts.groupBy("c0").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = rows.select(F.col(key), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carried, 1))).join(merged.withColumnRenamed("c0", key), key).drop(key)
+        out = out.select(*(F.col(f"c{k + 1}").alias(f"c{k}") for k in range(len(carried))), "n_words", "ranges", "items")
     hit = F.size(F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["begin"], r["until"] - 1))))).cast("long")
     return out.select(
-        id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("c0").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "items", "ranges",
+        *(F.col(f"c{k}").alias(c) for k, c in enumerate(keep or [], 1)),
     )

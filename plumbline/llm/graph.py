@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import HOT_SHARE, erased, written
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,19 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
 
 
+def with_least(rows: DataFrame, total: int, own: bool) -> tuple[DataFrame, DataFrame]:
+    """rows (a, b) with m, the least b of each a (own: or a itself), and the table of a and m.
+
+    A star's centre may hold any share of the rows, so its m is not joined by
+    key: the few centres of over HOT_SHARE of `total` rows are broadcast.
+    """
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", (F.least("a", "m") if own else F.col("m")).alias("m"), "n")
+    hot = F.broadcast(least.where(F.col("n") > max(total * HOT_SHARE, 100)).select("a", F.col("m").alias("hot")))  # at most 2 / HOT_SHARE rows
+    marked = rows.join(hot, "a", "left")
+    cold = marked.where(F.col("hot").isNull()).select("a", "b").join(least.select("a", "m"), "a")
+    return marked.where(F.col("hot").isNotNull()).select("a", "b", F.col("hot").alias("m")).unionByName(cold), least.select("a", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for each node of an edge; rounds of stars until nothing changes.
 
@@ -48,15 +61,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(forest(edges).where("a <> b"), "edges")
     while True:
+        total = now.count()
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of a node go to the smallest one around it
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        around, _ = with_least(both, total, True)
+        larger = around.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours go to the smallest of them
-        down = larger.where("a > b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        star = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        down, low = with_least(larger.where("a > b").distinct(), total, False)
+        star = down.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         after = written(star, "edges")
+        erased(now)
         # done when each node has one edge and no node of the left side is on the right side
         left = after.select("a")
         many = after.groupBy("a").count().where("count > 1").limit(1).count()

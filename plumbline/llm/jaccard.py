@@ -4,17 +4,20 @@
    sets are one node from here on.
 2. Sizes are cut into bands.  Within a band two linked sets differ in fewer
    than `parts` hashes, so when the hash space is cut into `parts` parts, at
-   least one part is equal in both.  A node emits one number for each part; a
-   node that may link with the next band emits that band's numbers too.
+   least one part is equal in both.  A node emits one number for each part
+   that holds hashes, for its own band and for the next one that it may reach.
 3. Nodes that share a number form candidate groups (linear many edges).
 4. The nodes of a group meet in tiles: blocks of one size band against blocks
-   of the same and the next one.  Hashed bitmaps bound the overlap of a pair
-   from above, and pairs that pass are intersected exactly.
+   of the same and the next one.  Bits that the hashes set bound the overlap of
+   a pair from above.  In large groups a first round of tiles compares the bits
+   alone and leaves the smaller groups of nodes that may link; in the second
+   round pairs that pass are intersected exactly.
 5. Links make components; documents take their set's component.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,26 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, written
+from .common import HOT_SHARE, erased, written
 from .graph import components, join_hot
 from .words import WordHasher, mixed
 
 #: Hashes in a tile's side, about; a side is one row at least.
 BLOCK = 1_500_000
-#: 64-bit words of a bitmap.
-WORDS = 16
+#: How often a set is divided into parts at most, until it fills enough of them.
+DIVISIONS = 16
 MASK = (1 << 64) - 1
 
 
 class Rule:
     """Linked means 100 * shared >= percent * united; bands of sizes, and the parts that each band needs."""
 
-    def __init__(self, percent: int, width: int = 2, most: int = 1 << 31):
+    def __init__(self, percent: int, most: int = 1 << 31):
         self.percent = percent
         low, starts = 1, []
         while low < most:
             starts.append(low)
-            low = max(low + 1, -(-int(low * 100**width) // percent**width))
+            low = max(low + 1, -(-low * 100 // percent))
         self.starts = np.array([*starts, most], np.int64)
 
     def band(self, n: np.ndarray) -> np.ndarray:
@@ -75,19 +78,29 @@ def shingle_hashes(texts: list[str | None], k: int, hasher: WordHasher) -> Itera
 
 
 def part_numbers(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
-    """Numbers of the parts of the hash space: of the band, the part and a sum over the part's hashes.
-
-    Two linked sets share more than `differ` parts less those empty in both.
-    So empty parts are left out by every set that fills more parts than that;
-    a pair then still shares a filled part, unless both sets name empty ones.
+    """Numbers of the filled parts of the hash space: of the band, the division, the part and a sum over the part's hashes.
+
+    Two linked sets agree on more parts than are empty in both, and so on a
+    filled one, if either set fills more parts than they can `differ` by.  A
+    set that doesn't is divided anew by other bits, until it does.  Two sets
+    share all divisions up to the first in which either fills enough, so no
+    link is lost; empty parts are named in the last division alone, which a
+    set of random hashes hardly ever reaches.
     """
-    parts = rule.parts(band)
-    place = ((s >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-    sums = np.zeros(parts, np.uint64)
-    np.add.at(sums, place, mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))
-    numbers = mixed(sums + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band * 0xC2B2AE3D27D4EB4F) & MASK)).view(np.int64)
-    filled = np.bincount(place, minlength=parts) > 0
-    return numbers[filled] if filled.sum() > rule.differ(band) else numbers
+    parts, differ = rule.parts(band), rule.differ(band)
+    at, out = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), []
+    worth = mixed(s ^ np.uint64(0xD6E8FEB86659FD93))
+    for division in range(DIVISIONS):
+        turned = s if not division else mixed(s + np.uint64(division * 0xA0761D6478BD642F & MASK))
+        place = ((turned >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, place, worth)
+        numbers = mixed(sums + at + np.uint64((band * DIVISIONS + division) * 0xC2B2AE3D27D4EB4F & MASK)).view(np.int64)
+        filled = np.bincount(place, minlength=parts) > 0
+        out.append(numbers[filled])
+        if filled.sum() > differ:
+            return np.concatenate(out)
+    return np.concatenate([*out, numbers[~filled]])
 
 
 def node_of(s: np.ndarray) -> tuple[bytes, int]:
@@ -164,78 +177,131 @@ def candidate_edges(parts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def tile_links(rows: list[tuple[int, int, np.ndarray]], sides: list[int], rule: Rule, weights: list[int], both: bool) -> list[tuple[int, int, int]]:
-    """Verified links of one tile: (node, smallest linked node seen, number of documents linked).
-
-    rows: node, size, hashes.  sides: 0 or 1; pairs within a side count only
-    where the tile is a block against itself (both).
-    """
-    order = sorted(range(len(rows)), key=lambda i: rows[i][1])
-    rows, sides, weights = [rows[i] for i in order], np.array(sides)[order], np.array(weights, np.int64)[order]
-    size = np.array([r[1] for r in rows], np.int64)
-    bits = np.zeros((len(rows), WORDS), np.uint64)
-    for i, (_, _, s) in enumerate(rows):
-        at = s & np.uint64(64 * WORDS - 1)
-        np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    root, count = list(range(len(rows))), np.zeros(len(rows), np.int64)
-
-    def find(i):
+def bits_of(s: np.ndarray) -> np.ndarray:
+    """A bitmap with the hashes' low bits set, of four to eight bits a hash."""
+    words = 1 << max(0, (4 * len(s) - 1).bit_length() - 6)
+    at = s & np.uint64(64 * words - 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+class Tile:
+    """Nodes that meet: sizes, bitmaps, and which pairs count (sides 0 and 1 where two blocks meet, else one side)."""
+
+    def __init__(self, sizes: list[int], bits: list[np.ndarray], sides: list[int], both: bool, rule: Rule):
+        self.rule, self.both = rule, both
+        self.order = np.argsort(np.array(sizes, np.int64), kind="stable")
+        self.size, self.sides = np.array(sizes, np.int64)[self.order], np.array(sides)[self.order]
+        bits = [bits[i] for i in self.order.tolist()]
+        width = np.array(list(map(len, bits)))  # ascends, as sizes do
+        self.begins = np.flatnonzero(np.r_[True, width[1:] != width[:-1]]).tolist()
+        self.ends = [*self.begins[1:], len(bits)]
+        self.classes = [np.stack(bits[a:b]) for a, b in zip(self.begins, self.ends, strict=True)]
+        self.narrow = {}
+        self.root = list(range(len(sizes)))
+
+    def folded(self, c: int, width: int) -> np.ndarray:
+        """The bitmaps of a class at a narrower width: a bit falls where it does when the parts are laid together."""
+        if (c, width) not in self.narrow:
+            bits = self.classes[c]
+            self.narrow[c, width] = bits if bits.shape[1] == width else np.bitwise_or.reduce(bits.reshape(len(bits), -1, width), 1)
+        return self.narrow[c, width]
+
+    def apart(self, i: int, until: int) -> np.ndarray:
+        """How many bits tell i from each place behind it, up to until: no more than hashes do."""
+        c = bisect_right(self.begins, i) - 1
+        own = self.classes[c][i - self.begins[c]]
+        out = []
+        while c < len(self.begins) and self.begins[c] < until:
+            a, b = max(i + 1, self.begins[c]), min(until, self.ends[c])
+            out.append(np.bitwise_count(self.folded(c, len(own))[a - self.begins[c] : b - self.begins[c]] ^ own).sum(1, dtype=np.int64))
+            c += 1
+        return np.concatenate(out)
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each place in the order: the places behind it whose overlap may be enough by the bits, and how much is enough."""
+        size = self.size
+        for i in range(len(size) - 1):
+            until = int(np.searchsorted(size, size[i] * 100 // self.rule.percent, "right"))
+            if until > i + 1:
+                both = size[i] + size[i + 1 : until]
+                need = self.rule.least(both)
+                good = (both - self.apart(i, until)) // 2 >= need
+                if not self.both:
+                    good &= self.sides[i + 1 : until] != self.sides[i]
+                at = np.flatnonzero(good)
+                if len(at):
+                    yield i, at + i + 1, need[at]
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    for i in range(len(rows)):
-        until = int(np.searchsorted(size, size[i] * 100 // rule.percent, "right"))
-        j = np.arange(i + 1, until)
-        if not both:
-            j = j[sides[j] != sides[i]]
-        if not len(j):
-            continue
-        need = rule.least(size[i] + size[j])
-        bound = (size[i] + size[j] - np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)) // 2
-        j, need = j[bound >= need], need[bound >= need]
-        if not len(j):
-            continue
-        own = rows[i][2]
-        flat = np.concatenate([rows[x][2] for x in j.tolist()])
-        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        shared = np.add.reduceat((own[at] == flat).astype(np.int64), np.r_[0, np.cumsum(size[j])[:-1]])
+    def unite(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+
+
+def likely_links(tile: Tile, nodes: list[int]) -> list[tuple[int, int]]:
+    """(node, another) for the nodes of a tile that may link by their bits: the same groups as all such pairs make."""
+    for i, j, _ in tile.likely():
+        for x in j.tolist():
+            tile.unite(i, x)
+    own = [nodes[i] for i in tile.order.tolist()]
+    return [(own[i], own[k]) for i in range(len(own)) if (k := tile.find(i)) != i]
+
+
+def exact_links(tile: Tile, nodes: list[int], hashes: list[np.ndarray], weights: list[int]) -> list[tuple[int, int, int]]:
+    """Verified links of a tile: (node, smallest linked node seen, number of documents linked)."""
+    own = [(nodes[i], hashes[i], weights[i]) for i in tile.order.tolist()]
+    count = np.zeros(len(own), np.int64)
+    for i, j, need in tile.likely():
+        mine = own[i][1]
+        flat = np.concatenate([own[x][1] for x in j.tolist()])
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        shared = np.add.reduceat((mine[at] == flat).astype(np.int64), np.r_[0, np.cumsum(tile.size[j])[:-1]])
         for x in j[shared >= need].tolist():
-            count[i] += weights[x]
-            count[x] += weights[i]
-            a, b = find(i), find(x)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return [(rows[i][0], rows[find(i)][0], int(count[i])) for i in range(len(rows)) if count[i]]
+            count[i] += own[x][2]
+            count[x] += own[i][2]
+            tile.unite(i, x)
+    return [(own[i][0], own[tile.find(i)][0], int(count[i])) for i in range(len(own)) if count[i]]
 
 
-def verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """node, other, links from tiles of the candidate groups; members: node, group, n, rep (a document), copies, set_key."""
-    rule = Rule(percent)
-    spark = members.sparkSession
-    # the texts of candidates alone become arrays of hashes; members grow with the input, so they are never broadcast
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "rep").select("node", "group", "copies", "set_key", "n", "text")
+def member_hashes(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """node, n, hashes for each member (node, n, rep: a document's id, set_key): members' texts alone become arrays again."""
+    # members grow with the input, so they are never broadcast
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "rep").select("node", "set_key", "n", "text")
 
-    def arrays(batches):
+    def run(batches):
         import xxhash
 
         hasher = WordHasher()
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
-                got = list(shingle_hashes(some.column(5).to_pylist(), k, hasher))
-                good = [i for i, (s, key) in enumerate(zip(got, some.column(3).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == key]
+                got = [s.tobytes() for s in shingle_hashes(some.column(3).to_pylist(), k, hasher)]
+                good = [i for i, (s, key) in enumerate(zip(got, some.column(1).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s) == key]  # an id may have several texts
                 taken = some.take(pa.array(good, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), taken.column(4), pa.array([got[i].tobytes() for i in good], pa.binary())], ["node", "group", "copies", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(2), pa.array([got[i] for i in good], pa.binary())], ["node", "n", "hashes"])
 
-    ready = texts.mapInArrow(arrays, "node long, group long, copies long, n long, hashes binary")
-    # groups of up to BLOCK hashes are one tile; larger ones are cut by bands of sizes and then by salts
-    step = np.log(100 / percent)
-    fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    banded = members.where(F.col("weight") > BLOCK).groupBy("group", fine.alias("fine")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    return texts.mapInArrow(run, "node long, n long, hashes binary")
+
+
+def tiled(grouped: DataFrame, percent: int, payload: str, work, schema: str) -> DataFrame:
+    """work(rows of one tile, whether all its pairs count) -> tuples; grouped: group, node, n, weight of the group, payload, others.
+
+    Groups of up to BLOCK hashes are one tile.  Larger ones are cut by bands of
+    sizes, and bands by salts of the node, into blocks that meet pairwise.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
+    banded = grouped.where(F.col("weight") > BLOCK).groupBy("group", fine.alias("fine")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     maps = banded.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("fine", "blocks"))).alias("blocks"))
-    placed = ready.join(maps, "group", "left").withColumn("fine", fine)
+    placed = grouped.join(maps, "group", "left").withColumn("fine", fine)
     salt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     own = F.coalesce(F.element_at("blocks", F.col("fine")), F.lit(1))
     up, down = (F.coalesce(F.element_at("blocks", F.col("fine") + d), F.lit(0)) for d in (1, -1))
@@ -251,33 +317,71 @@ def verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     above = each(up, lambda t: tile(F.col("fine"), mine, F.col("fine") + 1, t, F.lit(0)))
     below = each(down, lambda t: tile(F.col("fine") - 1, t, F.col("fine"), mine, F.lit(1)))
     alone = F.array(tile(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
-    tiles = placed.withColumn("tile", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(same, above, below)))).select("group", "tile.fa", "tile.sa", "tile.fb", "tile.sb", "tile.side", "node", "n", "copies", "hashes")
+    keys = ["group", "fa", "sa", "fb", "sb"]
+    others = [c for c in grouped.columns if c not in {"group", "weight"}]
+    tiles = placed.withColumn("tile", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(same, above, below)))).select("group", *(f"tile.{c}" for c in (*keys[1:], "side")), *others)
 
     def run(batches):
         key, held = None, {}
 
         def done():
-            if len(held) > 1:
-                rows = [(node, n, np.frombuffer(h, np.uint64)) for node, (n, _, _, h) in held.items()]
-                both = key[1:3] == key[3:5]
-                return tile_links(rows, [x[1] for x in held.values()], rule, [x[2] for x in held.values()], both)
-            return []
+            got = work(list(held.values()), key[1:3] == key[3:5]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names) if got else None
 
         for batch in batches:
-            out = []
+            columns = batch.schema.names
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:5] != key:
-                    out += done()
+                    if (out := done()) is not None:
+                        yield out
                     key, held = row[:5], {}
-                held[row[6]] = (row[7], row[5], row[8], row[9])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "other", "links"])
-        out = done()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "other", "links"])
+                row = dict(zip(columns, row, strict=True))
+                row[payload] = np.frombuffer(row[payload], np.uint64)
+                held[row["node"]] = row
+        if (out := done()) is not None:
+            yield out
 
-    keys = ["group", "fa", "sa", "fb", "sb"]
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, other long, links long")
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def narrowed(groups: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """group, node, weight: large groups cut down to the groups of nodes that may link by their bits; small ones as they are."""
+    rule = Rule(percent)
+
+    def weighed(df):
+        return df.join(df.groupBy("group").agg(F.sum("n").alias("weight")), "group")
+
+    def sketch(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array([bits_of(np.frombuffer(h.as_py(), np.uint64)).tobytes() for h in batch.column(4)], pa.binary())], ["group", "weight", "node", "n", "bits"])
+
+    def work(rows, both):
+        tile = Tile([r["n"] for r in rows], [r["bits"] for r in rows], [r["side"] for r in rows], both, rule)
+        return likely_links(tile, [r["node"] for r in rows])
+
+    all_ = weighed(groups)
+    large = all_.where(F.col("weight") > BLOCK).select("group", "weight", "node").join(arrays, "node").select("group", "weight", "node", "n", "hashes").mapInArrow(sketch, "group long, weight long, node long, n long, bits binary")
+    edges = tiled(large, percent, "bits", work, "a long, b long")
+    small = all_.where(F.col("weight") <= BLOCK).select("group", "node", "weight")
+    kept = components(edges).withColumnRenamed("component", "group").join(groups.select("node", "n"), "node")
+    return small.unionByName(weighed(kept).select("group", "node", "weight"))
+
+
+def verified(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """node, other, links from tiles of the candidate groups; members: node, group, n, rep (a document), copies, set_key."""
+    rule = Rule(percent)
+    arrays = written(member_hashes(members, docs, id_col, text_col, k), "arrays")
+    groups = written(narrowed(members.select("group", "node", "n"), arrays, percent), "narrowed")
+
+    def work(rows, both):
+        hashes = [r["hashes"] for r in rows]
+        tile = Tile([r["n"] for r in rows], [bits_of(h) for h in hashes], [r["side"] for r in rows], both, rule)
+        return exact_links(tile, [r["node"] for r in rows], hashes, [r["copies"] for r in rows])
+
+    ready = groups.join(arrays, "node").join(members.select("node", "copies"), "node")
+    links = written(tiled(ready, percent, "hashes", work, "node long, other long, links long"), "links")
+    erased(arrays, groups)
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -288,14 +392,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the smallest id reachable by links, the row's own at least.  Null and empty
     texts have an empty set and link with nothing.  Repeated rows link like any
     two; a row with a null id takes the component of its set, if a row with an
-    id has that set too, and is not compared otherwise.
+    id has that set too, and is not compared otherwise (the pipeline numbers its
+    rows first, so that all are compared).  Ties don't matter: a link is a fact
+    of two sets.  Texts of any length are read whole; an empty table gives no
+    rows; columns other than the two are not read, so their names don't matter.
     """
     rows = written(describe(docs, id_col, text_col, k), "sets")
     sets = written(rows.where("n > 0").groupBy("node", "set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "nodes")
     groups = components(candidate_edges(part_rows(docs, text_col, k, percent))).withColumnRenamed("component", "group")
     found = groups.join(sets.select("node", "n", "rep", "copies", "set_key"), "node")
-    members = written(found.join(found.groupBy("group").agg(F.sum("n").alias("weight")), "group"), "members")
-    links = written(verified(members, docs, id_col, text_col, k, percent), "links")
+    members = written(found, "members")
+    links = verified(members, docs, id_col, text_col, k, percent)
     linked = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     own = sets.select("node", "set_key", "rep", "copies")
@@ -304,6 +411,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked_sets = parts.join(reps, "component").select("node", "set_key", "copies", "least", "links")
     copied = own.join(linked_sets.select("node"), "node", "left_anti").where("copies > 1").select("node", "set_key", "copies", F.col("rep").alias("least"), F.lit(0).cast("long").alias("links"))
     told = written(linked_sets.unionByName(copied).select("set_key", "copies", "least", "links"), "told")
+    erased(sets, groups, members, links, linked)
     total = rows.count()
     hot = told.where(F.col("copies") > F.lit(max(total * HOT_SHARE, 100))).select("set_key")  # at most 1 / HOT_SHARE rows
     out = join_hot(rows.select("id", "n", "set_key"), told, ["set_key"], hot)

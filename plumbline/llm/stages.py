@@ -1,16 +1,21 @@
 """The pipeline's stages: (spark, docs, sf_dir) -> DataFrame; all but the last keep the columns of docs.
 
-docs has the columns of `documents` (doc_id, text, lang, source, n_chars).
-Null and empty texts go through every stage.
+docs has the columns of `documents` (doc_id, text, lang, source, n_chars), and
+may have more.  Every row is judged by itself, whatever its id: rows with null
+ids, with one id and different texts, and repeated rows go through every stage.
+Null and empty texts are clean, copies of nothing, and become one token each.
+An empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, written
 from .decontamination import decontaminate
 from .jaccard import jaccard_join
 from .packing import pack
@@ -18,22 +23,35 @@ from .pii import automaton, find, redact, KINDS
 from .toxicity import score_toxicity
 
 
+def kept(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame], condition: str) -> DataFrame:
+    """The rows of docs whose judgement meets the condition; judge(docs, columns to carry along) may give columns of any names."""
+    carried = {c: f"carried_{k}" for k, c in enumerate(docs.columns)}
+    given = docs.select("doc_id", "text", *(F.col(c).alias(x) for c, x in carried.items()))
+    return judge(given, list(carried.values())).where(condition).select(*(F.col(x).alias(c) for c, x in carried.items()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity score is 0.3 or more."""
-    return score_toxicity(docs, table(spark, sf_dir, "labels"), keep=[c for c in docs.columns if c != "doc_id"]).where("predicted = 0").select(*docs.columns)
+    """Without the rows whose toxicity score is 0.3 or more."""
+    labels = table(spark, sf_dir, "labels")
+    return kept(docs, lambda given, carried: score_toxicity(given, labels, keep=carried), "predicted = 0")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id (five-word shingles, Jaccard 0.8)."""
-    found = jaccard_join(docs, k=5, percent=80)
-    rest = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked ones: that with the smallest id, null ids last (five-word shingles, Jaccard 0.8).
+
+    Rows are told apart by a number of their own, so of rows repeated under one id, or without any, one stays too.
+    """
+    (row,) = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard_join(rows, id_col=row, k=5, percent=80)
+    ranked = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    return rows.join(ranked.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold ten consecutive words of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Without the rows that hold ten consecutive words of a benchmark item."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    return kept(docs, lambda given, carried: decontaminate(given, benchmark, keep=carried), "NOT contaminated")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
