@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, erased, written
 from .tokens import process_memory
 
-#: Hash slots, labelled rows that the model is fitted on (about, at most), strength of the penalty, steps.
-SLOTS, SAMPLE, PENALTY, STEPS = 1 << 13, 20_000, 1e-4, 250
+#: Hash slots, strength of the penalty, steps.
+SLOTS, PENALTY, STEPS = 1 << 13, 1e-4, 250
+#: Labelled rows that the model is fitted on, about, and features that they hold together, at most: what reaches the driver.
+SAMPLE, FEATURES = 20_000, 1_500_000
 #: Shares are small numbers; this brings them to the size of the other features.
 SCALE = 8.0
 
@@ -110,12 +112,23 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, grade_co
 
     def run(batches):
         known = {}
-        for batch in batches:
+        for batch in (b.slice(begin, 200) for b in batches for begin in range(0, b.num_rows, 200)):
+            if len(known) > 200_000:
+                known.clear()
             got = [features(t or "", known) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([np.fromiter(g, np.int32).tobytes() for g in got], pa.binary()), pa.array([np.fromiter(g.values(), np.float32).tobytes() for g in got], pa.binary())], ["y", "at", "value"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "text", "y")
-    got = rows.mapInArrow(run, "y int, at binary, value binary").collect()  # about SAMPLE rows at most
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array([len(g) for g in got], pa.int64()), pa.array([np.fromiter(g, np.int32).tobytes() for g in got], pa.binary()), pa.array([np.fromiter(g.values(), np.float32).tobytes() for g in got], pa.binary())], ["y", "h", "n", "at", "value"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "text", "y", F.xxhash64("id", "text").alias("h"))
+    ready = written(rows.mapInArrow(run, "y int, h long, n long, at binary, value binary"), "features")
+    order = sorted((r["h"], r["n"]) for r in ready.select("h", "n").collect())  # two numbers for each of about SAMPLE rows
+    held, last = 0, None
+    for h, n in order:
+        held += n
+        if held > FEATURES:
+            break
+        last = h
+    got = ready.where(F.col("h") <= last).select("y", "at", "value").collect() if last is not None else []
+    erased(ready)
     if not got:
         return np.zeros(SLOTS), np.zeros(top)
     got.sort(key=lambda r: (r["y"], r["at"], r["value"]))
@@ -129,8 +142,11 @@ def grade_quality(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", te
     """Per row: id, held_out, expected_grade, tail_probability (of at_least or more), keep (tail_probability >= threshold).
 
     grades: id and whole numbers from 0.  Rows whose crc32(id) mod 4 is 2 are
-    held out: their grades are not read.  Null and empty texts have no tokens;
-    repeated rows stay; without at least two grades every weight is 0.
+    held out: their grades are not read.  Null and empty texts have no tokens,
+    texts of any length all of theirs; repeated rows and ties stay and have the
+    same score; an empty table gives no rows; without at least two grades every
+    weight is 0.  Columns other than the two are not read, so their names don't
+    matter.  The driver holds at most FEATURES features of about SAMPLE rows.
     """
     weights, theta = fit(docs, grades, id_col, text_col, grade_col)
     shared, run_id = docs.sparkSession.sparkContext.broadcast((weights, theta)), uuid.uuid4().hex

@@ -38,7 +38,11 @@ def op5_best_fit_packing(spark, sf_dir):
 
 
 def op6_ordinal_quality(spark, sf_dir):
-    """Grades: 0 low quality, 1 good quality but toxic, 2 good quality and not toxic."""
+    """Grades: 0 low quality, 1 good quality but toxic, 2 good quality and not toxic.
+
+    They are steps of one scale, of how much one would want a document in a
+    training corpus: a text of low quality teaches nothing, whatever its tone.
+    """
     grade = F.when(F.col("quality") == 0, 0).otherwise(2 - F.col("toxic"))
     return grade_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
 
@@ -62,4 +66,27 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op3_suffix_array_dedup, op4_token_counts, op5_best_fit_packing, op6_ordinal_quality, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: For tables whose doc_id is unique and never null.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(x.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id, coalesce(l.n, 0) AS n_links FROM documents d LEFT JOIN sizes x USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1) r USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY 1) l USING (doc_id)""",
+    "op10_benchmark_decontamination": rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT doc_id, places.n, i, item FROM places JOIN windows USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)""",
+}
