@@ -29,8 +29,8 @@ from .words import WordHasher
 
 #: Characters of text in a block, about.
 BLOCK = 6_000_000
-#: Counts up to this are discounted.
-TOP = 5
+#: Counts up to this are discounted; counts of counts up to SPAN tell by how much.
+TOP, SPAN = 5, 64
 END, START = np.uint64(0x1B873593CC9E2D51), -1
 
 
@@ -52,17 +52,25 @@ def unpacked(b: bytes, kind) -> np.ndarray:
 
 
 def good_turing(n: list[int]) -> np.ndarray:
-    """Factors for counts 0 to TOP from n[r], the numbers of types with count r (1 to TOP + 1).
+    """Katz's factors for counts 0 to TOP from n[r], the numbers of types with count r (1 to SPAN).
 
-    Where the counts of counts are too few to give factors between 0 and 1,
-    half an occurrence is taken off each type instead.
+    A factor comes from the counts of counts as they are where that gives a
+    number between 0 and 1, else from the line fitted through their logarithms
+    by r's.  Where even the line falls too slowly to discount anything (a
+    corpus with hardly any rare types), half an occurrence is taken off.
     """
     d = np.array([1.0, *((r - 0.5) / r for r in range(1, TOP + 1))])
-    if all(n[1 : TOP + 2]):
-        cut = (TOP + 1) * n[TOP + 1] / n[1]
-        got = np.array([((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) if cut != 1 else -1 for r in range(1, TOP + 1)])
-        if ((got > 0) & (got < 1)).all():
-            d[1:] = got
+    there = np.array([r for r in range(1, SPAN + 1) if n[r]])
+    slope = np.polyfit(np.log(there), np.log(np.array(n, float)[there]), 1)[0] if len(there) > 1 else 0.0
+
+    def factor(more: float, cut: float) -> float | None:  # more: discounted count over count
+        got = (more - cut) / (1 - cut) if 0 < cut < 1 else 0.0
+        return got if 0 < got < 1 else None
+
+    for r in range(1, TOP + 1):
+        raw = factor((r + 1) * n[r + 1] / n[r] / r, (TOP + 1) * n[TOP + 1] / n[1]) if n[r] and n[1] else None
+        fitted = factor((1 + 1 / r) ** (slope + 1), (TOP + 1.0) ** (slope + 1))
+        d[r] = raw or fitted or d[r]
     return d
 
 
@@ -186,8 +194,9 @@ def unigram_replies(blocks: DataFrame, buckets: int) -> DataFrame:
             mine = at[begin : begin + len(w)]
             begin += len(w)
             out.append((r["block"], r["bucket"], packed(number[mine]), packed(total[mine])))
-        tail = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
-        out.append((-1, r["bucket"], packed(tail), packed(np.array([total.sum()]))))
+        tail = np.bincount(np.minimum(total, SPAN + 1), minlength=SPAN + 2)
+        tail[0] = total.sum()  # in the place of words without occurrences, which nothing asks for
+        out.append((-1, r["bucket"], packed(tail), b""))
         return out
 
     asked = blocks.select("block", "words", "counts").mapInArrow(ask, "bucket long, block long, words binary, counts binary")
@@ -258,7 +267,7 @@ def bigram_replies(both: DataFrame, words: Unigrams, hot: float, buckets: int) -
             begin += len(mine)
             asked = np.unique(mine[(count[place] == 0) | bare[ci[begin - len(mine) : begin]]])
             out.append((r["block"], r["bucket"], packed(count[place]), packed(sums[np.searchsorted(contexts, asked)].ravel()), packed(asked)))
-        out.append((-1, r["bucket"], packed(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)), b"", b""))
+        out.append((-1, r["bucket"], packed(np.bincount(np.minimum(count, SPAN + 1), minlength=SPAN + 2)), b"", b""))
         crowded = np.unique(np.concatenate([unpacked(r["x"], np.int64) for r in rows]))
         out.append((-2, r["bucket"], packed(crowded), packed(sums[np.searchsorted(contexts, crowded)].ravel()), b""))
         return out
@@ -267,6 +276,33 @@ def bigram_replies(both: DataFrame, words: Unigrams, hot: float, buckets: int) -
     return grouped(asked, "bucket", ["block"], work, "block long, bucket long, a binary, b binary, c binary")
 
 
+def totals(replies: DataFrame) -> tuple[list[int], dict[int, np.ndarray]]:
+    """Sums over all buckets: counts of counts (rows of block -1) and hot contexts' sums (-2), by context.
+
+    Added up in the tasks and again by key, so that at most SPAN + 2 numbers
+    and 1 / HOT_SHARE contexts' sums reach the driver.
+    """
+    def run(batches):
+        known: dict[tuple[int, int], float] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] == -1:
+                    found = [((START - 1, k), float(v)) for k, v in enumerate(unpacked(row["a"], np.int64).tolist())]
+                else:
+                    found = [((c, k), v) for c, s in zip(unpacked(row["a"], np.int64).tolist(), unpacked(row["b"], np.float64).reshape(-1, TOP + 2).tolist(), strict=True) for k, v in enumerate(s)]
+                for at, v in found:
+                    known[at] = known.get(at, 0.0) + v
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in known], pa.int64()), pa.array([k for _, k in known], pa.int32()), pa.array(list(known.values()), pa.float64())], ["c", "k", "v"])
+
+    counts, crowds = [0] * (SPAN + 2), {}
+    for r in replies.where("block < 0").select("block", "a", "b").mapInArrow(run, "c long, k int, v double").groupBy("c", "k").agg(F.sum("v").alias("v")).collect():
+        if r["c"] < START:
+            counts[r["k"]] = int(r["v"])
+        else:
+            crowds.setdefault(r["c"], np.zeros(TOP + 2))[r["k"]] = r["v"]
+    return counts, crowds
+
+
 def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per context: its occurrences (one more where nothing is discounted, so that unseen words keep some mass) and backoff weight."""
     r = np.arange(1, TOP + 1)
@@ -284,19 +320,18 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows whose crc32(id) mod 5 is not 1 are trained on.  Tokens are words and
     one end a text; a text's first token has the start as its context.  Null
     and empty texts have the end alone; repeated rows stay and count as often
-    as they are there; an empty table gives no rows.  With no training rows,
-    all words are one unknown class.
+    as they are there; an empty table gives no rows; a text of any length is
+    one block at most with others.  With no training rows, all words are one
+    unknown class.  Other columns are not read, so their names don't matter.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.char_length(F.col(text_col).cast("string")) + 100)).first()[0] or 0
     buckets = max(8, int(chars // BLOCK) * 2)
     blocks = written(make_blocks(docs, id_col, text_col, buckets), "blocks")
     unigrams = written(unigram_replies(blocks, buckets), "unigrams")
-    n, total = np.zeros(TOP + 3, np.int64), 0
-    for r in unigrams.where("block = -1").select("a", "b").toLocalIterator():  # a row a bucket
-        n, total = n + unpacked(r["a"], np.int64), total + int(unpacked(r["b"], np.int64)[0])
-    types = int(n[1:].sum())
-    words = Unigrams(total, types, n.tolist())
+    n, _ = totals(unigrams)
+    total, n[0] = n[0], 0
+    words = Unigrams(total, sum(n[1:]), n)
     hot = max(total * HOT_SHARE, 100.0)
     columns = ("ids", "held", "ends", "tokens", "place")
 
@@ -308,15 +343,8 @@ def score_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return parts
 
     bi = written(bigram_replies(joined([unigrams]), words, hot, buckets), "bigrams")
-    n2 = np.zeros(TOP + 3, np.int64)
-    crowds: dict[int, np.ndarray] = {}
-    for r in bi.where("block < 0").select("block", "a", "b").toLocalIterator():  # two rows a bucket
-        if r["block"] == -1:
-            n2 = n2 + unpacked(r["a"], np.int64)
-        else:
-            for c, s in zip(unpacked(r["a"], np.int64).tolist(), unpacked(r["b"], np.float64).reshape(-1, TOP + 2), strict=True):
-                crowds[c] = crowds.get(c, 0) + s
-    d = good_turing(n2.tolist())
+    n2, crowds = totals(bi)
+    d = good_turing(n2)
     names = np.array(sorted(crowds), np.int64)
     shared = spark.sparkContext.broadcast((words, d, names, np.array([crowds[c] for c in names.tolist()]).reshape(-1, TOP + 2)))
 
