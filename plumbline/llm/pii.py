@@ -31,8 +31,11 @@ SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 WORDS = ("iban", "ssn", "account", "acct", "passport", "token", "api_key", "apikey", "secret", "password", "passwd")
 #: Behind a scheme: a user before an at-sign, which alone makes a url personal.
 USER_URL = re.compile(r"[A-Za-z0-9._%+-]+(:[^\s@/]*)?@[A-Za-z0-9.-]+(:[0-9]+)?(/\S*)?")
-#: Behind an identifier word: an assignment sign and a value of letters and digits.
-VALUE = re.compile(r"\s{0,2}(?:number|no\.?|nr\.?)?\s{0,2}[:=#]\s{0,2}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,63})")
+#: Behind an identifier word: what leads to its value, and the values by sort; a value reaches as far as its characters do.
+LEAD = re.compile(r"\s{0,2}(?:number|no\.?|nr\.?)?\s{0,2}[:=#]\s{0,2}[\"']?")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
+SSN = re.compile(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![0-9])")
+VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/=.~-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -45,7 +48,13 @@ def luhn(digits: str) -> bool:
 
 def iban(value: str) -> bool:
     s = re.sub("[ -]", "", value).upper()
-    return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def octet(part: str) -> bool:
+    """At most 255, however many digits there are."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or 0) <= 255
 
 
 def automaton():
@@ -66,32 +75,40 @@ def automaton():
     return a
 
 
-def account(word: str, text: str, end: int) -> tuple[int, int] | None:
-    """The value behind an identifier word that ends at `end`, if it looks like an identifier of that sort."""
-    m = VALUE.match(text, end)
-    if not m:
+def account(word: str, text: str, end: int, dead: int) -> tuple[int, int, bool] | None:
+    """Begin and end of the value behind an identifier word that ends at `end`, and whether it looks like one of that sort.
+
+    A plain value that begins before `dead` ends a longer one that had too few
+    digits, and so has too few itself.
+    """
+    lead = LEAD.match(text, end)
+    if not lead:
         return None
-    value = m[1]
     if word == "iban":
-        return m.span(1) if iban(value) else None
+        m = IBAN.match(text, lead.end())
+        ends = [m.end(), *(m.start() + k for k in range(len(m[0]) - 1, 14, -1) if m[0][k] in " -")] if m else []
+        good = next((e for e in ends if iban(text[m.start() : e])), None)
+        return (m.start(), good, True) if good else None
     if word == "ssn":
-        return m.span(1) if re.fullmatch(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}", value) else None
-    first = re.match(r"[A-Za-z0-9-]+", value)[0]
-    good = len(first) >= 6 and sum(c in DIGITS for c in first) >= 3
-    return (m.start(1), m.start(1) + len(first)) if good else None
+        m = SSN.match(text, lead.end())
+        return (*m.span(), True) if m else None
+    if lead.end() < dead or not (m := VALUE.match(text, lead.end())):
+        return None
+    value = m[0].rstrip("=.~-")
+    return m.start(), m.start() + len(value), len(value) >= 6 and sum(map(value.count, DIGITS)) >= 3
 
 
 def find(text: str, a) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base kinds, and those with the added kinds too, both sorted."""
     base, added = [], []
-    email = ip = card = phone = other = 0  # where the last match of a kind ends; phone, ip, card: also what was tried
+    email = ip = card = phone = other = dead = 0  # where the last match of a kind ends; phone, ip, card: also what was tried
     n = len(text)
     for last, (back, kind) in a.iter(text):
         at = last - back
         if kind == "number":
             before = text[at - 1] if at else ""
             if at >= ip and before not in DIGITS:
-                if (m := IP.match(text, at)) and max(map(int, m[0].split("."))) <= 255:
+                if (m := IP.match(text, at)) and all(map(octet, m[0].split("."))):
                     base.append((at, 1, m.end()))
                 ip = m.end() if m else ip
             if at >= card:
@@ -120,9 +137,11 @@ def find(text: str, a) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
                 added.append((at, 4, m.end()))
                 other = m.end()
         elif at >= other and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and not (last + 1 < n and text[last + 1].isalnum()):
-            if span := account(text[at : last + 1].lower(), text, last + 1):
-                added.append((span[0], 5, span[1]))
-                other = span[1]
+            begin, until, good = account(text[at : last + 1].lower(), text, last + 1, dead) or (0, 0, False)
+            if good:
+                added.append((begin, 5, until))
+                other = until
+            dead = max(dead, until)
     base.sort()
     return base, sorted(base + added)
 
@@ -132,7 +151,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     spans: kind:start:end by start, then kind, comma-joined; code points, end
     exclusive.  marks: the same as structs.  Null and empty texts have none;
-    repeated rows stay; columns other than the two are not read.
+    repeated rows stay; an empty table gives no rows; a null id stays null;
+    columns other than the two are not read, so their names don't matter.  Texts
+    and runs of digits may be of any length: every parser moves on from where it
+    stopped.
     """
     mark = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("until", pa.int32())]))
 
