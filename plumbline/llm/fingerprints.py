@@ -1,11 +1,13 @@
-"""Merkle fingerprints of documents: paragraphs, sections, root.  DataFrame functions only.
-
-A text is cut behind line breaks, sentence ends and some word ends into
-leaves.  A section is a run of leaves that ends behind a leaf whose digest
-ends in 0, so that an edit moves section ends near itself only.  The root is
-the digest of the sections' digests and of the text's own.  A fingerprint is
-the root, then the leaves' short digests, section by section: equal roots say
-that texts are equal, the branches that differ say where they do.
+"""Merkle fingerprints of documents: leaves, sections, root.  DataFrame functions only.
+
+A text is cut behind line breaks, sentence ends and some word ends (so that a
+paragraph without punctuation has several leaves too) into leaves.  A section
+is a run of leaves that ends behind a leaf whose digest ends in 0, so that an
+edit moves section ends near itself only.  The root is the digest of the
+sections' digests and of the text's own.  A fingerprint writes the tree down:
+the root, then each section's digest and its leaves' short digests.  Equal
+roots say that texts are equal; else sections whose digests the other tree
+lacks are descended into, and their leaves say where the texts differ.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of a leaf's digest in a fingerprint.
 SHORT = 6
-#: Cells of equal width that ids are counted by.
-CELLS = 4096
+#: Rows that are looked at for each bound between buckets of consecutive rows.
+LOOKED_AT = 20
 
 
 def leaf_digests(text: Column) -> Column:
@@ -26,12 +28,12 @@ def leaf_digests(text: Column) -> Column:
 
 
 def fingerprint(text: Column, digests: Column) -> Column:
-    """root:leaf,leaf/leaf,leaf/...; `/` ends a section."""
-    tree = F.regexp_replace(F.array_join(digests, ","), "0,", "0/")
-    branches = F.array_join(F.transform(F.split(tree, "/"), lambda s: F.sha2(s.cast("binary"), 256)), "")
+    """root:section=leaf,leaf/section=leaf,..."""
+    sections = F.split(F.regexp_replace(F.array_join(digests, ","), "0,", "0/"), "/")
+    branches = F.transform(sections, lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 16), F.lit("="), s))
     whole = F.sha2(text.cast("binary"), 256)  # short digests alone would let two texts share a root
-    root = F.substring(F.sha2(F.concat(branches, whole).cast("binary"), 256), 1, 32)
-    return F.concat(root, F.lit(":"), tree)
+    roots = F.array_join(F.transform(branches, lambda s: F.substring_index(s, "=", 1)), "")
+    return F.concat(F.substring(F.sha2(F.concat(roots, whole).cast("binary"), 256), 1, 32), F.lit(":"), F.array_join(branches, "/"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -41,42 +43,61 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """From two fingerprints: positions (from 0) of the leaves of a that b lacks, empty where the roots agree."""
-    own, other = (F.split(F.substring_index(x, ":", -1), "[,/]") for x in (a, b))
-    at = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: ~F.array_contains(other, F.element_at(own, i + 1)))
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.filter(at, lambda i: F.lit(False))).otherwise(at)
+    """From two fingerprints: positions (from 0) of the leaves of a that b lacks, empty where the roots agree.
+
+    Sections that b has too are passed over whole; only the leaves of the
+    others are compared, with those of b's sections that a lacks.
+    """
+    def digest(s):
+        return F.substring_index(s, "=", 1)
+
+    def leaves(s):
+        return F.split(F.substring_index(s, "=", -1), ",")
+
+    own, other = (F.split(F.substring_index(x, ":", -1), "/") for x in (a, b))
+    own_only, other_only = F.array_except(F.transform(own, digest), F.transform(other, digest)), F.array_except(F.transform(other, digest), F.transform(own, digest))
+    there = F.flatten(F.transform(F.filter(other, lambda s: F.array_contains(other_only, digest(s))), leaves))
+    gone = F.flatten(F.transform(own, lambda s: F.when(F.array_contains(own_only, digest(s)), F.transform(leaves(s), lambda x: ~F.array_contains(there, x))).otherwise(F.transform(leaves(s), lambda x: F.lit(False)))))
+    at = F.filter(F.sequence(F.lit(0), F.size(gone) - 1), lambda i: F.get(gone, i))
+    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<int>")).otherwise(at)
 
 
 def following_texts(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int = 2000) -> DataFrame:
     """id, text, following: the text of the row behind by id, and of the first row for the last.
 
-    Rows with one id go by a hash of their texts; null ids come first.  Rows
-    are dealt into buckets of consecutive rows: ids by cells of equal width,
-    full cells by finer steps of the id, a cell of one id by the hash.  Each
-    bucket also gets the first row of the next one.  The texts are shuffled
-    once; the driver and the broadcast hold CELLS counts and a row a bucket,
-    and there are at most CELLS + 4 * shuffle partitions buckets.
+    Ids may be of any type with an order.  Rows with one id go by a hash of
+    their texts; null ids come first.  Rows are dealt into buckets of
+    consecutive rows, between bounds that are quantiles of a sample of (id,
+    hash), so ids may lie however they like.  Each bucket also gets the first
+    row of the next one.  The texts are shuffled once; there are at most 4 *
+    shuffle partitions buckets, and the driver holds LOOKED_AT rows of (id,
+    hash) a bucket.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("h"))
-    n, low, high = base.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    wide = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.when(F.col("id").isNull(), -1).otherwise(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(wide))).cast("int")
-    counted = base.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).collect()
-    step = max(rows_a_bucket, n // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = base.count()
+    buckets = max(1, min(n // rows_a_bucket, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    share = int((1 << 20) * min(1.0, buckets * LOOKED_AT / max(n, 1)))
     kind = base.schema["id"].dataType.simpleString()
-    cells = spark.createDataFrame([(r["cell"], max(1, round(r["n"] / step)), r["a"], float((r["b"] or 0) - (r["a"] or 0))) for r in counted], f"cell int, parts int, a {kind}, span double")
-    along = F.when(F.col("span") > 0, (F.col("id") - F.col("a")) / F.col("span")).otherwise(F.col("h") / F.lit(float(1 << 63)))
-    sub = F.least(F.floor(along * F.col("parts")), F.col("parts") - 1).cast("int")
-    placed = base.withColumn("cell", cell).join(F.broadcast(cells), "cell").select("id", "text", "h", "cell", sub.alias("sub"))
-    firsts = sorted((tuple(r) for r in placed.groupBy("cell", "sub").agg(F.min(F.struct("id", "h")).alias("f")).select("cell", "sub", "f.id", "f.h").collect()), key=lambda r: r[:2])
-    guests = spark.createDataFrame([(r[2], r[3], *firsts[k - 1][:2]) for k, r in enumerate(firsts)], f"g_id {kind}, g_h long, to_cell int, to_sub int")
+    looked = [] if buckets == 1 else base.select("id", "h").where(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 20)) < share).orderBy(F.asc_nulls_first("id"), "h").collect()
+    step = max(1, len(looked) // buckets)
+    bounds = spark.createDataFrame([([tuple(r) for r in looked[step::step]],)], f"bounds array<struct<id:{kind},h:bigint>>").scalar()
+    key = F.struct("id", "h")
+
+    def further(at, jump):  # a binary search: at bounds are known not to lie above the key
+        return F.when(F.get("bounds", at + jump - 1) <= key, at + jump).otherwise(at)
+
+    jumps = [1 << k for k in reversed(range(max(1, len(looked) // step).bit_length()))]
+    bucket = F.aggregate(F.array(*map(F.lit, jumps)), F.lit(0), further)
+    placed = base.withColumn("bounds", bounds).withColumn("bucket", bucket).drop("bounds")
+    firsts = sorted((tuple(r) for r in placed.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("f")).select("bucket", "f.id", "f.h").collect()), key=lambda r: r[0])
+    guests = spark.createDataFrame([(r[1], r[2], firsts[k - 1][0]) for k, r in enumerate(firsts)], f"g_id {kind}, g_h long, to_bucket int")
     met = placed.join(F.broadcast(guests), F.col("id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left")
-    own = F.struct(F.lit(False).alias("guest"), F.col("cell"), F.col("sub"))
-    guest = F.struct(F.lit(True).alias("guest"), F.col("to_cell").alias("cell"), F.col("to_sub").alias("sub"))
-    dealt = met.select("id", "text", "h", F.explode(F.when(F.col("to_cell").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("id", "text", "h", "at.*")
-    order = Window.partitionBy("cell", "sub").orderBy("guest", F.asc_nulls_first("id"), "h", "text")
+    own = F.struct(F.lit(False).alias("guest"), F.col("bucket"))
+    guest = F.struct(F.lit(True).alias("guest"), F.col("to_bucket").alias("bucket"))
+    dealt = met.select("id", "text", "h", F.explode(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("id", "text", "h", "at.*")
+    order = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), "h", "text")
     return dealt.select("id", "text", "guest", F.lead("text").over(order).alias("following")).where(~F.col("guest")).drop("guest")
 
 
