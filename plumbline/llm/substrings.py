@@ -32,6 +32,8 @@ LENGTH, GRAM = 200, 64
 #: Bytes of text handled at once, and of a buffer whose suffixes are sorted.
 BLOCK, BUFFER = 2_000_000, 3_000_000
 PLACE = 24  # low bits of a gram's hash that hold its place in the block
+#: Minimizers that are dealt apart at most, and one text in so many is looked at to find them.
+FREQUENT, SAMPLED = 1000, 64
 
 
 def gram_hashes(t: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
@@ -222,10 +224,11 @@ def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def settle(found: DataFrame) -> DataFrame:
     """From segments: whole repeats (content null) and representatives to compare (content: 1 if it stands for itself alone)."""
     def run(batches):
-        held = np.zeros((0, 8), np.int64)  # the last content's first rows; the last column: was the row given out?
+        held = np.zeros((0, 9), np.int64)  # the last content's first rows; the last columns: was the row given out, is its minimizer frequent?
         before = False  # has the held content's minimizer another content before it?
         for batch in batches:
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns] + [np.zeros(batch.num_rows, np.int64)], 1)
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            rows = np.stack([*columns[:7], np.zeros(batch.num_rows, np.int64), columns[7]], 1)
             given = rows[:, 6] == 0
             if given.any():
                 yield table(rows[given], rows[:0], None)
@@ -252,7 +255,7 @@ def settle(found: DataFrame) -> DataFrame:
         size, weight = np.diff(np.r_[begin, n]), np.add.reduceat(rows[:, 6], begin)
         done = len(begin) - (0 if final else 1)  # contents that are complete
         alike = np.r_[before, least[begin[1:]] == least[begin[:-1]]]
-        other = (alike | np.r_[alike[1:], False])[:done]
+        other = (alike | np.r_[alike[1:], False] | (rows[begin, 8] > 0))[:done]
         whole = rows[np.repeat(weight >= 2, size) & (rows[:, 7] == 0)]
         out = table(whole, rows[begin[:done][other]], (weight == 1)[:done][other].astype(np.int64))
         if final:
@@ -261,10 +264,21 @@ def settle(found: DataFrame) -> DataFrame:
         keep[:, 7] |= weight[-1] >= 2  # all rows of several alike have been given out
         return out, keep, bool(alike[-1])
 
-    spread = F.when(F.col("n") == 0, F.xxhash64("k1", "k2", "first")).otherwise(F.col("least"))
+    # segments of a frequent minimizer are dealt by their content too; that they have other contents is taken for granted
+    spread = F.when(F.col("n") == 0, F.xxhash64("k1", "k2", "first")).when(F.col("hot"), F.xxhash64("least", "content")).otherwise(F.col("least"))
     return found.repartition(spread).sortWithinPartitions("least", "content").mapInArrow(run, "least long, content long, k1 long, k2 long, first int, last int")
 
 
+def frequent(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """least: minimizers that hold over 1 / FREQUENT of the segments, as one text in SAMPLED shows; FREQUENT rows at most.
+
+    It only tells how rows are dealt; the results are the same for any answer.
+    """
+    seen = find_segments(docs.where(F.pmod("k2", F.lit(SAMPLED)) == 0), length, gram).where("n > 0").groupBy("least").agg(F.count("*").alias("n"))
+    ranked = seen.where("n >= 8").orderBy(F.desc("n"), "least").limit(FREQUENT).collect()
+    return docs.sparkSession.createDataFrame([(r["least"],) for r in ranked], "least long")
+
+
 def compare(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """(k1, k2, first, last): runs of repeated windows of the representatives that stand for themselves alone."""
     def cut(batches):
@@ -333,23 +347,28 @@ def compare(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and a key of the two (k1, k2), never null."""
+    """id, text and 128 bits of hashes of the two (k1, k2): rows alike share a key, as their spans are alike too."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     i = F.col(id_col)
-    return docs.select(i.alias("id"), text.alias("text"), F.coalesce(i.cast("long"), F.lit(0)).alias("k1"), (F.crc32(text.cast("binary")) + F.when(i.isNull(), 1 << 40).otherwise(0)).alias("k2"))
+    return docs.select(i.alias("id"), text.alias("text"), F.xxhash64(i.isNull(), i, F.lit("1"), text).alias("k1"), F.xxhash64(text, F.lit("2"), i).alias("k2"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, on demand).
 
     Texts are UTF-8 bytes, null is empty; windows lie within a text; texts
-    shorter than a window stay whole.  Repeated rows are repeats of each other.
+    shorter than a window stay whole, those of any other length are searched
+    whole.  Repeated rows are repeats of each other, and so lose the same bytes;
+    ids may be of any type, null or shared by texts.  An empty table gives no
+    rows.  Columns other than the two are not read, so their names don't matter.
     """
     base = keyed(docs, id_col, text_col)
-    settled = written(settle(find_segments(base, length, gram)), "settled")
+    often = F.broadcast(frequent(base, length, gram).withColumn("hot", F.lit(True)))
+    found = find_segments(base, length, gram).join(often, "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    settled = written(settle(found.select("least", "content", "k1", "k2", "first", "last", "n", "hot")), "settled")
     own = settled.where("content is null").select("k1", "k2", "first", "last")
     more = compare(base, settled.where("content is not null"), length)
-    spans = own.unionByName(more).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = own.unionByName(more).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def run(batches):
         for batch in batches:
