@@ -44,7 +44,11 @@ def tables(a: Analog) -> dict[str, DataFrame]:
         "data_year": F.when(every(53, 11) & (F.col("data_year") == 2001), 1959).otherwise(F.col("data_year")),
     })
     population = a.population.withColumn("pep", F.when(every(29, 2), -F.col("pep")).otherwise(F.col("pep")))
-    agency_year = a.agency_year.withColumn("violent_rate", F.when(F.col("violent_rate").isNull() & every(7, 1), 50.0).otherwise(F.col("violent_rate")))
+    agency_year = a.agency_year.withColumns({
+        "violent_rate": F.when(F.col("violent_rate").isNull() & every(7, 1), 50.0).when(every(19, 2), F.col("violent_rate") * 1000).otherwise(F.col("violent_rate")),
+        "implausible": F.coalesce(F.col("implausible") | (every(19, 2) & F.col("violent_rate").isNotNull()), F.lit(False)),
+        "officers_per_1k": F.when(every(3, 1), F.col("officers_per_1k") * 100).otherwise(F.col("officers_per_1k")),
+    })
     nation = a.read("nation").select(F.col("n_name").alias("state"))
     return {"entity": entity, "nation": nation, "geography": geography, "population": population, "crime": crime, "staffing": staffing, "agency_year": agency_year, "finance": finance(a)}
 
@@ -62,7 +66,8 @@ c1 AS (SELECT * REPLACE (CASE WHEN {_K} % 31 = 4 AND data_year = 1998 THEN -offe
 f_crime AS (SELECT * REPLACE (CAST(CASE WHEN {_K} % 43 = 9 AND data_year = 2001 THEN 2031 ELSE data_year END AS INT) AS data_year) FROM c1),
 f_staffing AS (SELECT * REPLACE (CASE WHEN {_K} % 11 = 3 AND data_year = 1999 THEN 0 ELSE sworn END AS sworn, CASE WHEN {_K} % 47 = 10 AND data_year = 1997 THEN NULL ELSE source END AS source, CAST(CASE WHEN {_K} % 53 = 11 AND data_year = 2001 THEN 1959 ELSE data_year END AS INT) AS data_year) FROM staffing),
 f_population AS (SELECT * REPLACE (CASE WHEN {_K} % 29 = 2 THEN -pep ELSE pep END AS pep) FROM population),
-f_agency_year AS (SELECT * REPLACE (CASE WHEN violent_rate IS NULL AND {_K} % 7 = 1 THEN 50.0 ELSE violent_rate END AS violent_rate) FROM agency_year),
+f_agency_year AS (SELECT * REPLACE (CASE WHEN violent_rate IS NULL AND {_K} % 7 = 1 THEN 50.0 WHEN {_K} % 19 = 2 THEN violent_rate * 1000 ELSE violent_rate END AS violent_rate, coalesce(implausible OR ({_K} % 19 = 2 AND violent_rate IS NOT NULL), false) AS implausible,
+    CASE WHEN {_K} % 3 = 1 THEN officers_per_1k * 100 ELSE officers_per_1k END AS officers_per_1k) FROM agency_year),
 f_finance AS {FINANCE_SQL}
 """
 
