@@ -97,8 +97,8 @@ def test_strings(items: list[tuple[str, str]], window: int) -> tuple[list[bytes]
     return list(of), [n for n, _ in of.values()], [sorted(x) for _, x in of.values()]
 
 
-def find(docs: DataFrame, text_col: str, carried: list[str], items: list[tuple[str, str]], window: int) -> DataFrame:
-    """The carried columns as c0, c1 and so on, n_words, ranges (of hit words, begin and end), items (names) for each row and one block of items."""
+def find(docs: DataFrame, text_col: str, carried: list[str], items: list[tuple[str, str]], window: int, keep_text: bool = False) -> DataFrame:
+    """The carried columns as c0, c1 and so on, the text if it is kept, n_words, ranges (of hit words, begin and end), items (names) for each row and one block of items."""
     spark = docs.sparkSession
     strings, sizes, names = test_strings(items, window)
     shared = spark.sparkContext.broadcast((strings, sizes, names))
@@ -144,10 +144,11 @@ def find(docs: DataFrame, text_col: str, carried: list[str], items: list[tuple[s
                 if t is not None:
                     held.append(t.as_py() or "")
                     size += len(held[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ranges, kind), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[:-1], "n_words", "ranges", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(ranges, kind), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[:n], "n_words", "ranges", "items"])
 
     given = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carried)), F.col(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried))
+    n = len(carried) + keep_text
+    fields = ", ".join([f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)] + ["text string"] * keep_text)
     return given.mapInArrow(run, f"{fields}, n_words long, ranges array<struct<begin:int,until:int>>, items array<string>")
 
 
@@ -165,23 +166,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, carried = -(-total // BLOCK_BYTES) or 1, [id_col, *(keep or [])]
+    blocks, keep = -(-total // BLOCK_BYTES) or 1, keep or []
+    carried, keep_text = [id_col, *(c for c in keep if c != text_col)], text_col in keep
     if blocks == 1:
-        out = find(docs, text_col, carried, [tuple(r) for r in items.collect()], window)
+        out = find(docs, text_col, carried, [tuple(r) for r in items.collect()], window, keep_text)
     else:
         (key,) = fresh(docs, "row")
-        rows = written(docs.select(F.monotonically_increasing_id().alias(key), text_col, *(c for c in carried if c != text_col)), "rows")
+        rows = written(docs.select(F.monotonically_increasing_id().alias(key), text_col, *carried), "rows")
         parts = None
         for k in range(blocks):
             block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()
             part = written(find(rows, text_col, [key], [tuple(r) for r in block], window), "hits")
             parts = part if parts is None else parts.unionByName(part)
         merged = parts.groupBy("c0").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = rows.select(F.col(key), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carried, 1))).join(merged.withColumnRenamed("c0", key), key).drop(key)
-        out = out.select(*(F.col(f"c{k + 1}").alias(f"c{k}") for k in range(len(carried))), "n_words", "ranges", "items")
+        given = rows.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carried)), *([F.col(text_col).cast("string").alias("text")] * keep_text))
+        out = given.join(merged.withColumnRenamed("c0", "key"), "key").drop("key")
     hit = F.size(F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["begin"], r["until"] - 1))))).cast("long")
     return out.select(
         F.col("c0").alias(id_col), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "items", "ranges",
-        *(F.col(f"c{k}").alias(c) for k, c in enumerate(keep or [], 1)),
+        *(F.col("text" if c == text_col else f"c{carried.index(c)}").alias(c) for c in keep),
     )

@@ -25,9 +25,9 @@ from .toxicity import score_toxicity
 
 def kept(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame], condition: str) -> DataFrame:
     """The rows of docs whose judgement meets the condition; judge(docs, columns to carry along) may give columns of any names."""
-    carried = {c: f"carried_{k}" for k, c in enumerate(docs.columns)}
-    given = docs.select("doc_id", "text", *(F.col(c).alias(x) for c, x in carried.items()))
-    return judge(given, list(carried.values())).where(condition).select(*(F.col(x).alias(c) for c, x in carried.items()))
+    carried = {c: c if c in ("doc_id", "text") else f"carried_{k}" for k, c in enumerate(docs.columns)}
+    given = docs.select(*(F.col(c).alias(x) for c, x in carried.items()))
+    return judge(given, [x for x in carried.values() if x != "doc_id"]).where(condition).select(*(F.col(x).alias(c) for c, x in carried.items()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,12 +356,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         told = Telling(weights, Costs(costs), process_memory(("toxic", run_id)))
         for batch in batches:
             total = [bias + sum(weights[w] for w in sorted(told(t or ""))) for begin in range(0, batch.num_rows, 500) for t in batch.column(0).slice(begin, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30))))], names)
 
-    others = [F.col(id_col).alias("c0"), crc_mod(id_col, 4).eqNullSafe(2).alias("c1"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(keep or [], 2))]
+    carried = {c: "text" if c == text_col else f"c{k}" for k, c in enumerate(keep or [], 2)}
+    first = 0 if "text" in carried.values() else 1  # a text that is kept goes through as it came, once
+    others = [F.col(id_col).alias("c0"), crc_mod(id_col, 4).eqNullSafe(2).alias("c1"), *(F.col(c).alias(x) for c, x in carried.items() if x != "text")]
     given = docs.select(F.col(text_col).cast("string").alias("text"), *others)
-    fields = given.schema.fields[1:]
+    fields = given.schema.fields[first:]
     names = [*(f.name for f in fields), "score"]
     out = given.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", score double")
-    extra = [F.col(f"c{k}").alias(c) for k, c in enumerate(keep or [], 2)]
+    extra = [F.col(x).alias(c) for c, x in carried.items()]
     return out.select(F.col("c0").alias(id_col), F.col("c1").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *extra)
