@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, erased, written
 
 
+#: Edges that one task may hold: it gives out what it has beyond that, and so few are settled by one task.
+HELD = 400_000
+
+
 def forest(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the same components, at most one fewer than nodes from each task: later steps carry less."""
     def run(batches):
@@ -27,7 +31,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     held += 1
-            if held > 400_000:  # what a task holds stays bounded: give out what is known so far and start anew
+            if held > HELD:  # what a task holds stays bounded: give out what is known so far and start anew
                 yield flat(root, find)
                 root, held = {}, 0
         yield flat(root, find)
@@ -56,12 +60,21 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for each node of an edge; rounds of stars until nothing changes.
 
     Each round links every node to the smallest node around it: first for
-    larger neighbours, then for smaller ones.  The counts of rows are all that
-    reaches the driver.
+    larger neighbours, then for smaller ones.  Once no more than HELD edges are
+    left, one task settles them all.  The counts of rows are all that reaches
+    the driver.
     """
+    def stars(found: DataFrame) -> DataFrame:
+        roots = found.select(F.col("b").alias("node")).distinct()
+        return found.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
     now = written(forest(edges).where("a <> b"), "edges")
     while True:
         total = now.count()
+        if total <= HELD:
+            last = written(forest(now.coalesce(1)), "edges")
+            erased(now)
+            return stars(last)
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of a node go to the smallest one around it
         around, _ = with_least(both, total, True)
@@ -76,8 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
         many = after.groupBy("a").count().where("count > 1").limit(1).count()
         chain = 0 if many else after.select(F.col("b").alias("a")).distinct().join(left, "a", "left_semi").limit(1).count()
         if not many and not chain:
-            roots = after.select(F.col("b").alias("node")).distinct()
-            return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+            return stars(after)
         now = after
 
 

@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from .common import HOT_SHARE, erased, written
 from .graph import components, join_hot
 from .words import WordHasher, mixed
 
-#: Hashes in a tile's side, about; a side is one row at least.
-BLOCK = 1_500_000
+#: Hashes and sets in a tile's side, about; a side is one set at least.
+BLOCK, ROWS = 1_500_000, 1000
+#: Hashes of a dense part: at least and on average; shared dense parts that are expected of sets that just link; sets of fewer hashes have no dense parts.
+DENSE, HELD, SURE, SMALL = 5, 6.5, 20.0, 100
 #: How often a set is divided into parts at most, until it fills enough of them.
 DIVISIONS = 16
 MASK = (1 << 64) - 1
@@ -58,6 +61,30 @@ class Rule:
         """More parts than they can differ by, and some to spare for parts that are empty."""
         return self.differ(band) * 11 // 10 + 1
 
+    def dense(self, band: int) -> tuple[int, int] | None:
+        """Parts and divisions where numbers stand for DENSE hashes at least, or None where `parts` is enough.
+
+        Where `parts` leaves few hashes to a part, as for 80 %, texts that share
+        a passage meet in parts that hold a hash or two of it.  Larger parts are
+        equal less often, so the hash space is divided several times: until sets
+        that just link share SURE such parts on average, and none of them with a
+        probability of about exp(-SURE).
+        """
+        low, high = int(self.starts[band]), int(self.starts[band + 1]) - 1
+        if high < SMALL or high >= DENSE * self.parts(band):
+            return None
+        parts = max(1, int(high / HELD))
+
+        p = self.percent / 100
+        # equal sizes (each lacks apart of the other's) and one within the other, for the smallest and largest of the band
+        least = min(f for n in (low, high) for f in (parts * math.exp(-2 * n * (1 - p) / (1 + p) / parts) * self.tail(2 * n * p / (1 + p) / parts), parts * math.exp(-n * (1 - p) / parts) * self.tail(n * p / parts)))
+        return parts, math.ceil(SURE / least)
+
+    @staticmethod
+    def tail(mean: float) -> float:
+        """The probability of DENSE or more where `mean` are expected."""
+        return 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(DENSE))
+
     def reaches(self, n: int, band: int) -> bool:
         """May a set of n link with one of the next band?"""
         return 100 * n >= self.percent * int(self.starts[band + 1])
@@ -85,22 +112,36 @@ def part_numbers(s: np.ndarray, band: int, rule: Rule) -> np.ndarray:
     set that doesn't is divided anew by other bits, until it does.  Two sets
     share all divisions up to the first in which either fills enough, so no
     link is lost; empty parts are named in the last division alone, which a
-    set of random hashes hardly ever reaches.
+    set of random hashes hardly ever reaches.  Where the rule has dense parts,
+    there are as many divisions as it says, and parts of fewer hashes are left
+    out.
     """
+    if found := rule.dense(band):
+        return dense_numbers(s, band, *found)
     parts, differ = rule.parts(band), rule.differ(band)
-    at, out = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), []
-    worth = mixed(s ^ np.uint64(0xD6E8FEB86659FD93))
+    out = []
     for division in range(DIVISIONS):
-        turned = s if not division else mixed(s + np.uint64(division * 0xA0761D6478BD642F & MASK))
-        place = ((turned >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, place, worth)
-        numbers = mixed(sums + at + np.uint64((band * DIVISIONS + division) * 0xC2B2AE3D27D4EB4F & MASK)).view(np.int64)
-        filled = np.bincount(place, minlength=parts) > 0
-        out.append(numbers[filled])
-        if filled.sum() > differ:
+        numbers, held = divided(s, band, division, parts)
+        out.append(numbers[held > 0])
+        if (held > 0).sum() > differ:
             return np.concatenate(out)
-    return np.concatenate([*out, numbers[~filled]])
+    return np.concatenate([*out, numbers[held == 0]])
+
+
+def divided(s: np.ndarray, band: int, division: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each part of a division, and how many hashes it holds."""
+    turned = s if not division else mixed(s + np.uint64(division * 0xA0761D6478BD642F & MASK))
+    place = ((turned >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    sums = np.zeros(parts, np.uint64)
+    np.add.at(sums, place, mixed(s ^ np.uint64(0xD6E8FEB86659FD93)))
+    sums += np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(sums + np.uint64((band * 1024 + division) * 0xC2B2AE3D27D4EB4F & MASK)).view(np.int64), np.bincount(place, minlength=parts)
+
+
+def dense_numbers(s: np.ndarray, band: int, parts: int, divisions: int) -> np.ndarray:
+    """Numbers of the parts of DENSE hashes or more, in each of the divisions."""
+    out = [numbers[held >= DENSE] for numbers, held in (divided(s, band, division, parts) for division in range(divisions))]
+    return np.concatenate(out)
 
 
 def node_of(s: np.ndarray) -> tuple[bytes, int]:
@@ -291,15 +332,21 @@ def member_hashes(members: DataFrame, docs: DataFrame, id_col: str, text_col: st
     return texts.mapInArrow(run, "node long, n long, hashes binary")
 
 
+def blocks_of():
+    """How many blocks the sets of a group would fill."""
+    return F.greatest(F.sum("n") / BLOCK, F.count("*") / ROWS)
+
+
 def tiled(grouped: DataFrame, percent: int, payload: str, work, schema: str) -> DataFrame:
-    """work(rows of one tile, whether all its pairs count) -> tuples; grouped: group, node, n, weight of the group, payload, others.
+    """work(rows of one tile, whether all its pairs count) -> tuples; grouped: group, node, n, weight of the group (in blocks), payload, others.
 
-    Groups of up to BLOCK hashes are one tile.  Larger ones are cut by bands of
-    sizes, and bands by salts of the node, into blocks that meet pairwise.
+    Groups of up to BLOCK hashes and ROWS sets are one tile.  Larger ones are
+    cut by bands of sizes, and bands by salts of the node, into blocks that meet
+    pairwise.
     """
     names = [f.split()[0] for f in schema.split(", ")]
     fine = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
-    banded = grouped.where(F.col("weight") > BLOCK).groupBy("group", fine.alias("fine")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    banded = grouped.where("weight > 1").groupBy("group", fine.alias("fine")).agg(F.ceil(blocks_of()).cast("int").alias("blocks"))
     maps = banded.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("fine", "blocks"))).alias("blocks"))
     placed = grouped.join(maps, "group", "left").withColumn("fine", fine)
     salt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -349,7 +396,7 @@ def narrowed(groups: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     rule = Rule(percent)
 
     def weighed(df):
-        return df.join(df.groupBy("group").agg(F.sum("n").alias("weight")), "group")
+        return df.join(df.groupBy("group").agg(blocks_of().alias("weight")), "group")
 
     def sketch(batches):
         for batch in batches:
@@ -360,9 +407,9 @@ def narrowed(groups: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
         return likely_links(tile, [r["node"] for r in rows])
 
     all_ = weighed(groups)
-    large = all_.where(F.col("weight") > BLOCK).select("group", "weight", "node").join(arrays, "node").select("group", "weight", "node", "n", "hashes").mapInArrow(sketch, "group long, weight long, node long, n long, bits binary")
+    large = all_.where("weight > 1").select("group", "weight", "node").join(arrays, "node").select("group", "weight", "node", "n", "hashes").mapInArrow(sketch, "group long, weight double, node long, n long, bits binary")
     edges = tiled(large, percent, "bits", work, "a long, b long")
-    small = all_.where(F.col("weight") <= BLOCK).select("group", "node", "weight")
+    small = all_.where("weight <= 1").select("group", "node", "weight")
     kept = components(edges).withColumnRenamed("component", "group").join(groups.select("node", "n"), "node")
     return small.unionByName(weighed(kept).select("group", "node", "weight"))
 
