@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 import zlib
 from collections import Counter
 
@@ -93,10 +94,11 @@ def test_jaccard_join(docs):
     assert got == sorted((r for r in brute_jaccard(rows) if r[0] is not None), key=key)
 
 
-@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
-def test_jaccard_in_tiles(spark, monkeypatch, k, percent):
-    """Many near copies, cut into small tiles."""
-    monkeypatch.setattr(jaccard, "BLOCK", 300)
+@pytest.mark.parametrize("k, percent, block, most", [(3, 90, 300, 1000), (5, 80, 300, 1000), (5, 80, 1_500_000, 7)])
+def test_jaccard_in_tiles(spark, monkeypatch, k, percent, block, most):
+    """Many near copies, cut into small tiles, by their hashes or their number."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ROWS", most)
     rng = random.Random(7)
     base = [f"w{n}" for n in range(60)]
     rows = []
@@ -127,7 +129,31 @@ def test_jaccard_parts_are_enough():
             assert set(jaccard.part_numbers(a, band, rule)) & set(jaccard.part_numbers(b, band, rule))
 
 
-def test_components(spark):
+def test_dense_parts_are_enough():
+    """Sets that just link, of equal sizes or one within the other, share dense parts; sets that share a passage hardly ever do."""
+    rng, rule = np.random.default_rng(4), jaccard.Rule(80)
+    assert all(jaccard.Rule(90).dense(b) is None for b in range(60))
+    few = met = 0
+    for k in range(600):
+        n = int(rng.integers(120, 1500))
+        s = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        n = len(s)
+        lost = int(n * (1 - 0.8) / (1 + 0.8)) if k % 2 else int(n * 0.2)
+        a = np.unique(np.r_[s[lost:], rng.integers(0, 1 << 62, lost).astype(np.uint64)]) if k % 2 else s[lost:]
+        if 100 * len(np.intersect1d(a, s)) < 80 * len(np.union1d(a, s)):
+            continue
+        small, large = (a, s) if len(a) <= len(s) else (s, a)
+        band = int(rule.band(np.int64(len(large))))
+        mine = jaccard.part_numbers(large, band, rule)
+        few += len(np.intersect1d(jaccard.part_numbers(small, band, rule), mine)) < 4
+        other = np.unique(np.r_[rng.integers(0, 1 << 62, n - n // 8).astype(np.uint64), s[: n // 8]])
+        met += rule.band(np.int64(len(other))) == rule.band(np.int64(n)) and len(np.intersect1d(jaccard.part_numbers(other, int(rule.band(np.int64(n))), rule), jaccard.part_numbers(s, int(rule.band(np.int64(n))), rule))) > 0
+    assert few == 0 and met < 12
+
+
+@pytest.mark.parametrize("held", [400_000, 60])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 30)]
     root = {}
@@ -204,7 +230,9 @@ def test_any_disguise_is_read(disguise, word):
         for a, b, c in zip(s, s[1:], s[2:], strict=False):
             counts[a, b, c] += 1
     costs = toxicity.character_costs(counts)
-    assert word in toxicity.words_of(f"river {disguise} stone", costs, {}, {word: 0})
+    text = f"river {disguise} stone"
+    assert word in toxicity.words_of(text, costs, {})
+    assert word in toxicity.Telling({word: 0}, costs, {})(text)
 
 
 def test_restoring_long_words_is_whole():
@@ -214,6 +242,85 @@ def test_restoring_long_words_is_whole():
     assert toxicity.restore(once, costs) == once
 
 
+def test_restoring_finds_the_cheapest_of_all_readings():
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 40, (27, 27, 27)) * (rng.random((27, 27, 27)) < 0.2)
+    costs = toxicity.character_costs(counts.astype(float))
+
+    def price(letters):
+        s = [0, 0, *(ord(c) - 96 if c != " " else 0 for c in letters)]
+        return sum(float(costs[a, b, c]) for a, b, c in zip(s, s[1:], [*s[2:], 0], strict=False)) if letters else float(costs[0, 0, 0])
+
+    for k in range(150):
+        token = "".join(random.Random(k).choices("a1$0!3-*7bs ", k=random.Random(-k).randint(1, 7))).strip()
+        readings = {"": 0.0}
+        for some in toxicity.lattice(token):
+            after = {}
+            for held, cost in readings.items():
+                for letters, more in some:
+                    after[held + letters] = min(cost + more, after.get(held + letters, math.inf))
+            readings = after
+        best = min(cost + price(held) for held, cost in readings.items())
+        got = toxicity.restore(token, costs)
+        assert readings[got] + price(got) == pytest.approx(best, abs=1e-4)
+
+
+def test_toxicity_scores_are_those_of_the_model(spark):
+    """Every row's score from the model's words, found the plain way; clashing names, ties, repeated rows."""
+    rows, labels = labelled(spark)
+    rows = [*rows, (2000, "st1ll a m0r0n, s.c.u.m and tr@@@sh"), (2000, "st1ll a m0r0n, s.c.u.m and tr@@@sh"), (None, None), (None, "Été moron"), (2001, "word " * 30_000 + "m o r o n")]
+    docs = spark.createDataFrame([(i, t, "i", 1, 0.5, "x", "y") for i, t in rows], "doc_id long, text string, id string, y int, score double, predicted string, c0 string").repartition(3)
+    marks = spark.createDataFrame([*((i, q, x, "t") for i, q, x in labels), (5, 1, 0, "t"), (5, 1, 1, "t")], "doc_id long, quality int, toxic int, text string")
+    costs = toxicity.character_costs(toxicity.character_counts(docs, "text"))
+    weights, bias = toxicity.fit(docs, marks, costs, "doc_id", "text", "toxic")
+    assert {"moron", "scum", "trash"} <= set(weights)
+    want = Counter()
+    for i, t in rows:
+        found = toxicity.words_of(t or "", costs, {}) & set(weights)
+        want[i, round(1 / (1 + math.exp(-(bias + sum(weights[w] for w in found)))), 9)] += 1
+    out = toxicity.score_toxicity(docs, marks, keep=["id", "y", "predicted"])
+    assert out.columns == ["doc_id", "held_out", "score", "predicted", "id", "y", "predicted"]
+    assert Counter((r[0], round(r[2], 9)) for r in out.collect()) == want
+
+
+def test_quality_is_that_of_the_model(spark):
+    """Every row from the weights and thresholds, word by word; thresholds in order, and no better fit nearby."""
+    rows, labels = labelled(spark)
+    rows = [*rows, (2000, "a b"), (2000, "a b"), (None, None), (2001, "word " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "i", 1, 0.5) for i, t in rows], "doc_id long, text string, id string, y int, h double").repartition(3)
+    grades = spark.createDataFrame([(i, q * (2 - t), "g") for i, q, t in labels], "doc_id long, grade int, text string")
+    weights, theta = quality.fit(docs, grades, "doc_id", "text", "grade")
+    assert len(theta) == 2 and theta[0] < theta[1]
+    want = Counter()
+    for i, t in rows:
+        score = sum(weights[s] * v for s, v in quality.features(t or "", {}).items())
+        above = [1 - 1 / (1 + math.exp(-(x - score))) for x in theta]
+        want[i, round(sum(above), 6), round(above[0], 6)] += 1
+    assert Counter((r.doc_id, round(r.expected_grade, 6), round(r.tail_probability, 6)) for r in quality.grade_quality(docs, grades).collect()) == want
+
+    def loss(w, theta):
+        total, text = 0.0, dict(rows)
+        graded = [(i, q * (2 - t)) for i, q, t in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+        for i, y in graded:
+            score = sum(w[s] * v for s, v in quality.features(text[i], {}).items())
+            cdf = [0.0, *(1 / (1 + math.exp(-(x - score))) for x in theta), 1.0]
+            total -= math.log(max(cdf[y + 1] - cdf[y], 1e-9))
+        return total / len(graded) + quality.PENALTY * float(w @ w) / 2
+
+    least, rng = loss(weights, theta), np.random.default_rng(1)
+    assert all(loss(weights + rng.normal(0, 0.02, len(weights)), theta + np.array(x)) > least - 1e-4 for x in ([0, 0], [0.1, 0.1], [-0.1, 0.1], [0.1, -0.1]))
+
+
+def test_a_sample_of_features_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEATURES", 2_000)
+    rows, labels = labelled(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grades = spark.createDataFrame([(i, q * (2 - t)) for i, q, t in labels], "doc_id long, grade int")
+    assert np.abs(quality.fit(docs, grades, "doc_id", "text", "grade")[0]).max() > 0
+    monkeypatch.setattr(quality, "FEATURES", 1)
+    assert not quality.fit(docs, grades, "doc_id", "text", "grade")[0].any()
+
+
 def test_quality(spark):
     rows, labels = labelled(spark)
     docs = spark.createDataFrame([*rows, (900, None), (901, ""), (None, "water")], "doc_id long, text string")
@@ -288,6 +395,28 @@ def test_repeats_of_a_hot_minimizer_need_no_large_buffer(spark, monkeypatch):
     assert largest.value == 0
 
 
+def test_repeats_in_very_long_texts(spark):
+    """A repeat far behind in a text of 17 MB that comes after others, and one between that text and a short one."""
+    rng = random.Random(13)
+    long, a, b = rng.randbytes(8_500_000).hex(), rng.randbytes(150).hex(), rng.randbytes(200).hex()
+    rows = [(1, rng.randbytes(900_000).hex()), (2, long[:9_000_000] + a + long[9_000_000:] + b), (3, rng.randbytes(50).hex() + b), (4, a + rng.randbytes(50).hex())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.remove_repeats(df).collect()}
+    assert got == {1: (0, 0), 2: (700, 2), 3: (400, 1), 4: (300, 1)}
+
+
+@pytest.mark.parametrize("ids", ["string", "null", "shared"])
+def test_repeats_by_any_id(spark, monkeypatch, ids):
+    monkeypatch.setattr(substrings, "SAMPLED", 1)  # frequent minimizers are found even here
+    rng = random.Random(14)
+    line = "".join(rng.choices("abcdef", k=60))
+    rows = [(None if ids == "null" else 7 if ids == "shared" else i, "".join(rng.choices("ghijk", k=30)) + line + "".join(rng.choices("ghijk", k=30)) + (line * 2 if i % 9 == 0 else "")) for i in range(120)]
+    rows += rows[:3]
+    df = spark.createDataFrame([(i if i is None else f"doc {i}" if ids == "string" else i, t) for i, t in rows], f"doc_id {'string' if ids == 'string' else 'long'}, text string").repartition(3)
+    want = sorted((r[1:] for r in brute_repeats(rows, 50)), key=key)
+    assert table(substrings.remove_repeats(df, length=50, gram=12), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for alphabet in ([0, 1], [5, 5, 6], list(range(256))):
@@ -316,18 +445,26 @@ def test_token_counts(docs):
     assert got == sorted(((*w, w[2] > 1024) for w in want), key=key)
 
 
-def test_parts_and_splices_round_trip():
+def test_runs_and_splices_round_trip():
     t, rng = tokens.load(tokens.VOCABULARY), random.Random(3)
-    coder = tokens.WordCoder(t, list, tokens.short_encoder(tokens.VOCABULARY))
+    coder = tokens.TextCoder()
     for _ in range(400):
         x = "".join(rng.choice(["a", "bc", " ", "  ", "\n", "<|endoftext|>", "é", "'s", "1", "!", "\t", "日本", "　", "\x1c", "\x85", "\xa0", "²"]) for _ in range(rng.randint(0, 90)))
         ids = t.encode(x, add_special_tokens=False).ids
-        parts = tokens.stable_parts(x)
-        coder.learn([parts])
-        assert "".join(parts) == x and [i for p in parts for i in coder.known[p]] == ids
+        assert "".join(tokens.stable_parts(x)) == x == "".join(run for _, run in coder.runs(x))
+        assert coder.ids([x, "", x])[2].tolist() == ids
         assert tokens.spliced_count(t, x, rng.randint(5, 40), rng.randint(1, 9)) == len(ids)
 
 
+def test_both_libraries_agree():
+    """All of the Latin blocks, alone and beside letters, digits, signs and white space, and every string of the vocabulary."""
+    t, coder = tokens.load(tokens.VOCABULARY), tokens.TextCoder()
+    latin = [chr(c) for c in range(0x250)]
+    found = [x.format(c) for c in latin for x in ("{0}", "{0}{0}", " {0}", "a{0}b", "1{0}2", "{0} {0}", "!{0}", "\n{0}\n", "'{0}")]
+    found += [t.decode([i], skip_special_tokens=False) for i in range(t.get_vocab_size())]
+    assert [x.tolist() for x in coder.ids(found)] == [e.ids for e in t.encode_batch(found, add_special_tokens=False)]
+
+
 def test_packing(docs):
     rows, df = docs
     size = 64
@@ -357,6 +494,9 @@ def test_plan_is_close_to_the_bound():
 
 
 def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(empty, labels).count() == 0
+    assert quality.grade_quality(empty, labels.withColumnRenamed("quality", "grade")).count() == 0
     assert packing.pack(empty).count() == 0
     assert tokens.token_counts(empty).count() == 0
     assert jaccard.jaccard_join(empty).count() == 0
@@ -370,6 +510,23 @@ def test_empty_tables(spark, empty):
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
+def brute_factors(values):
+    """Katz's factors for counts 1 to 5, from the counts of counts or the line through their logarithms."""
+    n = Counter(values)
+    there = [r for r in range(1, 65) if n[r]]
+    slope = statistics.linear_regression([math.log(r) for r in there], [math.log(n[r]) for r in there]).slope if len(there) > 1 else 0.0
+    out = {}
+    for r in range(1, 6):
+        raw_cut, line_cut = 6 * n[6] / n[1] if n[1] else 0, 6 ** (slope + 1)
+        tries = []
+        if n[r] and 0 < raw_cut < 1:
+            tries.append(((r + 1) * n[r + 1] / (r * n[r]) - raw_cut) / (1 - raw_cut))
+        if 0 < line_cut < 1:
+            tries.append((((r + 1) / r) ** (slope + 1) - line_cut) / (1 - line_cut))
+        out[r] = next((x for x in tries if 0 < x < 1), (r - 0.5) / r)
+    return out
+
+
 def brute_katz(rows):
     token = [(i, [*words_of(t), None], i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for i, t in rows]
     one, two = Counter(), Counter()
@@ -378,16 +535,16 @@ def brute_katz(rows):
             one.update(w)
             two.update(zip(["<s>", *w], w, strict=False))
     total = sum(one.values())
-    words = katz.Unigrams(total, len(one), [0, *(Counter(one.values())[r] for r in range(1, 8))])
-    d = katz.good_turing([0, *(Counter(two.values())[r] for r in range(1, 8))])
-    p1 = lambda w: float(words.p(np.array([one[w]]))[0])
+    d1, d = brute_factors(one.values()), brute_factors(two.values())
+    unknown = sum(c * (1 - d1[c]) for c in one.values() if c <= 5) / total
+    p1 = lambda w: d1.get(one[w], 1) * one[w] / total if w in one else unknown
     after = {}
     for (h, w), c in two.items():
         after.setdefault(h, []).append((w, c))
     weights = {}
     for h, found in after.items():
         size = sum(c for _, c in found)
-        freed = sum(c * (1 - d[c]) for _, c in found if c <= katz.TOP)
+        freed = sum(c * (1 - d[c]) for _, c in found if c <= 5)
         size, freed = (size + 1, 1.0) if freed <= 0 else (size, freed)
         weights[h] = size, freed / size / (1 - sum(p1(w) for w, _ in found))
     out = {}
@@ -395,10 +552,10 @@ def brute_katz(rows):
         score = base = 0.0
         for h, x in zip(["<s>", *w], w, strict=False):
             c = two[h, x]
-            score += math.log10((d[c] if c <= katz.TOP else 1) * c / weights[h][0] if c else weights.get(h, (0, 1.0))[1] * p1(x))
+            score += math.log10(d.get(c, 1) * c / weights[h][0] if c else weights.get(h, (0, 1.0))[1] * p1(x))
             base += math.log10((one[x] + 0.5) / (total + 0.5 * (len(one) + 1)))
         out.setdefault(i, []).append((len(w), sum(x in one for x in w), total, held, round(base, 6), round(score, 6)))
-    mass = sum(p1(w) for w in one) + words.unknown
+    mass = sum(p1(w) for w in one) + unknown
     return out, mass, weights, after, p1, d
 
 
@@ -410,7 +567,7 @@ def test_katz(docs, monkeypatch, block):
     assert mass == pytest.approx(1)
     for h, found in list(after.items())[:20]:  # exactly normalised: seen words, and the rest by the backoff weight
         size, alpha = weights[h]
-        seen = sum((d[c] if c <= katz.TOP else 1) * c / size for _, c in found)
+        seen = sum(d.get(c, 1) * c / size for _, c in found)
         assert seen + alpha * (1 - sum(p1(w) for w, _ in found)) == pytest.approx(1)
     got = {}
     for r in katz.score_text(df).collect():
@@ -418,6 +575,16 @@ def test_katz(docs, monkeypatch, block):
     assert {i: sorted(x) for i, x in got.items()} == {i: [pytest.approx(y) for y in sorted(x)] for i, x in want.items()}
 
 
+def test_good_turing_factors():
+    n = [0, 1000, 400, 210, 130, 140, 60, *(int(2000 / r**1.7) for r in range(7, 65)), 0]
+    d = katz.good_turing(n)
+    cut = 6 * 60 / 1000
+    raw = {r: ((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, 6)}
+    assert raw[4] > 1 and all(d[r] == pytest.approx(raw[r]) for r in (1, 2, 3, 5) if 0 < raw[r] < 1)  # each count by itself
+    assert all(0 < x < 1 for x in d[1:]) and d[4] != pytest.approx(3.5 / 4)  # the line stands in, not a constant
+    assert katz.good_turing([0] * 66)[1:].tolist() == [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9]
+
+
 # --- 8, 9, 10 ---------------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -425,7 +592,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 def brute_pii(t):
     out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
-    out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(t) if max(map(int, m[0].split("."))) <= 255]
+    out += [(m.start(), 1, m.end()) for m in pii.IP.finditer(t) if all(x.lstrip("0") in {str(n) for n in range(256)} | {""} for x in m[0].split("."))]
     out += [(m.start(), 2, m.end()) for m in pii.CARD.finditer(t) if 14 <= len(re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(re.sub("[ -]", "", m[0]))]
     out += [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
     return sorted(out)
@@ -442,6 +609,16 @@ def test_pii_anchors():
     assert added("IBAN: GB82 WEST 1234 5698 7654 32") == [("account", "GB82 WEST 1234 5698 7654 32")]
     assert added("see ssh://bob@host.example/x and https://plain.example/") == [("url", "bob@host.example/x")] or added("see ssh://bob@host.example/x")[0][0] == "url"
     assert added("a token of thanks, the account is closed") == []
+    assert added("IBAN: GB82 WEST 1234 5698 7654 32 thanks 12") == [("account", "GB82 WEST 1234 5698 7654 32")]
+    assert added("api_key = sk_live_" + "4e" * 200 + " end") == [("account", "sk_live_" + "4e" * 200)]
+
+
+def test_pii_of_long_texts():
+    """Runs of any length: no parser fails on them, and none starts over within them."""
+    a = pii.automaton()
+    assert pii.find("1" * 5000 + ".1.1.1", a)[0] == [] and pii.find("0" * 5000 + "7.1.1.255", a)[0] == [(0, 1, 5009)]
+    for text in ("1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1 " * 60_000, "token=" * 40_000, "https://a" * 30_000, "1 2-" * 50_000, "iban: GB82 " * 20_000):
+        assert pii.find(text + " bob@host.example", a)[0][-1][1] == 0
 
 
 def test_pii(docs):
@@ -480,6 +657,39 @@ def test_fingerprints(docs):
     assert len(set(by_text.values())) == len(by_text)
 
 
+def test_fingerprint_is_the_tree(spark):
+    """Against hashlib and an own walk over the tree, with likeness and the next text by id; ids on two scales, text ids."""
+    rng = random.Random(6)
+    rows = [(i if i % 2 else i * 10**15, " ".join(rng.choice(["alpha", "tent", "gap.", "line\n", "Zeit", "so!"]) for _ in range(rng.randint(0, 80)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts = {r.t: r.d for r in df.select(F.col("text").alias("t"), fingerprints.leaf_digests(F.col("text")).alias("d")).collect()}
+
+    def tree(text):
+        leaves = parts[text]
+        assert len(leaves) == len(re.split(r"(?<=\n)|(?<=[nt!-/:-@\[-`{-~] )", text))
+        sections = re.sub("0,", "0/", ",".join(leaves)).split("/")
+        short = [hashlib.sha256(s.encode()).hexdigest()[:16] for s in sections]
+        root = hashlib.sha256(("".join(short) + hashlib.sha256(text.encode()).hexdigest()).encode()).hexdigest()[:32]
+        return root + ":" + "/".join(f"{d}={s}" for d, s in zip(short, sections, strict=True))
+
+    order = sorted(rows)
+    for out in (fingerprints.fingerprints(df), fingerprints.fingerprints(df.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 20, "0")))):
+        got = {int(r.doc_id): r for r in out.collect()}
+        for (i, text), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+            a, b = set(parts[text]), set(parts[following])
+            assert got[i].fingerprint == tree(text) and got[i].near_next == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_following_texts_in_even_buckets(spark):
+    """Ids on three scales and one id of a third of the rows: buckets stay small, and each row meets the next."""
+    ids = [*range(3000), *(10**12 + 7 * i for i in range(1500)), 10**18, *[77] * 2000]
+    df = spark.createDataFrame([(x, f"text {k}") for k, x in enumerate(ids)], "doc_id long, text string").repartition(4)
+    got = fingerprints.following_texts(df, "doc_id", "text", rows_a_bucket=300)
+    rows = sorted((tuple(r) for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1), "text").collect()))
+    want = sorted((a[0], a[2], b[2]) for a, b in zip(rows, [*rows[1:], rows[0]], strict=True))
+    assert sorted(map(tuple, got.select("id", "text", "following").collect())) == want
+
+
 def test_fingerprint_order_wraps_and_locates(spark):
     df = spark.createDataFrame([(10, "abcd"), (-5, "xyzw"), (7_000_000_000, "12")], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
@@ -513,6 +723,45 @@ def test_decontamination(docs, spark, monkeypatch, limit):
     assert table(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=key)
 
 
+def test_decontamination_without_benchmark(docs, spark):
+    rows, df = docs
+    for items in ([], [(1, None), (2, "--")]):
+        out = decontamination.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), keep=[c for c in df.columns if c != "doc_id"])
+        assert out.columns[8:] == [c for c in df.columns if c != "doc_id"]
+        assert out.select("n_hit", "n_items", "contaminated").distinct().collect() == [(0, 0, False)] and out.count() == len(rows)
+
+
+def test_a_session_on_several_machines_needs_a_shared_folder():
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Elsewhere)
+
+
+def test_random_sets_form_no_groups(spark):
+    """Unrelated texts of few and of many shingles share no part; links are found all the same."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(rng.choice([5, 9, 14, 24, 64, 200])))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((5, 80), (3, 90)):
+        assert jaccard.candidate_edges(jaccard.part_rows(df, "text", k, percent)).count() == 0
+
+
+def test_components_of_a_star(spark, monkeypatch):
+    """Centres with the smallest, the largest and a middle number, each with most of the rows, by rounds alone."""
+    monkeypatch.setattr(graph, "HELD", 0)
+    for centre in (0, 5000, 99_999):
+        edges = [(centre, x) for x in range(1, 99_000, 33)] + [(200_000 + i, 200_001 + i) for i in range(0, 60, 3)]
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        least = min(centre, 1)
+        assert all(got[x] == least for x in [centre, *range(1, 99_000, 33)]) and all(got[200_001 + i] == 200_000 + i for i in range(0, 60, 3))
+
+
 def test_hot_keys_meet_a_broadcast(spark):
     left = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2), (None, 3)], "k string, v int")
     right = spark.createDataFrame([("a", 10), ("b", 20)], "k string, w int")
