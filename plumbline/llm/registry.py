@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversations import damage, repair
 from .decontamination import decontaminate
 from .fingerprints import fingerprints
 from .jaccard import jaccard_join
 from .katz import score_text
+from .licenses import scan_licenses
+from .negatives import mine_negatives
 from .packing import pack
 from .pii import find_pii
 from .quality import grade_quality
@@ -64,7 +67,20 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return out.drop("items", "ranges")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op3_suffix_array_dedup, op4_token_counts, op5_best_fit_packing, op6_ordinal_quality, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination)}
+def op11_conversation_repair(spark, sf_dir):
+    return repair(damage(table(spark, sf_dir, "conversations")), copies=F.col("copies"), gone=F.col("gone"))
+
+
+def op12_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("notices")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return mine_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_noisy_channel_toxicity, op3_suffix_array_dedup, op4_token_counts, op5_best_fit_packing, op6_ordinal_quality, op7_katz_backoff_scores, op8_anchor_pii, op9_merkle_fingerprints, op10_benchmark_decontamination, op11_conversation_repair, op12_license_scan, op13_hard_negatives)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -89,4 +105,12 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT a.r AS a, a.id AS anchor_id, a.label AS own, b.r, b.id, b.label, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.r <> b.r WHERE a.id % 100 = 0),
+p AS (SELECT * FROM scored WHERE own = label QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, id, r) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.s AS positive_score, n.id AS negative_id, n.s AS negative_score, row_number() OVER (PARTITION BY p.a, p.r ORDER BY n.s DESC, n.id, n.r) AS rank
+FROM p JOIN scored n ON p.a = n.a AND n.label <> n.own AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
