@@ -118,14 +118,14 @@ class Piece:
         self.scored = 0  # points that were scored, for tests and reports
 
     def scores(self, a: int, b: int, query: np.ndarray, norm: float) -> np.ndarray:
-        """Exact inner products; those beyond the range of long are its ends."""
+        """Exact inner products, LONG or -LONG for those beyond."""
         self.scored += b - a
         if norm * self.tree.sphere < EXACT:
             return (self.vectors[a:b] @ query).astype(np.int64)
         whole = [int(x) for x in query]
-        return np.array([max(-LONG - 1, min(LONG, sum(int(x) * y for x, y in zip(v, whole, strict=True)))) for v in self.vectors[a:b]], np.int64)
+        return np.array([max(-LONG, min(LONG, sum(int(x) * y for x, y in zip(v, whole, strict=True)))) for v in self.vectors[a:b]], np.int64)
 
-    def best(self, query: np.ndarray, label, same: bool, row: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
+    def best(self, query: np.ndarray, label, same: bool, row: int, windows: list[tuple[float, float]], k: int) -> list[list[tuple[int, int]]]:
         """For each window (least, greatest score) its first k points as (score, place), greater scores first, then smaller ids.
 
         Points have the label, but aren't the row (same), or another label.
@@ -244,7 +244,7 @@ def mine_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     Rows with a null label or vector, or a component that is null or not
     finite, take no part.  A null id comes behind all others; repeated rows are
     rows of their own, anchors and candidates alike.  Shorter vectors count as
-    ending with zeros; a score beyond the range of long is that range's end.  An
+    ending with zeros; a score beyond +-(2^63 - 1) counts as that.  An
     empty table gives no rows, an anchor alone in its label none either.  Other
     columns aren't read, so their names don't matter.
 
@@ -263,7 +263,7 @@ def mine_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_id",
     def nearest(piece, part):
         out = ([], [], [])
         for row, label, query in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), matrix(part.column(5)), strict=True):
-            for score, place in piece.best(query, label, True, row, [(-LONG - 1, LONG)], positives)[0]:
+            for score, place in piece.best(query, label, True, row, [(-math.inf, math.inf)], positives)[0]:
                 for held, x in zip(out, (row, place, score), strict=True):
                     held.append(x)
         places = pa.array(out[1], pa.int64())
