@@ -17,6 +17,7 @@ block.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,10 +44,11 @@ SOUND, CUT, LOST = 0, 1, 2  # LOST: blank or a duplicate, has to go
 def bounds(rows: list[tuple[str, int]], ends: tuple[int, ...]) -> list[list[int]]:
     """For each row and state, what the rest costs at least."""
     at_end = [min((0 if s in ends else FAR), min((INSERT if NEXT[s][0] in ends else FAR), (2 * INSERT if NEXT[NEXT[s][0]][0] in ends else FAR))) for s in range(4)]
+    going = [s for s in range(4) if USER in ends or ASSISTANT in ends or s == START or s == SYSTEM and SYSTEM in ends]  # from where ends can be reached
     table: list[list[int]] = [at_end]
     for i in range(len(rows) - 1, -1, -1):
         role, fault = rows[i]
-        after = table[-1] if (i + 1) % BLOCK or i + 1 == len(rows) else [min(table[-1])] * 4
+        after = table[-1] if (i + 1) % BLOCK or i + 1 == len(rows) else [min(table[-1][t] for t in going) if s in going else FAR for s in range(4)]
         here = []
         for s in range(4):
             best = DELETE + after[s]
@@ -99,6 +101,7 @@ def search(rows: list[tuple[str, int]], start: int = START, ends: tuple[int, ...
         bound = beyond
 
 
+@cache
 def edits(row: tuple[str, int] | None, s: int) -> list[tuple[str, int, int, int]]:
     """Letter, cost, state after and rows used of what may be done next, in ASCII order."""
     out = [("D", DELETE, s, 1)] if row else []
