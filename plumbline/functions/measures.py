@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,21 +106,32 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(100.0)).otherwise(F.lit(200.0) * _lcs(a, b) / both)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def name_words(c: Column) -> Column:
+    """The distinct words of a name, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Likeness (0 to 100) of two names as sets of words: order, repeats and words that one has more count little."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")))
-    x, y = words(a), words(b)
-    common = F.array_sort(F.array_intersect(x, y))
-    rest_x, rest_y = F.array_sort(F.array_except(x, y)), F.array_sort(F.array_except(y, x))
-    s, u, v = (F.array_join(t, " ") for t in (common, rest_x, rest_y))
-    blank = F.when(F.length(s) > 0, F.lit(" ")).otherwise(F.lit(""))
-    su, sv = F.concat(s, F.when(F.size(rest_x) > 0, F.concat(blank, u)).otherwise(F.lit(""))), F.concat(s, F.when(F.size(rest_y) > 0, F.concat(blank, v)).otherwise(F.lit("")))
-    # common is a prefix of both joined texts, so its likeness needs no table
-    prefix = lambda t: F.lit(200.0) * F.length(s) / (F.length(s) + F.length(t))
-    # the shared prefix belongs to the longest common subsequence
-    shared = F.length(s) + F.when(F.length(s) > 0, F.lit(1)).otherwise(F.lit(0))
-    lcs = shared + _lcs(u, v)
-    joined = F.lit(200.0) * lcs / F.greatest(F.length(su) + F.length(sv), F.lit(1))
-    inside = (F.size(common) > 0) & ((F.size(rest_x) == 0) | (F.size(rest_y) == 0))
-    some = F.when(F.size(common) > 0, F.greatest(joined, prefix(su), prefix(sv))).otherwise(joined)
-    return F.when(a.isNull() | b.isNull(), None).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when(inside, F.lit(100.0)).otherwise(some)
+
+    def score(t: Column) -> Column:
+        s, u, v = t["s"], t["u"], t["v"]
+        blank = F.when(F.length(s) > 0, 1).otherwise(0)
+        n_u, n_v = (F.length(s) + F.when(F.length(w) > 0, blank + F.length(w)).otherwise(0) for w in (u, v))
+        # common is a prefix of both joined texts, so its likeness needs no table, and it belongs to the longest common subsequence
+        prefix = lambda n: F.lit(200.0) * F.length(s) / (F.length(s) + n)
+        joined = lambda: F.lit(200.0) * (F.length(s) + blank + _lcs(u, v)) / F.greatest(n_u + n_v, F.lit(1))
+        inside = (F.length(s) > 0) & ((F.length(u) == 0) | (F.length(v) == 0))
+        return F.when(inside, F.lit(100.0)).when(F.length(s) > 0, F.greatest(joined(), prefix(n_u), prefix(n_v))).otherwise(joined())
+
+    def split(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        parts = F.struct(F.array_join(F.array_sort(F.array_intersect(x, y)), " ").alias("s"), F.array_join(F.array_sort(F.array_except(x, y)), " ").alias("u"), F.array_join(F.array_sort(F.array_except(y, x)), " ").alias("v"))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(let(parts, score))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(name_words(a).alias("x"), name_words(b).alias("y")), split))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.measures import haversine_km, token_set_ratio
+from ..sources.sinks import settled
+from .candidates import alike_pairs
 
 # Thresholds of the cascade.
 
@@ -32,47 +34,110 @@ def _best(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order, F.asc("target_id")))).where("_r = 1").drop("_r")
 
 
-def link(entities: DataFrame, targets: DataFrame, at: Thresholds = Thresholds()) -> DataFrame:
+def link(entities: DataFrame, targets: DataFrame, at: Thresholds = Thresholds(), by_place: Column | None = None) -> DataFrame:
     """entity_id, target_id, method, score, review_status, note for each entity.
 
     entities: entity_id, block, norm_name, lat, lon; targets: target_id, block,
     norm_name, lat, lon.  In order: the one exact name of the block; of several
-    the nearest within tie_km; the likeliest name if near enough; the nearest
-    target if its name is somewhat alike.  Likeness is computed within blocks,
-    and once for each pair of distinct names.
+    the nearest within tie_km; the likeliest name (of several targets the
+    nearest) if near enough or nowhere; for entities that by_place holds for
+    (all), the nearest target of all, if its name is somewhat alike.  Empty
+    names are like no other.  Names meet through an index and places in a grid,
+    so no block is compared all with all.
     """
-    t = targets.select("target_id", "block", F.col("norm_name").alias("t_name"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    exact = entities.join(t, (entities["block"] == t["block"]) & (entities["norm_name"] == t["t_name"])).drop(t["block"]).withColumn("km", _distance())
-    exact = exact.withColumn("_n", F.count("*").over(Window.partitionBy("entity_id")))
-    one = exact.where("_n = 1").select("entity_id", "target_id", F.lit("exact_name").alias("method"), F.lit(1.0).alias("score"), F.lit("accepted").alias("review_status"))
-    nearest = _best(exact.where("_n > 1"), F.asc_nulls_last("km"))
-    near = F.col("km") <= at.tie_km
-    tied = nearest.select(
-        "entity_id", F.when(near, F.col("target_id")).alias("target_id"), F.when(near, "exact_name_nearest").otherwise("ambiguous_name").alias("method"),
-        F.when(near, 0.98).otherwise(0.5).alias("score"), F.when(near, "accepted").otherwise("needs_review").alias("review_status"),
+    t = targets.select("target_id", "block", F.col("norm_name").alias("t_name"), "lat", "lon")
+    named = entities.where("norm_name <> ''")
+    # the same name, once or several times
+    same = t.groupBy("block", F.col("t_name").alias("norm_name")).agg(F.count("*").alias("n"), F.min("target_id").alias("only"))
+    exact = named.join(same, ["block", "norm_name"])
+    one = exact.where("n = 1").select("entity_id", F.col("only").alias("target_id"), F.lit("exact_name").alias("method"), F.lit(1.0).alias("score"), F.lit("accepted").alias("review_status"), F.lit(None).cast("string").alias("note"))
+    key = lambda df, name: df.withColumn("key", F.struct("block", F.col(name).alias("name")))
+    tied = exact.where("n > 1")
+    close = nearest(key(tied, "norm_name"), key(t, "t_name"), "key", at.tie_km)
+    found = F.col("target_id").isNotNull()
+    tied = tied.select("entity_id", "n").join(close, "entity_id", "left").select(
+        "entity_id", "target_id", F.when(found, "exact_name_nearest").otherwise("ambiguous_name").alias("method"), F.when(found, 0.98).otherwise(0.5).alias("score"),
+        F.when(found, "accepted").otherwise("needs_review").alias("review_status"), F.concat(F.col("n").cast("string"), F.when(found, F.format_string(" of this name, the nearest %.1f km away", "km")).otherwise(" of this name, none near enough to tell")).alias("note"),
     )
-    rest = entities.join(exact.select("entity_id").distinct(), "entity_id", "left_anti")
-    likes = rest.select("block", "norm_name").distinct().join(t.select("block", "t_name").distinct(), "block").withColumn("like", token_set_ratio(F.col("norm_name"), F.col("t_name")))
-    pairs = rest.join(likes.where(F.col("like") >= min(at.review_score, at.nearest_score)), ["block", "norm_name"]).join(t, ["block", "t_name"]).withColumn("km", _distance())
-    top = _best(pairs, F.desc("like"), F.asc_nulls_last("km"))
-    within = lambda km: F.col("km").isNull() | (F.col("km") <= km)
-    accepted = (F.col("like") >= at.accept_score) & within(at.accept_km)
-    review = (F.col("like") >= at.review_score) & within(at.review_km)
-    fuzzy = top.where(accepted | review).select("entity_id", "target_id", F.lit("fuzzy_name").alias("method"), (F.col("like") / 100).alias("score"), F.when(accepted, "accepted").otherwise("needs_review").alias("review_status"))
-    left = pairs.join(fuzzy.select("entity_id"), "entity_id", "left_anti").where(F.col("km") <= at.nearest_km)
-    close = _best(left, F.asc("km")).where(F.col("like") >= at.nearest_score).select("entity_id", "target_id", F.lit("nearest_place").alias("method"), (F.col("like") / 100).alias("score"), F.lit("needs_review").alias("review_status"))
-    found = one.unionByName(tied).unionByName(fuzzy).unionByName(close)
-    out = entities.select("entity_id", "block").join(found, "entity_id", "left")
+    # the likeliest names, and of their targets the nearest
+    rest = entities.join(exact.select("entity_id"), "entity_id", "left_anti")
+    likes = alike_pairs(rest.select("block", F.col("norm_name").alias("l_name")), t.select("block", F.col("t_name").alias("r_name")), min(at.review_score, at.accept_score))
+    likes = likes.withColumn("most", F.max("like").over(Window.partitionBy("block", "l_name"))).where("like = most").select("block", F.col("l_name").alias("norm_name"), F.col("r_name").alias("t_name"), "like")
+    likes = settled(likes, "likes")
+    likely = likes.join(t, ["block", "t_name"])
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    group = likely.groupBy("block", "norm_name").agg(F.max("like").alias("like"), F.min("target_id").alias("any"), F.bool_or(placed).alias("t_placed"))
+    asked = rest.join(group, ["block", "norm_name"])
+    close = nearest(key(asked, "norm_name"), key(likely, "norm_name"), "key", max(at.accept_km, at.review_km))
+    nowhere = ~(placed & F.col("t_placed"))  # no distance tells them apart
+    judged = asked.select("entity_id", "like", "any", nowhere.alias("nowhere")).join(close, "entity_id", "left").withColumn("target_id", F.when(F.col("nowhere"), F.col("any")).otherwise(F.col("target_id")))
+    within = lambda km: F.col("nowhere") | (F.col("km") <= km)
+    accepted, review = (F.col("like") >= at.accept_score) & within(at.accept_km), (F.col("like") >= at.review_score) & within(at.review_km)
+    fuzzy = judged.where(accepted | review).select(
+        "entity_id", "target_id", F.lit("fuzzy_name").alias("method"), (F.col("like") / 100).alias("score"), F.when(accepted, "accepted").otherwise("needs_review").alias("review_status"),
+        F.concat(F.format_string("name score %.0f", "like"), F.when(F.col("km").isNotNull(), F.format_string(", %.1f km", "km")).otherwise("")).alias("note"),
+    )
+    # the nearest target, whatever its name; then its name is asked
+    left = rest.join(fuzzy.select("entity_id"), "entity_id", "left_anti")
+    left = left if by_place is None else left.where(by_place)
+    close = nearest(left, t, "block", at.nearest_km).join(t.select("target_id", "t_name"), "target_id").join(left.select("entity_id", "norm_name"), "entity_id")
+    close = close.withColumn("like", token_set_ratio(F.col("norm_name"), F.col("t_name"))).where(F.col("like") >= at.nearest_score)
+    close = close.select("entity_id", "target_id", F.lit("nearest_place").alias("method"), (F.col("like") / 100).alias("score"), F.lit("needs_review").alias("review_status"), F.format_string("nearest, %.1f km away, name score %.0f", "km", "like").alias("note"))
+    out = entities.select("entity_id", "block").join(one.unionByName(tied).unionByName(fuzzy).unionByName(close), "entity_id", "left")
     return out.select(
         "entity_id", "target_id", F.coalesce("method", F.lit("none")).alias("method"), F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("review_status", F.lit("unmatched")).alias("review_status"), F.when(F.col("method").isNull(), F.concat(F.lit("no target in block "), "block")).alias("note"),
+        F.coalesce("review_status", F.lit("unmatched")).alias("review_status"), F.when(F.col("method").isNull(), F.concat(F.lit("no target in block "), "block")).otherwise(F.col("note")).alias("note"),
+    )
+
+
+# Kinds whose jurisdiction is the state, those whose is a county, and those that a place may stand for.
+STATEWIDE = ("state_police", "state_special_jurisdiction", "federal")
+OF_COUNTIES = ("county_sheriff", "county_police")
+OF_PLACES = ("municipal_police",)
+FALLBACK_SCORE = 0.2
+
+
+def resolve(entities: DataFrame, geographies: DataFrame, town_states: tuple[str, ...] = (), at: Thresholds = Thresholds()) -> DataFrame:
+    """Exactly one row for each entity: entity_id, target_id, target_name, method, score, review_status, note.
+
+    entities: entity_id, kind, state, name, norm_name, county_name, lat, lon;
+    geographies: geo_id, geo_level (state, county, place, cousub), state, name,
+    lat, lon, with one row of level state for a state.  Each kind has its rule:
+    statewide kinds are their state's, county kinds go through county_links,
+    all others through link among the municipalities of their state.  What none
+    of these place keeps the state as its target, so it stays locatable, with
+    the method state_fallback: for review where the county is unknown or the
+    state has no municipalities, unmatched otherwise.  Without a state, or where
+    the state isn't listed, there is no target.
+    """
+    states = geographies.where("geo_level = 'state'").groupBy("state").agg(F.min("geo_id").alias("state_id"))
+    known = entities.where("state is not null")
+    blank = F.lit(None).cast("string")
+    lost = entities.where("state is null").select("entity_id", blank.alias("target_id"), F.lit("none").alias("method"), F.lit(0.0).alias("score"), F.lit("unmatched").alias("review_status"), F.lit("no state").alias("note"))
+    ruled = rule_links(known, states.withColumnRenamed("state_id", "target_id"), list(STATEWIDE)).withColumn("note", F.lit("its jurisdiction is the state"))
+    counties = geographies.where("geo_level = 'county'").select(F.col("geo_id").alias("target_id"), "state", "name")
+    of_counties = county_links(known.where(F.col("kind").isin(*OF_COUNTIES)).select("entity_id", "state", "county_name", "name"), counties, at)
+    towns = municipalities(geographies, town_states).select(F.col("geo_id").alias("target_id"), F.col("state").alias("block"), names.normalize_place(F.col("name")).alias("norm_name"), "lat", "lon")
+    others = known.where(~F.coalesce(F.col("kind").isin(*STATEWIDE, *OF_COUNTIES), F.lit(False))).withColumnRenamed("state", "block")
+    placed = link(others.select("entity_id", "block", "kind", F.coalesce("norm_name", F.lit("")).alias("norm_name"), "lat", "lon"), towns, at, F.col("kind").isin(*OF_PLACES))
+    found = lost.unionByName(ruled).unionByName(of_counties).unionByName(placed)
+    # what nothing placed stays with its state
+    governed = towns.select(F.col("block").alias("state"), F.lit(True).alias("governed")).distinct()
+    out = found.join(entities.select("entity_id", "state"), "entity_id").join(states, "state", "left").join(governed, "state", "left")
+    open_, county = F.col("state").isNotNull() & (F.col("method") == "none") & (F.col("note") != "its jurisdiction is the state"), F.col("method") == "state_fallback"
+    empty = F.col("governed").isNull()
+    out = out.select(
+        "entity_id", F.when(open_ | county, F.col("state_id")).otherwise(F.col("target_id")).alias("target_id"), F.when(open_, "state_fallback").otherwise(F.col("method")).alias("method"),
+        F.when(open_, FALLBACK_SCORE).otherwise(F.col("score")).alias("score"), F.when(open_ & empty, "needs_review").otherwise(F.col("review_status")).alias("review_status"),
+        F.when(open_ & empty, "no municipalities in this state").when(open_, "no municipality matched").otherwise(F.col("note")).alias("note"),
     )
+    return out.join(geographies.select(F.col("geo_id").alias("target_id"), F.col("name").alias("target_name")), "target_id", "left").select("entity_id", "target_id", "target_name", "method", "score", "review_status", "note")
 
 
 def rule_links(entities: DataFrame, states: DataFrame, statewide: list[str]) -> DataFrame:
     """Statewide types link to their state with score 1; without a state they stay unmatched."""
     s = states.select(F.col("state").alias("_s"), F.col("target_id"))
-    some = entities.where(F.col("kind").isin(*statewide)).join(F.broadcast(s), F.col("state") == F.col("_s"), "left")
+    some = entities.where(F.col("kind").isin(*statewide)).join(s, F.col("state") == F.col("_s"), "left")
     there = F.col("target_id").isNotNull()
     return some.select("entity_id", "target_id", F.when(there, "type_rule").otherwise("none").alias("method"), F.when(there, 1.0).otherwise(0.0).alias("score"), F.when(there, "accepted").otherwise("unmatched").alias("review_status"))
 
@@ -126,7 +191,8 @@ def county_links(entities: DataFrame, counties: DataFrame, at: Thresholds = Thre
     exact = named.where("given").join(same.where("n = 1"), ["state", "norm"]).select("entity_id", "target_id", F.lit("exact_county_name").alias("method"), F.lit(1.0).alias("score"))
     rest = named.join(exact.select("entity_id"), "entity_id", "left_anti")
     # likeness of distinct names of a state; of counties with one name, the one with the smallest id
-    likes = rest.select("state", "norm").distinct().join(same.select("state", F.col("norm").alias("c_norm"), "target_id"), "state").withColumn("like", token_set_ratio(F.col("norm"), F.col("c_norm"))).where(F.col("like") >= at.accept_score)
+    likes = alike_pairs(rest.select(F.col("state").alias("block"), F.col("norm").alias("l_name")), same.select(F.col("state").alias("block"), F.col("norm").alias("r_name")), at.accept_score)
+    likes = likes.select(F.col("block").alias("state"), F.col("l_name").alias("norm"), F.col("r_name").alias("c_norm"), "like").join(same.select("state", F.col("norm").alias("c_norm"), "target_id"), ["state", "c_norm"])
     top = likes.groupBy("state", "norm").agg(F.max_by(F.struct("target_id", "like"), F.struct("like", F.col("c_norm") == F.col("norm"))).alias("b")).select("state", "norm", F.col("b.target_id").alias("target_id"), (F.col("b.like") / 100).alias("score"))
     fuzzy = rest.join(top, ["state", "norm"]).select("entity_id", "target_id", F.when(F.col("given"), "fuzzy_county_name").otherwise("fuzzy_entity_name").alias("method"), "score")
     out = entities.select("entity_id", "state").join(exact.unionByName(fuzzy), "entity_id", "left")
@@ -141,12 +207,13 @@ def disambiguate(records: DataFrame, candidates: DataFrame, least: float = 85.0,
     """Records (key, name) that several candidates (key, candidate_id, name) claim: chosen ones, and a log.
 
     Chosen is the one candidate whose id ends with `primary`, if its name is
-    like the record's by `least` and by `margin` more than any rival's.
+    like the record's by `least` and by `margin` more than any rival's; names
+    are compared in their normal form.
     """
-    met = records.join(candidates.withColumnRenamed("name", "c_name"), "key").withColumn("like", F.coalesce(token_set_ratio(F.col("name"), F.col("c_name")), F.lit(0.0)))
+    met = records.join(candidates.withColumnRenamed("name", "c_name"), "key").withColumn("like", F.coalesce(token_set_ratio(names.normalize_agency(F.col("name")), names.normalize_agency(F.col("c_name"))), F.lit(0.0)))
     mine = F.col("candidate_id").endswith(primary)
     per = met.groupBy("key", "name").agg(F.count_if(mine).alias("primaries"), F.max(F.when(mine, F.col("candidate_id"))).alias("candidate_id"), F.max(F.when(mine, F.col("like"))).alias("own"), F.coalesce(F.max(F.when(~mine, F.col("like"))), F.lit(0.0)).alias("rival"), F.count("*").alias("n")).where("n > 1")
-    good = (F.col("primaries") == 1) & (F.col("own") >= least) & (F.col("own") - F.col("rival") >= margin) & (F.trim("name") != "")
+    good = (F.col("primaries") == 1) & (F.col("own") >= least) & (F.col("own") - F.col("rival") >= margin) & (names.normalize_agency(F.col("name")) != "")
     judged = per.withColumn("ok", F.coalesce(good, F.lit(False)))
     log = judged.select("key", F.when(F.col("ok"), "key_disambiguated").otherwise("ambiguous_key").alias("check_id"), F.when(F.col("ok"), "info").otherwise("warning").alias("severity"))
     return judged.where("ok").select("key", "name", "candidate_id", F.lit("primary_name").alias("method")), log

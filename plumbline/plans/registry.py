@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,7 +34,7 @@ def query(name: str, sql: str | None, prefix: bool = True):
     return add
 
 
-def r6(c: str, name: str | None = None):
+def r6(c: str | Column, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
 
@@ -261,13 +261,6 @@ def haversine(a):
     return a.entity.select("entity_id", F.round(measures.haversine_km(F.col("lat"), F.col("lon"), F.lit(40.0), F.lit(20.0)), 6).alias("km"))
 
 
-@query("p12_token_set_ratio", None)
-def similarity(a):
-    p = a.read("part").select("p_name").distinct()
-    q = p.select(F.concat(F.lit("the "), F.reverse(F.split("p_name", " "))[0], F.lit(" "), F.split("p_name", " ")[0]).alias("other"), "p_name")
-    return q.select("p_name", "other", F.round(measures.token_set_ratio(F.col("p_name"), F.col("other")), 6).alias("score"))
-
-
 @query("p13_population_band", f"SELECT entity_id, data_year, {analog.BAND_SQL.format('pep')} AS band FROM population")
 def bands(a):
     return a.population.select("entity_id", "data_year", measures.band(F.col("pep")).alias("band"))
@@ -346,14 +339,6 @@ def exact_links(a):
     return left.join(t, ["block", "norm_name"], "left").select("entity_id", F.when(F.col("n") == 1, F.col("lo")).alias("only_target"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("r6_link_cascade", None)
-def cascade(a):
-    left = a.entity.select("entity_id", F.col("state").alias("block"), names.normalize_place(F.concat("name", F.lit(" city"))).alias("norm_name"), "lat", "lon")
-    noisy = F.when(F.col("s_suppkey") % 7 == 0, F.concat(F.lit("DEPOT "), (F.col("s_suppkey") * 13).cast("string"))).otherwise(F.concat(F.lit("SUPPLIER "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.when(F.col("s_suppkey") % 3 == 0, " NEW").otherwise("")))
-    t = a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("place:"), F.col("s_suppkey").cast("string")).alias("target_id"), F.col("n_name").alias("block"), noisy.alias("norm_name"), (F.col("s_nationkey") * 2.0).alias("lat"), (F.col("s_suppkey") % 50).cast("double").alias("lon"))
-    return L.link(left, t)
-
-
 @query("r11_unit_decode", "SELECT gov_id, geo_id FROM (SELECT lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || CAST(s_suppkey % 4 AS VARCHAR) || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS gov_id, CASE WHEN s_suppkey % 4 = 1 AND s_suppkey % 5 = 0 THEN 'county:' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') WHEN s_suppkey % 4 IN (2, 3) THEN 'place:' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || CASE WHEN s_suppkey % 5 = 0 THEN '99' ELSE '01' END || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') END AS geo_id FROM supplier) WHERE geo_id IS NOT NULL", prefix=False)
 def decode(a):
     k, st = F.col("s_suppkey"), codes.pad(F.col("s_nationkey"), 2)
@@ -986,3 +971,6 @@ def allowed_metrics(a):
     listed = records.registry_df(a.spark, [{"metric_id": "violent_rate", "ranking_allowed": True}, {"metric_id": "sworn"}], StructType.fromDDL("metric_id string, ranking_allowed boolean"))
     n = a.agency_year.agg(F.count("violent_rate").alias("violent_rate"), F.count("sworn").alias("sworn")).unpivot([], ["violent_rate", "sworn"], "metric_id", "n")
     return n.join(F.broadcast(listed.where("ranking_allowed").select("metric_id")), "metric_id")
+
+
+from . import resolution  # noqa: E402, F401  its queries register themselves

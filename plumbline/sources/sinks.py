@@ -22,6 +22,13 @@ def landing_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/landing-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df, computed once: written to a shared folder and read back; survives lost executors."""
+    path = f"{landing_folder(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, schema: StructType, mode: str = "overwrite") -> None:
     """Exactly the declared columns, cast to their types; another set of columns is an error."""
     if sorted(df.columns) != sorted(schema.names):

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.operators import canonical, linkage, quality, reconcile, windows
+from plumbline.functions import measures
+from plumbline.operators import candidates, canonical, linkage, quality, reconcile, windows
 from plumbline.sources import delimited, fixed_width, records, sinks
 from plumbline.streaming.landing import land_new_files
 
@@ -103,6 +104,55 @@ def test_link_cascade_statuses(spark):
     assert got == {"a": ("t1", "exact_name", "accepted"), "b": ("t2", "exact_name_nearest", "accepted"), "c": ("t4", "fuzzy_name", "needs_review"), "d": (None, "none", "unmatched"), "e": (None, "ambiguous_name", "needs_review")}
 
 
+def test_the_nearest_target_is_asked_for_its_name(spark):
+    """A near target of another name hides a farther one of a like name; only kinds of places ask at all."""
+    entities = spark.createDataFrame([("a", "S", "m", "GREENVALE", 1.0, 1.0), ("b", "S", "m", "GREENVALE", 3.0, 3.0), ("c", "S", "x", "GREENVALE", 3.0, 3.0)], "entity_id string, block string, kind string, norm_name string, lat double, lon double")
+    targets = spark.createDataFrame([("t1", "S", "QQQQQQ", 1.005, 1.0), ("t2", "S", "GREENVOLT", 1.06, 1.0), ("t3", "S", "GREENVOLT", 3.06, 3.0)], "target_id string, block string, norm_name string, lat double, lon double")
+    got = {r.entity_id: (r.target_id, r.method) for r in linkage.link(entities, targets, by_place=F.col("kind") == "m").collect()}
+    assert got == {"a": (None, "none"), "b": ("t3", "nearest_place"), "c": (None, "none")}
+
+
+def test_every_entity_is_resolved_once(spark):
+    geo = "geo_id string, geo_level string, state string, name string, lat double, lon double"
+    places = spark.createDataFrame(
+        [("st:A", "state", "A", "Astate", None, None), ("st:B", "state", "B", "Bstate", None, None), ("st:T", "state", "T", "Tstate", None, None), ("c1", "county", "A", "Clay County", None, None), ("p1", "place", "A", "Dover city", 1.0, 1.0), ("p2", "place", "A", "Twin town", 1.0, 1.0),
+         ("p3", "place", "A", "Twin city", 5.0, 5.0), ("p4", "place", "T", "Hull CDP", 1.0, 1.0), ("s4", "cousub", "T", "Hull town", 1.0, 1.0)], geo)
+    entities = [
+        ("statewide", "state_police", "A", "x", "X", None, None, None), ("unlisted", "federal", "Z", "x", "X", None, None, None), ("sheriff", "county_sheriff", "A", "x", "X", "CLAY", None, None), ("lost county", "county_police", "A", "x", "X", "Mud", None, None),
+        ("exact", "municipal_police", "A", "Dover PD", "DOVER", None, None, None), ("tie", "municipal_police", "A", "Twin PD", "TWIN", None, 1.1, 1.0), ("open tie", "other", "A", "Twin PD", "TWIN", None, None, None), ("town", "municipal_police", "T", "Hull PD", "HULL", None, None, None),
+        ("nobody", "municipal_police", "A", "Zzz", "ZZZ", None, 1.0, 1.0), ("no towns", "municipal_police", "B", "Dover PD", "DOVER", None, 1.0, 1.0), ("no state", "municipal_police", None, "Dover PD", "DOVER", None, None, None), ("no name", None, "A", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(entities, "entity_id string, kind string, state string, name string, norm_name string, county_name string, lat double, lon double")
+    got = {r.entity_id: (r.target_id, r.target_name, r.method, r.score, r.review_status) for r in linkage.resolve(df, places, ("T",)).collect()}
+    assert got == {
+        "statewide": ("st:A", "Astate", "type_rule", 1.0, "accepted"), "unlisted": (None, None, "none", 0.0, "unmatched"), "sheriff": ("c1", "Clay County", "exact_county_name", 1.0, "accepted"), "lost county": ("st:A", "Astate", "state_fallback", 0.2, "needs_review"),
+        "exact": ("p1", "Dover city", "exact_name", 1.0, "accepted"), "tie": ("p2", "Twin town", "exact_name_nearest", 0.98, "accepted"), "open tie": (None, None, "ambiguous_name", 0.5, "needs_review"), "town": ("s4", "Hull town", "exact_name", 1.0, "accepted"),
+        "nobody": ("st:A", "Astate", "state_fallback", 0.2, "unmatched"), "no towns": ("st:B", "Bstate", "state_fallback", 0.2, "needs_review"), "no state": (None, None, "none", 0.0, "unmatched"), "no name": ("st:A", "Astate", "state_fallback", 0.2, "unmatched"),
+    }
+    assert linkage.resolve(df.limit(0), places, ("T",)).count() == 0
+
+
+@pytest.mark.parametrize("least", [97.0, 88.0, 55.0])
+def test_index_finds_what_all_pairs_have(spark, least):
+    rng = random.Random(int(least))
+    words = ["SPRING", "FIELD", "NORTH", "A", "B", "SAINT", "CLAIR", "NEW", "YORK", "RIVER", "X", "LAKE", "SUPPLIER"]
+
+    def name():
+        t = " ".join(rng.choice(words) + rng.choice(["", "", "S", "VILLE", str(rng.randint(0, 40))]) for _ in range(rng.randint(1, 3)))
+        k = rng.randrange(len(t))
+        return t if rng.random() < 0.6 else t[:k] + rng.choice(["", "Q", "  "]) + t[k + 1 :]
+
+    def side(column):
+        return spark.createDataFrame([*((rng.choice("ST"), name()) for _ in range(150)), ("S", None), ("S", ""), ("S", " "), (None, "NORTH")], f"block string, {column} string").repartition(2)
+
+    left, right = side("l_name"), side("r_name")
+    every = left.distinct().join(right.distinct(), "block").withColumn("like", measures.token_set_ratio(F.col("l_name"), F.col("r_name")))
+    want = {tuple(r) for r in every.where(F.col("like") >= least).select("block", "l_name", "r_name", "like").collect()}
+    assert {tuple(r) for r in candidates.alike_pairs(left, right, least).select("block", "l_name", "r_name", "like").collect()} == want
+    if least > 80:
+        assert candidates.candidate_pairs(left, right, least).count() * 8 < every.count()
+
+
 def test_nearest_meets_all_within_reach(spark):
     """Against all pairs, around poles and the date line too."""
     rng = random.Random(8)
