@@ -66,6 +66,13 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def chance(share: float, seed: int, *columns: str) -> Column:
+    """True for about this share of rows, told by a hash of the columns; fine enough for any number of rows."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 1) < F.lit(int(share * 2**63))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

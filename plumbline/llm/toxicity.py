@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import chance, crc_mod
 from .tokens import process_memory
 
 #: Labelled rows that the classifier is fitted on, at most about.
@@ -40,8 +40,9 @@ STANDS_FOR = {
 }
 SEPARATORS = "-_.,*#~'/\\:;\"^`"
 #: Costs (negative log probabilities) of a disguise: a substitute, a separator or another sign left out, a long run or a
-#: double letter read as one, a blank left out.
-SUBSTITUTE, SEPARATOR, SIGN, RUN, DOUBLE, BLANK = 1.5, 0.5, 4.0, 0.5, 3.0, 0.2
+#: double letter read as one, a blank left out.  A sign that may stand for a letter is dearer to leave out than any letter is
+#: to read (-log(0.005 / 27) = 8.6), or the shorter reading would win.
+SUBSTITUTE, SEPARATOR, SIGN, RUN, DOUBLE, BLANK = 1.5, 0.5, 9.0, 0.5, 9.0, 0.2
 #: Lengths of the beginnings of words that count as words.
 BEGINS = (4, 5, 6, 7)
 #: Signs around a word that are no part of it.
@@ -55,7 +56,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 READABLE = {*LETTERS, *STANDS_FOR}
 RUNS = re.compile(r"([^\W\d_])\1\1")
 #: One letter at a time, three or more; then the same with signs that stand for letters among them.
-BETWEEN, ONE = "[ ._*-]{1,2}", rf"(?:[^\W_]|[{re.escape(''.join(STANDS_FOR))}])"
+BETWEEN, ONE = r"(?:[ ._*-]{1,2}|\s{1,3}|\s?[,;/]\s?)", rf"(?:[^\W_]|[{re.escape(''.join(STANDS_FOR))}])"
 LETTERED = re.compile(rf"(?<![^\W_])[^\W_](?:{BETWEEN}[^\W_]){{2,}}(?![^\W_])")
 SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:{BETWEEN}{ONE}){{2,}}(?![^\W_])")
 NEXT = re.compile(f"{BETWEEN}({ONE})")
@@ -287,7 +288,7 @@ def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int) ->
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     one = one.where(crc_mod("id", 4) != 2)
     n = one.count()
-    return one.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(n, 1)))))
+    return one.where(chance(most / max(n, 1), 7, "id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, id_col: str, text_col: str, label_col: str) -> tuple[dict[str, float], float]:
