@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, erased, written
+from .common import chance, crc_mod, erased, written
 from .tokens import process_memory
 
 #: Hash slots, strength of the penalty, steps.
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str, text_col: str, grade_co
     n, top = one.agg(F.count("*"), F.max("y")).first()
     if not n or not top:
         return np.zeros(SLOTS), np.zeros(top or 1)
-    sample = one.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / n))))
+    sample = one.where(chance(SAMPLE / n, 11, "id"))
 
     def run(batches):
         known = {}
