@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import chance
+
 #: Hex digits of a leaf's digest in a fingerprint.
 SHORT = 6
+#: Rows alike in id and text that are more than this are counted instead of dealt; and so many such groups at most.
+OFTEN = 1000
 #: Rows that are looked at for each bound between buckets of consecutive rows.
 LOOKED_AT = 20
 
@@ -63,7 +67,7 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def following_texts(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int = 2000) -> DataFrame:
-    """id, text, following: the text of the row behind by id, and of the first row for the last.
+    """id, text, following (the text of the row behind by id, and of the first row for the last); times, how often the row stands, if any does more than OFTEN times.
 
     Ids may be of any type with an order.  Rows with one id go by a hash of
     their texts; null ids come first.  Rows are dealt into buckets of
@@ -71,16 +75,17 @@ def following_texts(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket:
     hash), so ids may lie however they like.  Each bucket also gets the first
     row of the next one.  The texts are shuffled once; there are at most 4 *
     shuffle partitions buckets, and the driver holds LOOKED_AT rows of (id,
-    hash) a bucket.
+    hash) a bucket.  Of the rows that are alike in id and text more than OFTEN
+    times (the OFTEN most frequent, if there are more) one goes on, with their
+    number: all but the last are followed by themselves.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("h"))
     n = base.count()
     buckets = max(1, min(n // rows_a_bucket, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    share = int((1 << 20) * min(1.0, buckets * LOOKED_AT / max(n, 1)))
     kind = base.schema["id"].dataType.simpleString()
-    looked = [] if buckets == 1 else base.select("id", "h").where(F.pmod(F.xxhash64("h", "id"), F.lit(1 << 20)) < share).orderBy(F.asc_nulls_first("id"), "h").collect()
+    looked = [] if buckets == 1 else base.select("id", "h").where(chance(buckets * LOOKED_AT / max(n, 1), 5, "h", "id")).orderBy(F.asc_nulls_first("id"), "h").collect()
     step = max(1, len(looked) // buckets)
     bounds = spark.createDataFrame([([tuple(r) for r in looked[step::step]],)], f"bounds array<struct<id:{kind},h:bigint>>").scalar()
     key = F.struct("id", "h")
@@ -90,15 +95,27 @@ def following_texts(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket:
 
     jumps = [1 << k for k in reversed(range(max(1, len(looked) // step).bit_length()))]
     bucket = F.aggregate(F.array(*map(F.lit, jumps)), F.lit(0), further)
+    often = base.groupBy("id", "h").agg(F.count("*").alias("c")).where(F.col("c") > OFTEN).orderBy(F.desc("c"), "h").limit(OFTEN).collect()
+    base = base.withColumn("times", F.lit(1).cast("long"))
+    if often:
+        listed = F.broadcast(spark.createDataFrame([(r["id"], r["h"]) for r in often], f"o_id {kind}, o_h long"))
+        alike = F.col("id").eqNullSafe(F.col("o_id")) & (F.col("h") == F.col("o_h"))
+        met = base.join(listed.withColumn("often", F.lit(True)), alike, "left")
+        base = met.where("often is null").select(base.columns).unionByName(met.where("often").groupBy("id", "text", "h").agg(F.count("*").alias("times")))
     placed = base.withColumn("bounds", bounds).withColumn("bucket", bucket).drop("bounds")
     firsts = sorted((tuple(r) for r in placed.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("f")).select("bucket", "f.id", "f.h").collect()), key=lambda r: r[0])
     guests = spark.createDataFrame([(r[1], r[2], firsts[k - 1][0]) for k, r in enumerate(firsts)], f"g_id {kind}, g_h long, to_bucket int")
     met = placed.join(F.broadcast(guests), F.col("id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left")
     own = F.struct(F.lit(False).alias("guest"), F.col("bucket"))
     guest = F.struct(F.lit(True).alias("guest"), F.col("to_bucket").alias("bucket"))
-    dealt = met.select("id", "text", "h", F.explode(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("id", "text", "h", "at.*")
+    dealt = met.select("id", "text", "h", "times", F.explode(F.when(F.col("to_bucket").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("id", "text", "h", "times", "at.*")
     order = Window.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), "h", "text")
-    return dealt.select("id", "text", "guest", F.lead("text").over(order).alias("following")).where(~F.col("guest")).drop("guest")
+    found = dealt.select("id", "text", "times", "guest", F.lead("text").over(order).alias("following")).where(~F.col("guest")).drop("guest")
+    if not often:
+        return found.drop("times")
+    last = F.struct("following", F.lit(1).cast("long").alias("times"))
+    own = F.struct(F.col("text").alias("following"), (F.col("times") - 1).alias("times"))
+    return found.select("id", "text", F.explode(F.when(F.col("times") > 1, F.array(own, last)).otherwise(F.array(last))).alias("at")).select("id", "text", "at.*")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,9 +131,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring("text", 1, n - cut), F.substring("following", 1, cut))
     rows = following_texts(docs, id_col, text_col).withColumns({"n_chars": n.cast("long"), "edited": edited})
     rows = rows.withColumns({"own": leaf_digests(F.col("text")), "edit": leaf_digests(F.col("edited")), "next": leaf_digests(F.col("following"))})
-    return rows.select(
+    out = rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text"), F.col("own")).alias("fingerprint"), fingerprint(F.col("edited"), F.col("edit")).alias("edited_fingerprint"),
         F.when(F.col("text") == F.col("edited"), 1.0).otherwise(likeness(F.col("own"), F.col("edit"))).alias("near_edited"),
-        F.when(F.col("text") == F.col("following"), 1.0).otherwise(likeness(F.col("own"), F.col("next"))).alias("near_next"),
+        F.when(F.col("text") == F.col("following"), 1.0).otherwise(likeness(F.col("own"), F.col("next"))).alias("near_next"), *(["times"] if "times" in rows.columns else []),
     )
+    return out if "times" not in out.columns else out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("again", "times")
