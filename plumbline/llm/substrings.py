@@ -282,10 +282,14 @@ def frequent(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def compare(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """(k1, k2, first, last): runs of repeated windows of the representatives that stand for themselves alone."""
     def cut(batches):
+        before = None
         for batch in batches:
             for i in range(batch.num_rows):
-                text = (batch.column(2)[i].as_py() or "").encode()
                 k1, k2 = (batch.column(k)[i].as_py() for k in (0, 1))
+                if (k1, k2) == before:  # a row repeated
+                    continue
+                before = k1, k2
+                text = (batch.column(2)[i].as_py() or "").encode()
                 mine = batch.column(3)[i].as_py()
                 cold = [x for x in mine if not x["hot"]]
                 if cold:
@@ -340,9 +344,10 @@ def compare(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
     names = ["least", "second", "k1", "k2", "first", "alone", "bytes"]
     hot = reps.groupBy("least").agg(F.sum(F.col("last") - F.col("first") + length).alias("size")).where(F.col("size") > BUFFER).select("least", F.lit(True).alias("hot"))
-    marked = reps.join(F.broadcast(hot), "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # a row of hot stands for more than BUFFER bytes
+    marked = reps.join(hot, "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # a row of hot stands for more than BUFFER bytes
     by_text = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("least", "first", "last", "content", "hot")).alias("mine"))
-    pieces = docs.join(by_text, ["k1", "k2"]).select("k1", "k2", "text", "mine").mapInArrow(cut, "least long, second long, k1 long, k2 long, first int, alone long, bytes binary")
+    # merged, so rows with one key stand together and only the first is cut
+    pieces = docs.join(by_text.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "mine").mapInArrow(cut, "least long, second long, k1 long, k2 long, first int, alone long, bytes binary")
     return pieces.repartition("least").sortWithinPartitions("least", "second").mapInArrow(run, "k1 long, k2 long, first int, last int")
 
 
