@@ -315,13 +315,25 @@ def exact_links(tile: Tile, nodes: list[int], hashes: list[np.ndarray], weights:
 def member_hashes(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """node, n, hashes for each member (node, n, rep: a document's id, set_key): members' texts alone become arrays again."""
     # members grow with the input, so they are never broadcast
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "rep").select("node", "set_key", "n", "text")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(members.hint("merge"), "rep").select("node", "set_key", "n", "text", "rep")
 
     def run(batches):
         import xxhash
 
-        hasher = WordHasher()
+        hasher, now, seen = WordHasher(), None, set()
+
+        def new(row):  # the first of the rows of one id, text and node; rows come in order of id
+            nonlocal now
+            node, rep, text = row
+            if rep != now:
+                now = rep
+                seen.clear()
+            key = (node, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")))
+            return not (key in seen or seen.add(key))
+
         for batch in batches:
+            fresh = [i for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)) if new(row)]
+            batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < batch.num_rows else batch
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
                 got = [s.tobytes() for s in shingle_hashes(some.column(3).to_pylist(), k, hasher)]
