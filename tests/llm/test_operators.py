@@ -768,3 +768,63 @@ def test_hot_keys_meet_a_broadcast(spark):
     got = graph.join_hot(left, right, ["k"], spark.createDataFrame([("a",)], "k string"))
     assert got.count() == 53 and got.where("w = 10").count() == 50 and got.where("w is null").count() == 2
     assert common.hot_values(spark.createDataFrame([("a", 5000), ("b", 1)], "k string, n long"), ["k"]).collect() == [("a",)]
+
+
+# --- many repeated rows, fine samples --------------------------------------------------------------------------------
+
+
+def repeats(spark, n=3000):
+    """Thousands of rows alike, under one id and under none, with a near copy, a passage shared and rows around them."""
+    passage = " ".join(f"word{k}" for k in range(200))
+    rows = [(7, passage + " tail")] * n + [(None, passage)] * n + [(8, passage.replace("word9 ", "other ")), (9, "short"), (3, "first of all"), (12, passage[:700])]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_many_repeated_rows_are_one_node(spark):
+    rows, df = repeats(spark)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df).where("doc_id is not null").collect()}
+    assert got == {(7, 199, 7), (8, 198, 7), (9, 1, 9), (3, 1, 3), (12, len(" ".join(rows[-1][1].split()).split()) - 2, 12)}
+
+
+def test_many_repeated_rows_are_cut_once(spark, monkeypatch):
+    rows, df = repeats(spark)
+    monkeypatch.setattr(substrings, "BUFFER", 4000)
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in substrings.remove_repeats(df).collect()}
+    texts_ = {i: t for i, t in rows}
+    full = len(texts_[7])
+    assert (7, full, full) in got and (None, full - 5, full - 5) in got and (9, 5, 0) in got and (12, 700, 700) in got
+
+
+def test_many_repeated_rows_follow_themselves(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "OFTEN", 100)
+    rows, df = repeats(spark, 500)
+    got = Counter((r.doc_id, r.text, r.following) for r in fingerprints.following_texts(df.select("doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id").select("doc_id", "text", "following", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert got == Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    out = fingerprints.fingerprints(df)
+    assert out.count() == len(rows) and out.where("near_next = 1.0").count() >= 998
+
+
+def test_samples_of_any_size_have_rows(spark):
+    """About one row in a hundred thousand, and shares below a millionth are no empty sample."""
+    n = spark.range(3_000_000).where(common.chance(1e-5, 7, "id")).count()
+    assert 10 <= n <= 60
+    assert spark.range(5_000_000).where(common.chance(8e-7, 11, "id")).count() > 0
+    assert spark.range(10).where(common.chance(1.5, 3, "id")).count() == 10
+
+
+@pytest.mark.parametrize("token, word", [("1d10t", "idiot"), ("ID10T", "idiot"), ("1d107", "idiot"), ("tr@$h", "trash"), ("tr45h", "trash"), ("m0r0n", "moron"), ("d15gu5t1ng", "disgusting"), ("p47h371c", "pathetic"), ("w0rthl3ss", "worthless")])
+def test_digits_are_read_with_the_tables_own_model(spark, table_costs, token, word):
+    assert toxicity.restore(token.lower(), table_costs) == word
+    assert word in toxicity.words_of(f"You {token}, you", table_costs, {})
+
+
+@pytest.mark.parametrize("text", ["m   o   r   o   n", "m\to\tr\to\tn", "m , o , r , o , n", "m\no\nr\no\nn"])
+def test_letters_far_apart_are_read(table_costs, text):
+    assert "moron" in toxicity.words_of(f"you are a big {text} indeed", table_costs, {})
+
+
+@pytest.fixture(scope="module")
+def table_costs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return toxicity.character_costs(toxicity.character_counts(docs, "text"))

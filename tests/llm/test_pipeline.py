@@ -100,7 +100,7 @@ def test_empty_tables(spark, folder, tmp_path):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
