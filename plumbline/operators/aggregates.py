@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled
+from .quantiles import exact_quantiles, null_safe_left
+
 
 def cohort_benchmarks(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str], least: int = 5) -> DataFrame:
     """Size, and exact interpolated quartiles of each metric, for cohorts of at least `least`."""
-    stats = [F.count("*").alias("cohort_size")]
-    for m in metrics:
-        stats.append(F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{m}"))
-    out = df.groupBy(*cohort).agg(*stats).where(F.col("cohort_size") >= least)
-    picked = [F.col(f"_{m}")[k].alias(f"{m}_{name}") for m in metrics for k, name in enumerate(("p25", "median", "p75"))]
-    return out.select(*cohort, "cohort_size", *picked)
+    df = settled(df.select(*cohort, *metrics), "cohorts")  # read three times
+    sizes = df.groupBy(*cohort).agg(F.count("*").alias("cohort_size")).where(F.col("cohort_size") >= least)
+    out = null_safe_left(sizes, exact_quantiles(df, cohort, metrics, (0.25, 0.5, 0.75)), cohort, metrics)
+    return out.select(*cohort, "cohort_size", *(F.col(m)[k].alias(f"{m}_{name}") for m in metrics for k, name in enumerate(("p25", "median", "p75"))))
 
 
 def group_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.median(c).alias(f"median_{c}") for c in columns])
+    return exact_quantiles(settled(df.select(*keys, *columns), "medians"), keys, columns, (0.5,)).select(*keys, *(F.col(c)[0].alias(f"median_{c}") for c in columns))
 
 
 def state_year(df: DataFrame, state: str = "state", strict: bool = False) -> DataFrame:

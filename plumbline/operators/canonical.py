@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import measures
+
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
@@ -44,6 +46,42 @@ def dim_geography(parts: dict[str, DataFrame], urban: DataFrame | None = None, d
     return out.join(urban, "geo_id", "left") if urban is not None else out
 
 
+# Classes of places that are counties too, and of governments that several places share.
+INDEPENDENT_CITY = "C7"
+CONSOLIDATED = ("C8", "C9")
+
+
+def geography_levels(counties: DataFrame, places: DataFrame, cousubs: DataFrame, states: DataFrame, classes: DataFrame, urban_parts: DataFrame, urban_areas: DataFrame, drop_ids: Sequence[str] = ()) -> DataFrame:
+    """The four levels as one table: geo_id, geo_level, geoid, name, state, state_fips, county_fips, place_fips, cousub_fips, class_code, uace, urban_area, urbanicity, is_independent_city, is_consolidated.
+
+    counties, places and cousubs have geoid (zeros in front may be lost), name
+    and state; states code and state.  classes (geoid, class_code) says what a
+    place is, urban_parts (geoid, uace, urban_area, land) which urban areas it
+    lies in; of several the one with most of its land counts, of equals the
+    first by code.  urban_areas (uace, population) give the setting; a place in
+    none is rural.  Rows without a geoid and ids in drop_ids are left out.  The
+    flags follow from the class, false for the other levels.
+    """
+    def level(df: DataFrame, name: str, width: int, **cuts: tuple[int, int]) -> DataFrame:
+        code = F.lpad(F.trim(F.col("geoid").cast("string")), width, "0")
+        own = df.where(F.trim(F.coalesce(F.col("geoid").cast("string"), F.lit(""))) != "").select(code.alias("geoid"), "name", "state")
+        return own.select(F.lit(name).alias("geo_level"), F.concat(F.lit(f"{name}:"), "geoid").alias("geo_id"), "geoid", "name", "state", F.substring("geoid", 1, 2).alias("state_fips"), *(F.substring("geoid", *at).alias(c) for c, at in cuts.items()))
+
+    pad = lambda c, n: F.lpad(F.trim(F.col(c).cast("string")), n, "0")
+    parts = urban_parts.where(F.trim(F.coalesce(F.col("uace").cast("string"), F.lit(""))) != "").select(pad("geoid", 7).alias("geoid"), pad("uace", 5).alias("uace"), "urban_area", F.coalesce("land", F.lit(0.0)).alias("land"))
+    main = argmax_per(parts, ["geoid"], "land", "uace", ["urban_area"])
+    sizes = urban_areas.groupBy(pad("uace", 5).alias("uace")).agg(F.max("population").alias("population"))
+    place = level(places, "place", 7, place_fips=(3, 5)).join(classes.groupBy(pad("geoid", 7).alias("geoid")).agg(F.min("class_code").alias("class_code")), "geoid", "left").join(main, "geoid", "left").join(sizes, "uace", "left")
+    place = place.withColumn("urbanicity", measures.urbanicity(F.coalesce("population", F.lit(0)))).drop("population")
+    other = [level(counties, "county", 5, county_fips=(3, 3)), level(cousubs, "cousub", 10, county_fips=(3, 3), cousub_fips=(6, 5)), level(states.select(F.col("code").alias("geoid"), F.col("state").alias("name"), "state"), "state", 2)]
+    out = place
+    for df in other:
+        out = out.unionByName(df, allowMissingColumns=True)
+    out = out.where(~F.col("geo_id").isin(*drop_ids)) if drop_ids else out
+    flags = {"is_independent_city": F.col("class_code") == INDEPENDENT_CITY, "is_consolidated": F.col("class_code").isin(*CONSOLIDATED)}
+    return out.withColumns({c: F.coalesce(f, F.lit(False)) for c, f in flags.items()})
+
+
 def argmax_per(df: DataFrame, keys: Sequence[str], by: str, tie: str, take: Sequence[str]) -> DataFrame:
     """Per key the row with the largest `by`; of equals the one with the smallest `tie`. Two aggregates, no sort."""
     lead = df.groupBy(*keys).agg(F.max(by).alias("_top"))

@@ -33,3 +33,38 @@ def closure(df: DataFrame, value: str, loaded_buckets: list[str], published: Dat
     own = df.agg(F.sum(v).alias("source"), F.coalesce(F.sum(F.when(loaded, v)), F.lit(0)).alias("loaded"), F.coalesce(F.sum(F.when(~loaded, v)), F.lit(0)).alias("excluded"))
     there = published.agg(F.coalesce(F.sum(published_value), F.lit(0)).alias("published"))
     return own.join(F.broadcast(there)).withColumns({"residual": F.col("source") - F.col("loaded") - F.col("excluded"), "duplicate_delta": F.col("loaded") - F.col("published")})
+
+
+def headline(bucket_totals: DataFrame, published: Column, source: Column, buckets: dict[str, str]) -> DataFrame:
+    """One row of the ledger's summary: available, source_total, platform_total, excluded by kind, excluded_records, residual.
+
+    bucket_totals has bucket, records, total; `buckets` names the column of each
+    excluded bucket.  A bucket that isn't there counts as 0; without any bucket
+    nothing is available and sums are null; a null total of the source leaves
+    the residual null instead of taking it for 0.
+    """
+    of = lambda b, c: F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col(c))), F.lit(0))
+    there = F.count("*") > 0
+    shown = lambda c: F.when(there, c)
+    excluded = {name: of(b, "total") for b, name in buckets.items()}
+    lost = sum(excluded.values(), F.lit(0))
+    records = sum((of(b, "records") for b in buckets), F.lit(0))
+    out = bucket_totals.agg(there.alias("available"), shown(F.max(source)).alias("source_total"), shown(F.max(published)).alias("platform_total"), *(shown(c).alias(n) for n, c in excluded.items()), shown(records).alias("excluded_records"), shown(lost).alias("_lost"))
+    return out.withColumn("residual", F.col("source_total") - F.coalesce("platform_total", F.lit(0)) - F.col("_lost")).drop("_lost")
+
+
+def routes(records: DataFrame, kind: str, value: str) -> DataFrame:
+    """How identifiers resolve, by kind: records and total of each route (unique, by_rule, contested, none) of rows with a bucket.
+
+    Every bucket belongs to one route, so a kind's routes add up to its rows and
+    all kinds to the ledger's buckets.
+    """
+    route = F.when(F.col("bucket") == "unique_key", "unique").when(F.col("bucket") == "disambiguated", "by_rule").when(F.col("bucket") == "ambiguous", "contested").otherwise("none")
+    return records.groupBy(kind, route.alias("route")).agg(F.count("*").alias("records"), F.coalesce(F.sum(value), F.lit(0)).alias("total"))
+
+
+def identifiers(entities: DataFrame, key: str, legacy: str, origin: str) -> DataFrame:
+    """One row: entities, from_legacy, fallback, no_legacy and how many keys several entities share."""
+    shared = entities.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_keys"))
+    own = entities.agg(F.count("*").alias("entities"), F.count_if(F.col(origin) == "legacy").alias("from_legacy"), F.count_if(F.col(origin) == "fallback").alias("fallback"), F.count_if(F.col(legacy).isNull()).alias("no_legacy"))
+    return own.join(shared)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import policy
 from ..operators import aggregates as A
 from ..operators import windows as W
+from ..operators.quantiles import exact_quantiles
+from ..sources.sinks import settled
 
 SORTABLE = ("name", "data_year", "denominator", "violent_offenses", "violent_rate", "officers_per_1k", "sworn")
 METRICS = ("violent_rate", "property_rate", "officers_per_1k", "violent_offenses", "property_offenses", "civilian_share")
@@ -59,10 +61,11 @@ def peers(ay: DataFrame, entity_id: str, year: int, metric: str) -> DataFrame:
     m = _metric(metric)
     subject = ay.where((F.col("entity_id") == entity_id) & (F.col("data_year") == year)).select(F.col("entity_id").alias("subject_id"), F.col("kind").alias("s_kind"), F.col("band").alias("s_band"), F.coalesce("urbanicity", F.lit("")).alias("s_urb"), F.col("urbanicity").alias("s_setting"), F.col(m).alias("s_value"), F.col("confidence").alias("s_confidence"), F.col("state").alias("s_state"))
     pool = ay.where((F.col("data_year") == year) & F.col("violent_rate_allowed") & F.col(m).isNotNull())
-    members = pool.join(F.broadcast(subject), (F.col("kind") == F.col("s_kind")) & (F.col("band") == F.col("s_band")) & (F.coalesce("urbanicity", F.lit("")) == F.col("s_urb")))
-    q = F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = members.groupBy("subject_id").agg(F.count("*").alias("cohort_size"), F.count_if(F.col(m) < F.col("s_value")).alias("below"), q.alias("_q"))
-    areas = pool.join(F.broadcast(subject.select("subject_id", "s_state", F.lit(year).alias("data_year"))), "data_year").groupBy("subject_id").agg(F.median(F.when(F.col("state") == F.col("s_state"), F.col(m))).alias("state_median"), F.median(m).alias("national_median"))
+    members = pool.join(subject, (F.col("kind") == F.col("s_kind")) & (F.col("band") == F.col("s_band")) & (F.coalesce("urbanicity", F.lit("")) == F.col("s_urb")))
+    members = settled(members.select("subject_id", "s_value", F.col(m).alias("_q")), "members")
+    stats = members.groupBy("subject_id").agg(F.count("*").alias("cohort_size"), F.count_if(F.col("_q") < F.col("s_value")).alias("below")).join(exact_quantiles(members, ["subject_id"], ["_q"], (0.25, 0.5, 0.75)), "subject_id")
+    areas = pool.join(subject.select("subject_id", "s_state", F.lit(year).alias("data_year")), "data_year").select("subject_id", F.when(F.col("state") == F.col("s_state"), F.col(m)).alias("state_median"), F.col(m).alias("national_median"))
+    areas = exact_quantiles(settled(areas, "areas"), ["subject_id"], ["state_median", "national_median"], (0.5,)).select("subject_id", F.col("state_median")[0].alias("state_median"), F.col("national_median")[0].alias("national_median"))
     out = subject.join(stats, "subject_id", "left").join(areas, "subject_id", "left")
     n = F.coalesce("cohort_size", F.lit(0))
     return out.select(
@@ -109,7 +112,7 @@ def map_layer(ay: DataFrame, year: int, metric: str, layer: str) -> dict[str, Da
     if layer == "entity":
         placed = now.where("lat is not null and lon is not null").select("entity_id", "lat", "lon", F.col(m).alias("value"))
     else:
-        placed = now.groupBy("state").agg(F.median(m).alias("value"))
+        placed = A.group_median(now, ["state"], [m]).withColumnRenamed(f"median_{m}", "value")
     legend = A.nearest_rank(placed.withColumn("layer", F.lit(layer)), ["layer"], "value", (0.1, 0.25, 0.5, 0.75, 0.9))
     unplaced = now.agg(F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("unplaced"))
     return {"features": placed, "legend": legend, "unplaced": unplaced}

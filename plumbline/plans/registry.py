@@ -324,9 +324,9 @@ def near(a):
 # --- linkage ----------------------------------------------------------------------------------------------------------
 
 
-@query("r2_statewide_rule", "SELECT entity_id, CASE WHEN state <> 'CHINA' THEN 'state:' || state END AS target_id, CASE WHEN state <> 'CHINA' THEN 'type_rule' ELSE 'none' END AS method, CASE WHEN state <> 'CHINA' THEN 1.0 ELSE 0.0 END AS score, CASE WHEN state <> 'CHINA' THEN 'accepted' ELSE 'unmatched' END AS review_status FROM entity WHERE kind = 'state_police'")
+@query("r2_statewide_rule", "SELECT entity_id, CASE WHEN listed THEN 'state:' || state END AS target_id, CASE WHEN listed THEN 'type_rule' ELSE 'none' END AS method, CASE WHEN listed THEN 1.0 ELSE 0.0 END AS score, CASE WHEN listed THEN 'accepted' ELSE 'unmatched' END AS review_status FROM (SELECT e.*, n_nationkey % 4 <> 1 AS listed FROM entity e JOIN nation ON n_name = e.state) WHERE kind = 'state_police'")
 def statewide(a):
-    states = a.read("nation").where("n_name <> 'CHINA'").select(F.col("n_name").alias("state"), F.concat(F.lit("state:"), "n_name").alias("target_id"))
+    states = a.read("nation").where("n_nationkey % 4 <> 1").select(F.col("n_name").alias("state"), F.concat(F.lit("state:"), "n_name").alias("target_id"))
     return L.rule_links(a.entity, states, ["state_police"])
 
 
@@ -747,9 +747,13 @@ def _municipal(a):
     return a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("state"), level.alias("geo_level"), F.concat(level, F.lit(":"), F.col("s_suppkey").cast("string")).alias("geo_id"))
 
 
-@query("r1_block_selection", "SELECT state, geo_level, geo_id FROM (SELECT n_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'place' ELSE 'cousub' END AS geo_level, CASE WHEN s_suppkey % 2 = 0 THEN 'place:' ELSE 'cousub:' END || CAST(s_suppkey AS VARCHAR) AS geo_id FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE (state IN ('FRANCE', 'CANADA', 'KENYA')) = (geo_level = 'cousub')", prefix=False)
+#: States whose towns govern: some of those that the data has.
+TOWN_STATES = tuple(f"NATION_{k}" for k in range(12))
+
+
+@query("r1_block_selection", f"SELECT state, geo_level, geo_id FROM (SELECT n_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'place' ELSE 'cousub' END AS geo_level, CASE WHEN s_suppkey % 2 = 0 THEN 'place:' ELSE 'cousub:' END || CAST(s_suppkey AS VARCHAR) AS geo_id FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE (state IN {TOWN_STATES}) = (geo_level = 'cousub')", prefix=False)
 def block_selection(a):
-    return L.municipalities(_municipal(a), ("FRANCE", "CANADA", "KENYA"))
+    return L.municipalities(_municipal(a), TOWN_STATES)
 
 
 COUNTIES = "SELECT 'county:' || CAST(p_partkey AS VARCHAR) AS target_id, p_brand AS state, upper(p_name) AS c FROM part WHERE p_size <= 25"
@@ -950,14 +954,18 @@ def stripped(a):
     return a.population.where("balance_population is not null").select(codes.strip_suffix(F.concat("entity_id", F.lit("#balance"))).alias("entity_id"), "data_year", F.col("balance_population").alias("population"))
 
 
-@query("q8_state_largest", "SELECT entity_id, name, denominator FROM agency_year WHERE state = 'FRANCE' AND data_year = 1998 ORDER BY denominator DESC NULLS LAST, entity_id LIMIT 10")
+def _subject_state(a):
+    return a.entity.where(F.col("entity_id") == SUBJECT).first()["state"]  # one row
+
+
+@query("q8_state_largest", f"SELECT entity_id, name, denominator FROM agency_year WHERE state = (SELECT state FROM entity WHERE entity_id = '{SUBJECT}') AND data_year = 1998 ORDER BY denominator DESC NULLS LAST, entity_id LIMIT 10")
 def state_largest(a):
-    return published.state_profile(a.agency_year, "FRANCE", 1998)["largest"].select("entity_id", "name", "denominator")
+    return published.state_profile(a.agency_year, _subject_state(a), 1998)["largest"].select("entity_id", "name", "denominator")
 
 
-@query("q8_state_trend", "SELECT data_year, CAST(sum(violent_offenses) AS BIGINT) AS offenses FROM agency_year WHERE state = 'FRANCE' GROUP BY 1")
+@query("q8_state_trend", f"SELECT data_year, CAST(sum(violent_offenses) AS BIGINT) AS offenses FROM agency_year WHERE state = (SELECT state FROM entity WHERE entity_id = '{SUBJECT}') GROUP BY 1")
 def state_trend(a):
-    return published.state_profile(a.agency_year, "FRANCE", 1998)["trend"].select("data_year", "offenses")
+    return published.state_profile(a.agency_year, _subject_state(a), 1998)["trend"].select("data_year", "offenses")
 
 
 @query("q11_coverage_heat", "SELECT state, data_year, count(*) AS total, " + ", ".join(f"CAST(sum(CASE WHEN coverage = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c.lower()}" for c in ("COMPLETE", "PARTIAL", "NONE", "UNKNOWN")) + " FROM agency_year GROUP BY 1, 2")
@@ -974,3 +982,4 @@ def allowed_metrics(a):
 
 
 from . import resolution  # noqa: E402, F401  its queries register themselves
+from . import releases  # noqa: E402, F401, I001

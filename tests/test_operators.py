@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.functions import measures
-from plumbline.operators import candidates, canonical, linkage, quality, reconcile, windows
+from plumbline.operators import candidates, canonical, linkage, quality, quantiles, reconcile, windows
 from plumbline.sources import delimited, fixed_width, records, sinks
 from plumbline.streaming.landing import land_new_files
 
@@ -112,6 +112,24 @@ def test_the_nearest_target_is_asked_for_its_name(spark):
     assert got == {"a": (None, "none"), "b": ("t3", "nearest_place"), "c": (None, "none")}
 
 
+@pytest.mark.parametrize("small", [10_000, 3])
+def test_exact_quantiles(spark, monkeypatch, small):
+    """Against percentile(), with large groups, ties, nulls, NaN, wild values and null keys; brackets are used where groups exceed `small`."""
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    rng = random.Random(6)
+    rows = [("big", 1, rng.gauss(0, 1) * 10 ** rng.randint(-300, 300), rng.randint(0, 4)) for _ in range(12_000)] + [("big", 2, float(k), None) for k in range(3000)] + [("tied", None, 7.0, 1) for _ in range(4000)]
+    rows += [(None, 1, x, 2) for x in (1.0, None, 2.0, 10.0)] + [("none", 1, None, None), ("one", 1, -0.5, 3), ("nan", 1, float("nan"), 1), ("nan", 1, 1.0, 2)]
+    df = spark.createDataFrame(rows, "k string, y int, a double, b int").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    want = df.groupBy("k", "y").agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in ("a", "b")))
+    got = quantiles.exact_quantiles(df, ["k", "y"], ["a", "b"], shares)
+    table = lambda x: {(r.k, r.y): (r.a and [repr(v) for v in r.a], r.b and [repr(v) for v in r.b]) for r in x.collect()}
+    assert table(got) == table(want)
+    (row,) = quantiles.exact_quantiles(df, [], ["a"], (0.5,)).collect()
+    assert row.a[0] == df.agg(F.median("a")).first()[0]
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], ["a"], (0.5,)).count() == 0
+
+
 def test_every_entity_is_resolved_once(spark):
     geo = "geo_id string, geo_level string, state string, name string, lat double, lon double"
     places = spark.createDataFrame(
