@@ -26,13 +26,17 @@ def plain(v):
     return str(v)
 
 
+#: Queries that the smallest tables have no rows for.
+EMPTY = {"a1_cohort_benchmarks", "j13_nearest", "l1_page", "v_missing_source", "v_rate_across_years", "v_rate_on_ineligible_kind", "v_rate_on_unaccepted_link", "v_year_out_of_range"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, db, name):
     df = registry.QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    assert got or name in EMPTY  # nothing equals nothing
     if name not in registry.ORACLE_SQL:
-        assert got
         return
     found = db.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
