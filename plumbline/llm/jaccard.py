@@ -332,10 +332,10 @@ def member_hashes(members: DataFrame, docs: DataFrame, id_col: str, text_col: st
             return not (key in seen or seen.add(key))
 
         for batch in batches:
-            fresh = [i for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)) if new(row)]
-            batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < batch.num_rows else batch
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
+                fresh = [i for i, row in enumerate(zip(*(some.column(k).to_pylist() for k in (0, 4, 3)), strict=True)) if new(row)]
+                some = some.take(pa.array(fresh, pa.int64())) if len(fresh) < some.num_rows else some
                 got = [s.tobytes() for s in shingle_hashes(some.column(3).to_pylist(), k, hasher)]
                 good = [i for i, (s, key) in enumerate(zip(got, some.column(1).to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s) == key]  # an id may have several texts
                 taken = some.take(pa.array(good, pa.int64()))
