@@ -104,5 +104,8 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     left has block and l_name, right block and r_name.  Null names and names
     without words are alike to nothing; a null block meets no other.
     """
-    some = candidate_pairs(left, right, least).repartition("block", "l_name")  # scoring is dear, so it is dealt evenly
-    return some.withColumn("like", token_set_ratio(F.col("l_name"), F.col("r_name"))).where(F.col("like") >= least)
+    # scoring is dear and pairs are small, so they are dealt to a fixed number of tasks, not to as few as their bytes would fill
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = candidate_pairs(left, right, least).repartition(tasks, "block", "l_name", "r_name")
+    like = token_set_ratio(F.col("l_name"), F.col("r_name"))
+    return some.select("block", "l_name", "r_name", F.explode(F.filter(F.array(like), lambda x: x >= least)).alias("like"))  # scored once

@@ -11,7 +11,8 @@ from ..operators import linkage as L
 from ..sources import delimited, releases, serving, sinks
 from ..streaming.landing import land_new_files
 from . import faulty, resolution
-from .registry import BUCKETS, ORACLE_SQL, _buckets, query
+from .catalogue import ORACLE_SQL, query
+from .registry import BUCKETS, _buckets
 
 KEYS = ("entity_id", "data_year")
 

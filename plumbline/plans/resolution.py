@@ -9,7 +9,7 @@ from ..functions import measures, names
 from ..operators import candidates
 from ..operators import linkage as L
 from .analog import Analog
-from .registry import query, r6
+from .catalogue import query, r6
 
 
 def likeness_sql(pairs: str) -> str:
