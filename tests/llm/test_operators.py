@@ -780,6 +780,19 @@ def repeats(spark, n=3000):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
 
+def test_jaccard_at_80_percent_with_small_parts_alone(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        w = [f"w{n}" for n in range(180)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(180)] = f"v{rng.randint(0, 500)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard.Rule(80).dense(int(jaccard.Rule(80).band(np.int64(176)))) and jaccard.Rule(80, exact=True).dense(int(jaccard.Rule(80).band(np.int64(176)))) is None
+    assert table(jaccard.jaccard_join(df, k=5, percent=80, exact=True), "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute_jaccard(rows, 5, 80), key=key)
+
+
 def test_many_repeated_rows_are_one_node(spark):
     rows, df = repeats(spark)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_join(df).where("doc_id is not null").collect()}
