@@ -35,9 +35,9 @@ class Analog:
     def entity(self) -> DataFrame:
         k = F.col("s_suppkey")
         kind = F.when(k % 8 <= 3, "municipal_police").when(k % 8 <= 5, "county_sheriff").when(k % 8 == 6, "state_police").otherwise("university_police")
-        nation = self.read("nation").join(F.broadcast(self.read("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        nation = self.read("nation").join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         level = F.when(k % 8 <= 3, "place").when(k % 8 <= 5, "county").when(k % 8 == 6, "state").otherwise("place")
-        return self.read("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        return self.read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.lpad(k.cast("string"), 9, "0").alias("entity_id"), k.alias("suppkey"), F.col("s_name").alias("name"), kind.alias("kind"), F.col("n_name").alias("state"), F.col("r_name").alias("region"),
             level.alias("geo_level"), F.when(k % 11 == 0, "needs_review").otherwise("accepted").alias("review_status"), F.when(k % 3 == 0, "Urban").when(k % 3 == 1, "Rural").alias("urbanicity"),
             (F.col("s_nationkey") * 2 + (k % 10) / 10.0).alias("lat"), (k % 50).cast("double").alias("lon"), F.col("s_acctbal").alias("balance"),

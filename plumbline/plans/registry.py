@@ -54,7 +54,7 @@ def finance_amounts(a):
 
 @query("s3_unit_directory", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS gov_id, s_name AS name, n_name AS county, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS place_code FROM supplier JOIN nation ON s_nationkey = n_nationkey", prefix=False)
 def unit_directory(a):
-    s = a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = a.read("supplier").join(a.read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     short = {k: v for k, v in fixed_width.UNIT_DIRECTORY.items() if k in ("gov_id", "name", "county", "place_code")}
     line = F.rtrim(fixed_width.render(short, 116, {"gov_id": (F.lpad(F.col("s_suppkey").cast("string"), 12, "0"), False), "name": (F.col("s_name"), False), "county": (F.col("n_name"), False), "place_code": (F.lpad(F.col("s_nationkey").cast("string"), 5, "0"), False)}))
     path = sinks.landing_folder(a.spark)
@@ -94,7 +94,7 @@ def manifest(a):
 @query("c1_dim_time", "SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS data_year, year(l_shipdate) <= 2000 AS is_complete, year(l_shipdate) <= 2000 AS crime_usable, year(l_shipdate) % 5 = 2 AS is_cog_year, nullif(concat_ws(' ', CASE WHEN year(l_shipdate) > 2000 THEN 'year in progress' END, CASE WHEN year(l_shipdate) % 5 = 2 THEN 'census of governments year' END), '') AS notes FROM lineitem", prefix=False)
 def dim_time(a):
     years = a.read("lineitem").select(F.year("l_shipdate").alias("data_year")).distinct()
-    return C.dim_time(a.spark, 1985, 2026, 2000).join(F.broadcast(years), "data_year", "left_semi")
+    return C.dim_time(a.spark, 1985, 2026, 2000).join(years, "data_year", "left_semi")
 
 
 @query("c2_dim_geography", "SELECT 'county:' || lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS geo_id, 'county' AS geo_level, n_name AS name FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 'state:' || lpad(CAST(r_regionkey AS VARCHAR), 2, '0'), 'state', r_name FROM region UNION ALL SELECT 'place:' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0'), 'place', s_name FROM supplier", prefix=False)
@@ -652,8 +652,8 @@ def absent(a):
 @query("j1_entity_geography", "SELECT e.entity_id, e.kind, e.review_status, n.n_name AS geo_name, r.r_name AS region FROM entity e LEFT JOIN nation n ON n.n_name = e.state AND e.review_status = 'accepted' LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
 def geography(a):
     links = a.entity.where("review_status = 'accepted'").select("entity_id", "state")
-    geo = a.read("nation").join(F.broadcast(a.read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("geo_name"), F.col("r_name").alias("region"))
-    linked = links.join(F.broadcast(geo), F.col("state") == F.col("geo_name")).select("entity_id", "geo_name", "region")
+    geo = a.read("nation").join(a.read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("geo_name"), F.col("r_name").alias("region"))
+    linked = links.join(geo, F.col("state") == F.col("geo_name")).select("entity_id", "geo_name", "region")
     return a.entity.select("entity_id", "kind", "review_status").join(linked, "entity_id", "left")
 
 
@@ -722,7 +722,7 @@ def place_names(a):
 
 def _municipal(a):
     level = F.when(F.col("s_suppkey") % 2 == 0, "place").otherwise("cousub")
-    return a.read("supplier").join(F.broadcast(a.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("state"), level.alias("geo_level"), F.concat(level, F.lit(":"), F.col("s_suppkey").cast("string")).alias("geo_id"))
+    return a.read("supplier").join(a.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("state"), level.alias("geo_level"), F.concat(level, F.lit(":"), F.col("s_suppkey").cast("string")).alias("geo_id"))
 
 
 #: States whose towns govern: some of those that the data has.
@@ -869,7 +869,7 @@ def padded_codes(a):
 @query("s12_registry", "SELECT r_name AS source_id, string_agg(n_name, ' | ' ORDER BY n_name) AS members, false AS deferred FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1", prefix=False)
 def registry_table(a):
     """A registry of a few records: lists joined, missing booleans false."""
-    nation = a.read("nation").join(F.broadcast(a.read("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = a.read("nation").join(a.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     found = nation.groupBy(F.col("r_name").alias("source_id")).agg(F.array_sort(F.collect_list("n_name")).alias("members")).collect()  # one row a region
     return records.registry_df(a.spark, [r.asDict() for r in found], StructType.fromDDL("source_id string, members string, deferred boolean"))
 
@@ -956,7 +956,7 @@ def allowed_metrics(a):
     """How many values each metric has that the registry lets be ranked."""
     listed = records.registry_df(a.spark, [{"metric_id": "violent_rate", "ranking_allowed": True}, {"metric_id": "sworn"}], StructType.fromDDL("metric_id string, ranking_allowed boolean"))
     n = a.agency_year.agg(F.count("violent_rate").alias("violent_rate"), F.count("sworn").alias("sworn")).unpivot([], ["violent_rate", "sworn"], "metric_id", "n")
-    return n.join(F.broadcast(listed.where("ranking_allowed").select("metric_id")), "metric_id")
+    return n.join(listed.where("ranking_allowed").select("metric_id"), "metric_id")
 
 
 from . import resolution  # noqa: E402, F401  its queries register themselves
