@@ -2,10 +2,12 @@
 
 Every kind of datum has a cue that the automaton knows: the at-sign, a plus
 before a digit, a digit before a digit, blank, hyphen or dot, a scheme, an
-identifier word.  A parser looks at the text around a cue only, so texts
-without cues cost one pass of the automaton.  Email, ip, card and phone give
-the leftmost, not overlapping matches of fixed patterns; urls and accounts are
-what the cues add.
+identifier word, the first characters of a service's keys.  A parser looks at
+the text around a cue only, so texts without cues cost one pass of the
+automaton.  Email, ip, card and phone give the leftmost, not overlapping
+matches of fixed patterns; urls, accounts and keys are what the cues add.
+Cues are found in any case; identifier words may be part of a compound name,
+and a value has to pass the check of its sort.
 """
 
 from __future__ import annotations
@@ -24,18 +26,50 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "key")
 
-# Cues of added kinds.
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
-WORDS = ("iban", "ssn", "account", "acct", "passport", "token", "api_key", "apikey", "secret", "password", "passwd")
 #: Behind a scheme: a user before an at-sign, which alone makes a url personal.
 USER_URL = re.compile(r"[A-Za-z0-9._%+-]+(:[^\s@/]*)?@[A-Za-z0-9.-]+(:[0-9]+)?(/\S*)?")
-#: Behind an identifier word: what leads to its value, and the values by sort; a value reaches as far as its characters do.
-LEAD = re.compile(r"\s{0,2}(?:number|no\.?|nr\.?)?\s{0,2}[:=#]\s{0,2}[\"']?")
+
+# Identifier words by the sort of value that they lead to; case doesn't matter, and a blank may be "_", "-" or nothing.
+WORDS = {
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security"),
+    "routing": ("routing", "aba"),
+    "number": ("account", "acct", "passport", "driver license", "drivers license", "driving licence", "tax id", "taxpayer id", "customer id", "member id", "policy"),
+    "secret": ("password", "passwd", "passphrase", "pwd", "secret", "token", "api key", "access key", "secret key", "private key", "access token", "auth token", "refresh token", "client secret"),
+    "bearer": ("bearer",),
+}
+#: What leads from an identifier word to its value: a sign of assignment, or "is".
+LEAD = re.compile(r"""["']?[\s_-]{0,2}(?:number|no\.?|nr\.?|code|value)?["']?\s{0,2}(?:[:=#]>?\s{0,2}|->\s{0,2}|\bis:?\s{1,2})["'`]?""", re.IGNORECASE)
+BLANK = re.compile(r"\s{1,2}[\"']?")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}")
-SSN = re.compile(r"[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![0-9])")
-VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/=.~-]*")
+SSN = re.compile(r"([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4})(?![0-9])")
+ROUTING = re.compile(r"[0-9]{9}(?![0-9])")
+#: Plain values reach as far as their characters do.
+VALUE = {
+    "number": re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/=.~-]*"),
+    "secret": re.compile(r"[^\s\"'`<>,;()\[\]{}$%][^\s\"'`<>,;()\[\]{}]*"),
+    "bearer": re.compile(r"[A-Za-z0-9_+/=.~-]{16,}"),
+}
+
+# How keys of public services and web tokens begin, in lower case, and their form.
+KEYS = {
+    "akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "asia": re.compile(r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "aiza": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "github_pat_": re.compile(r"github_pat_[0-9A-Za-z_]{20,}"),
+    "glpat-": re.compile(r"glpat-[0-9A-Za-z_-]{20,}"),
+    "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{10,}"),
+    "xoxp-": re.compile(r"xoxp-[0-9A-Za-z-]{10,}"),
+    "sk_live_": re.compile(r"sk_live_[0-9A-Za-z]{16,}"),
+    "sk_test_": re.compile(r"sk_test_[0-9A-Za-z]{16,}"),
+    "rk_live_": re.compile(r"rk_live_[0-9A-Za-z]{16,}"),
+    "eyj": re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -57,53 +91,89 @@ def octet(part: str) -> bool:
     return len(part) < 4 and int(part or 0) <= 255
 
 
+def social(area: str, group: str, serial: str) -> bool:
+    """Areas 000, 666 and from 900, group 00 and serial 0000 are never given out."""
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def routing(number: str) -> bool:
+    return number != "0" * 9 and sum(int(c) * w for c, w in zip(number, (3, 7, 1) * 3, strict=True)) % 10 == 0
+
+
+def secretive(value: str) -> bool:
+    """Three digits in six characters, or all of small and capital letter, digit and sign in eight; so with any longer value too."""
+    if len(value) >= 6 and sum(map(value.count, DIGITS)) >= 3:
+        return True
+    return len(value) >= 8 and all(re.search(c, value) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[!@#$%^&*?+~]"))
+
+
+def forms(word: str) -> set[str]:
+    return {word.replace(" ", by) for by in ("", " ", "_", "-")}
+
+
 def automaton():
+    """Of all cues in lower case, with how far before its last character a cue begins, its kind, and its sort or first characters."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for d in "0123456789":
-        a.add_word("+" + d, (1, "phone"))
+        a.add_word("+" + d, (1, "phone", ""))
         for e in "0123456789 -.":
-            a.add_word(d + e, (1, "number"))
-    a.add_word("@", (0, "email"))
+            a.add_word(d + e, (1, "number", ""))
+    a.add_word("@", (0, "email", ""))
     for s in SCHEMES:
-        a.add_word(s, (0, "url"))
-    for w in WORDS:
-        for form in {w, w.upper(), w.capitalize()}:
-            a.add_word(form, (len(w) - 1, "account"))
+        a.add_word(s, (len(s) - 1, "url", s))
+    for k in KEYS:
+        a.add_word(k, (len(k) - 1, "key", k))
+    for sort, words in WORDS.items():
+        for form in set().union(*map(forms, words)):
+            a.add_word(form, (len(form) - 1, "account", sort))
     a.make_automaton()
     return a
 
 
-def account(word: str, text: str, end: int, dead: int) -> tuple[int, int, bool] | None:
-    """Begin and end of the value behind an identifier word that ends at `end`, and whether it looks like one of that sort.
+def apart(text: str, at: int, last: int) -> bool:
+    """Is text[at : last + 1] a word, or one word of a name such as my_api_key or myApiKey?"""
+    before, after = text[at - 1] if at else " ", text[last + 1] if last + 1 < len(text) else " "
+    return (not before.isalnum() or before.islower() and text[at].isupper()) and (not after.isalnum() or text[last].islower() and after.isupper())
 
-    A plain value that begins before `dead` ends a longer one that had too few
-    digits, and so has too few itself.
+
+def account(sort: str, text: str, end: int, dead: dict) -> tuple[int, int] | None:
+    """Begin and end of the value of that sort behind an identifier word that ends at `end`, if it is one.
+
+    A plain value that begins before `dead` of its sort ends a longer one that
+    was refused, and so would be refused itself.
     """
-    lead = LEAD.match(text, end)
+    lead = (BLANK if sort == "bearer" else LEAD).match(text, end)
     if not lead:
         return None
-    if word == "iban":
-        m = IBAN.match(text, lead.end())
+    begin = lead.end()
+    if sort == "iban":
+        m = IBAN.match(text, begin)
         ends = [m.end(), *(m.start() + k for k in range(len(m[0]) - 1, 14, -1) if m[0][k] in " -")] if m else []
-        good = next((e for e in ends if iban(text[m.start() : e])), None)
-        return (m.start(), good, True) if good else None
-    if word == "ssn":
-        m = SSN.match(text, lead.end())
-        return (*m.span(), True) if m else None
-    if lead.end() < dead or not (m := VALUE.match(text, lead.end())):
+        good = next((e for e in ends if iban(text[begin:e])), None)
+        return (begin, good) if good else None
+    if sort == "ssn":
+        m = SSN.match(text, begin)
+        return m.span() if m and social(*m.groups()) else None
+    if sort == "routing":
+        m = ROUTING.match(text, begin)
+        return m.span() if m and routing(m[0]) else None
+    if begin < dead.get(sort, 0) or not (m := VALUE[sort].match(text, begin)):
         return None
-    value = m[0].rstrip("=.~-")
-    return m.start(), m.start() + len(value), len(value) >= 6 and sum(map(value.count, DIGITS)) >= 3
+    value = m[0].rstrip("=.~-:?!" if sort == "secret" else "=.~-")
+    if secretive(value):
+        return begin, begin + len(value)
+    dead[sort] = m.end()
+    return None
 
 
 def find(text: str, a) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base kinds, and those with the added kinds too, both sorted."""
     base, added = [], []
-    email = ip = card = phone = other = dead = 0  # where the last match of a kind ends; phone, ip, card: also what was tried
-    n = len(text)
-    for last, (back, kind) in a.iter(text):
+    email = ip = card = phone = other = 0  # where the last match of a kind ends; phone, ip, card: also what was tried
+    dead: dict = {}
+    for last, (back, kind, sort) in a.iter(text.lower() if text.isascii() else text.translate(LOWER)):
         at = last - back
         if kind == "number":
             before = text[at - 1] if at else ""
@@ -133,15 +203,15 @@ def find(text: str, a) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
         elif kind == "url":
             begin = last + 1
             if begin >= other and (m := USER_URL.match(text, begin)):
-                at = last - len(next(s for s in SCHEMES if text.endswith(s, 0, begin))) + 1
                 added.append((at, 4, m.end()))
                 other = m.end()
-        elif at >= other and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and not (last + 1 < n and text[last + 1].isalnum()):
-            begin, until, good = account(text[at : last + 1].lower(), text, last + 1, dead) or (0, 0, False)
-            if good:
-                added.append((begin, 5, until))
-                other = until
-            dead = max(dead, until)
+        elif kind == "key":
+            if at >= other and not (at and (text[at - 1].isalnum() or text[at - 1] in "_-")) and (m := KEYS[sort].match(text, at)):
+                added.append((at, 6, m.end()))
+                other = m.end()
+        elif at >= other and apart(text, at, last) and (found := account(sort, text, last + 1, dead)):
+            added.append((found[0], 5, found[1]))
+            other = found[1]
     base.sort()
     return base, sorted(base + added)
 
@@ -154,7 +224,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated rows stay; an empty table gives no rows; a null id stays null;
     columns other than the two are not read, so their names don't matter.  Texts
     and runs of digits may be of any length: every parser moves on from where it
-    stopped.
+    stopped.  Of cues that end at one place the longest is tried first (ties);
+    added kinds don't overlap each other, but may lie over base ones.
     """
     mark = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("until", pa.int32())]))
 
