@@ -173,7 +173,8 @@ def find(text: str, a) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     base, added = [], []
     email = ip = card = phone = other = 0  # where the last match of a kind ends; phone, ip, card: also what was tried
     dead: dict = {}
-    for last, (back, kind, sort) in a.iter(text.lower() if text.isascii() else text.translate(LOWER)):
+    folded = text.lower()
+    for last, (back, kind, sort) in a.iter(folded if len(folded) == len(text) else text.translate(LOWER)):  # a capital may be longer in lower case
         at = last - back
         if kind == "number":
             before = text[at - 1] if at else ""

@@ -668,6 +668,7 @@ def test_added_kinds_by_brute_force():
         ("routing number: 011000016", None),
         ("keyboard accounts: 12345678, subtoken=12345678", None),
         ("myAccessToken=12345678", "12345678"),
+        ("İİ É API_Key=12345678 İ", "12345678"),
         ("HTTPS://bob:pw@host.example/x", "HTTPS://bob:pw@host.example/x"),
     ],
 )
