@@ -17,7 +17,7 @@ are those of its left and right parts joined.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Characters of a chunk, and of a text from which on it is encoded in chunks.
+CHUNK, HUGE = 4_000, 8_000
 SPACE_BLANK = re.compile(r"\s ")
 #: A character beyond the Latin blocks.
 FAR = re.compile("[^\u0000-\u024f]")
@@ -97,14 +99,19 @@ def latin_encoder(vocabulary: str):
         return None
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
     own = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-    return lambda text: own.encode_to_numpy(text, allowed_special="all")
+    lengths = np.zeros(len(ranks) + 1, np.int64)
+    for token, k in ranks.items():
+        lengths[k] = len(token)
+    lengths[len(ranks)] = len("<|endoftext|>")
+    return (lambda text: own.encode_to_numpy(text, allowed_special="all")), lengths
 
 
 class TextCoder:
     """Ids of whole texts under a public vocabulary, as arrays of 32 bits."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
-        self.vocabulary, self.latin, self.loaded = vocabulary, latin_encoder(vocabulary), None
+        self.vocabulary, self.loaded = vocabulary, None
+        self.latin, self.lengths = latin_encoder(vocabulary) or (None, None)
 
     @property
     def tokenizer(self):
@@ -120,6 +127,21 @@ class TextCoder:
         found = ((FAR.search(part) is None, part) for part in stable_parts(text))
         return [(latin, "".join(p for _, p in run)) for latin, run in groupby(found, itemgetter(0))]
 
+    def starts(self, text: str) -> np.ndarray:
+        """Offsets of all tokens' first characters: by their lengths in bytes for the Latin blocks, else as the tokenizer says."""
+        out, at = [np.zeros(0, np.int64)], 0
+        for latin, run in [(True, text)] if self.latin is not None and text.isascii() else self.runs(text):
+            if latin:
+                lengths = self.lengths[self.latin(run)]
+                here = lengths.cumsum() - lengths
+                if not run.isascii():
+                    here = ((np.frombuffer(run.encode(), np.uint8) & 0xC0) != 0x80).cumsum()[here] - 1
+            else:
+                here = np.array([o[0] for o in self.tokenizer.encode(run, add_special_tokens=False).offsets], np.int64)
+            out.append(at + here)
+            at += len(run)
+        return np.concatenate(out)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         mixed = {}
@@ -157,28 +179,27 @@ def boundary_after(text: str, begin: int, end: int) -> int:
     return at
 
 
-def spliced_count(tokenizer, text: str, chunk: int, overlap: int) -> int:
+def spliced_count(starts: Callable[[str], np.ndarray], text: str, chunk: int, overlap: int) -> int:
     """Tokens of a text by overlapping chunks joined at common stable boundaries.
 
-    [left, right) is encoded with offsets, and again the chunk that starts at
+    `starts` encodes a chunk and gives its tokens' offsets.  [left, right) is
+    encoded so, and so is the next chunk, from
     right - overlap.  A stable boundary inside the overlap at which both have
     a token boundary ends the left chunk's share and begins the right one's.
     With none in the overlap, the overlap and the left chunk double, at last
-    up to the end of the text.
+    up to the end of the text: a text without any stable boundary is encoded
+    as a whole.
     """
     n, left, done, total = len(text), 0, 0, 0
-    starts = None  # token starts, in text positions, of the chunk that begins at `left`
-    while True:
-        right = min(n, left + chunk)
-        size = overlap
+    right = min(n, chunk)
+    mine = left + starts(text[left:right])
+    while right < n:
+        size, at = overlap, -1
         while True:
-            mine = left + np.array([o[0] for o in tokenizer.encode(text[left:right], add_special_tokens=False).offsets], np.int64)
-            if right == n:
-                return total + int((mine >= done).sum())
             begin = max(left + 1, right - size)
-            theirs_end = min(n, begin + max(chunk, 2 * size))
-            theirs = begin + np.array([o[0] for o in tokenizer.encode(text[begin:theirs_end], add_special_tokens=False).offsets], np.int64)
-            common = set(mine.tolist()) & set(theirs.tolist())
+            until = min(n, begin + max(chunk, 2 * size))
+            theirs = begin + starts(text[begin:until])
+            common = set(np.intersect1d(mine[mine >= begin], theirs[theirs < right]).tolist())
             at = boundary_after(text, max(begin + 1, done + 1), right)
             while at >= 0 and at not in common:
                 at = boundary_after(text, at + 1, right)
@@ -186,18 +207,22 @@ def spliced_count(tokenizer, text: str, chunk: int, overlap: int) -> int:
                 break
             size *= 2
             right = min(n, right + size)
+            mine = left + starts(text[left:right])
+            if right == n:
+                return total + int((mine >= done).sum())
         total += int(((mine >= done) & (mine < at)).sum())
-        done = at
-        left = begin
+        done, left, right, mine = at, begin, until, theirs
+    return total + int((mine >= done).sum())
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = 1024, huge: int = 60_000, chunk: int = 20_000, overlap: int = 200) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, limit: int = 1024, huge: int = HUGE, chunk: int = CHUNK, overlap: int = 200) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null and empty texts have 0 of both; repeated rows stay repeated; a null id
     stays null; an empty table gives no rows; texts of over `huge` characters
-    are encoded in chunks; other columns are not read, so their names don't
-    matter.
+    are encoded in chunks, whose splices give the count of the whole text; one
+    without a blank behind another character has no splice, and is encoded as a
+    whole by one task.  Other columns are not read, so their names don't matter.
     """
     def run(batches):
         coder = TextCoder(vocabulary)
@@ -207,7 +232,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 short = iter(coder.ids([t for t in texts if len(t) <= huge]))
                 for t in texts:
                     sizes.append(len(t.encode()))
-                    counts.append(spliced_count(coder.tokenizer, t, chunk, overlap) if len(t) > huge else len(next(short)))
+                    counts.append(spliced_count(coder.starts, t, chunk, overlap) if len(t) > huge else len(next(short)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -453,7 +453,25 @@ def test_runs_and_splices_round_trip():
         ids = t.encode(x, add_special_tokens=False).ids
         assert "".join(tokens.stable_parts(x)) == x == "".join(run for _, run in coder.runs(x))
         assert coder.ids([x, "", x])[2].tolist() == ids
-        assert tokens.spliced_count(t, x, rng.randint(5, 40), rng.randint(1, 9)) == len(ids)
+        library = lambda part: np.array([o[0] for o in t.encode(part, add_special_tokens=False).offsets], np.int64)
+        for starts in (coder.starts, library):
+            assert tokens.spliced_count(starts, x, rng.randint(5, 40), rng.randint(1, 9)) == len(ids)
+        plain = x.encode("ascii", "ignore").decode()
+        assert coder.starts(plain).tolist() == library(plain).tolist()
+
+
+def test_ordinary_long_texts_are_spliced(spark):
+    """On the real table, with the parameters as they are: hundreds of splices, and the tokenizer's counts."""
+    t, coder, parts = tokens.load(tokens.VOCABULARY), tokens.TextCoder(), []
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    long = [x for x in rows if len(x) > tokens.HUGE]
+
+    def starts(text):
+        parts.append(len(text))
+        return coder.starts(text)
+
+    assert [tokens.spliced_count(starts, x, tokens.CHUNK, 200) for x in long] == [len(e.ids) for e in t.encode_batch(long, add_special_tokens=False)]
+    assert len(long) > 20 and len(parts) > 3 * len(long) and max(parts) <= 2 * tokens.CHUNK
 
 
 def test_both_libraries_agree():
