@@ -106,15 +106,42 @@ def overview(ay: DataFrame, year: int) -> dict[str, DataFrame]:
     return {"headline": head, "coverage": A.status_pivot(now.withColumn("all", F.lit("all")), ["all"], "coverage", ["COMPLETE", "PARTIAL", "NONE", "UNKNOWN"]), "composition": A.share_of_total(now, "kind", "sworn"), "trend": A.national_trend(full, "data_year", "violent_offenses", "denominator")}
 
 
-def map_layer(ay: DataFrame, year: int, metric: str, layer: str) -> dict[str, DataFrame]:
-    """Features of a layer (entity, state) and the legend; rows without coordinates are counted, not placed."""
+LEGEND = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+def map_layer(ay: DataFrame, year: int, metric: str, layer: str, geographies: DataFrame | None = None, state: str | None = None, kind: str | None = None) -> dict[str, DataFrame]:
+    """Features of a layer (entity, state, county), its legend, and how many of the year's rows have no coordinates.
+
+    entity: rows with coordinates, of one state or kind if asked; the others
+    are counted, not placed.  state: medians of all rows with a state.  county:
+    medians of rows whose geo_id is a county among `geographies` (geo_id,
+    geo_level, geoid, name, state); rows of other levels are in no county.  A
+    feature without a value stays, with null, and the legend counts it.
+    """
     m, now = _metric(metric), ay.where(F.col("data_year") == year)
+    none = F.col("lat").isNull() | F.col("lon").isNull()
+    unplaced = now.agg((F.count_if(none) if layer == "entity" else F.lit(0).cast("long")).alias("unplaced"))
+    sums = [F.count("*").alias("agencies"), F.sum("sworn").alias("sworn")]
     if layer == "entity":
-        placed = now.where("lat is not null and lon is not null").select("entity_id", "lat", "lon", F.col(m).alias("value"))
+        asked = now.where(~none)
+        asked = asked.where(F.col("state") == state) if state else asked
+        asked = asked.where(F.col("kind") == kind) if kind else asked
+        about = ["entity_id", "name", "kind", "state", "lat", "lon", "denominator", "sworn", "violent_months_reported", "coverage", "violent_rate_allowed", "violent_withheld", "denominator_type", "confidence"]
+        placed = asked.select(*about, F.col(m).alias("value"))
+    elif layer == "state":
+        known = now.where(F.col("state").isNotNull())
+        sums += [F.sum("denominator").alias("population"), F.count_if("violent_rate_allowed").alias("reporting_agencies")]
+        placed = known.groupBy("state").agg(*sums).join(A.group_median(known, ["state"], [m]), "state")
+    elif layer == "county":
+        if geographies is None:
+            raise ValueError("counties have to be given")
+        counties = geographies.where("geo_level = 'county'").select("geo_id", "geoid", F.col("name").alias("county"), F.col("state").alias("county_state"))
+        known = now.join(counties, "geo_id")
+        placed = known.groupBy("geoid").agg(F.any_value("county").alias("name"), F.any_value("county_state").alias("state"), *sums).join(A.group_median(known, ["geoid"], [m]), "geoid")
     else:
-        placed = A.group_median(now, ["state"], [m]).withColumnRenamed(f"median_{m}", "value")
-    legend = A.nearest_rank(placed.withColumn("layer", F.lit(layer)), ["layer"], "value", (0.1, 0.25, 0.5, 0.75, 0.9))
-    unplaced = now.agg(F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("unplaced"))
+        raise ValueError(f"no such layer: {layer}")
+    placed = placed.withColumnRenamed(f"median_{m}", "value")
+    legend = A.nearest_rank(placed.select("value", F.lit(layer).alias("layer")), ["layer"], "value", LEGEND)
     return {"features": placed, "legend": legend, "unplaced": unplaced}
 
 

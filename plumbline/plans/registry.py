@@ -611,7 +611,7 @@ def overview(a):
 
 @query("q10_state_map", "SELECT state, round(median(violent_rate), 6) AS value FROM agency_year WHERE data_year = 1999 GROUP BY 1")
 def state_map(a):
-    return published.map_layer(a.agency_year, 1999, "violent_rate", "state")["features"].withColumn("value", F.round("value", 6))
+    return published.map_layer(a.agency_year, 1999, "violent_rate", "state")["features"].select("state", F.round("value", 6).alias("value"))
 
 
 @query("q13_search", "SELECT type, id, name, relevance FROM (SELECT *, CASE WHEN lower(id) = 'er' THEN 0 WHEN lower(name) = 'er' THEN 1 ELSE 2 END AS relevance FROM (SELECT 'entity' AS type, entity_id AS id, name FROM entity UNION ALL SELECT DISTINCT 'state', state, state FROM entity)) WHERE lower(id) = 'er' OR contains(lower(name), 'er') ORDER BY relevance, length(name), id LIMIT 20")
@@ -960,4 +960,4 @@ def allowed_metrics(a):
 
 
 from . import resolution  # noqa: E402, F401  its queries register themselves
-from . import releases  # noqa: E402, F401, I001
+from . import maps, releases  # noqa: E402, F401, I001
