@@ -106,7 +106,7 @@ def test_registered_names():
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     df = registry.QUERIES[name](spark, SMALL)
     columns = ", ".join(df.columns)
