@@ -14,6 +14,9 @@ that reach it do so in one of two ways:
   fitting lengths meet.
 
 Every pair found is then scored, so the answer is that of comparing all.
+
+Words and pairs of characters are many times the names that their files hold,
+so no side of a join is broadcast by the size of those files.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def _ranked(left: DataFrame, right: DataFrame, what: str) -> tuple[DataFrame, Da
     one = left.select("block", "name", "size", F.explode(what).alias("key"))
     other = right.select("block", "name", "size", F.explode(what).alias("key"))
     n = one.select("block", "key").unionByName(other.select("block", "key")).groupBy("block", "key").agg(F.count("*").alias("n"))
-    return one.join(n, ["block", "key"]), other.join(n, ["block", "key"])
+    return one.join(n.hint("merge"), ["block", "key"]), other.join(n.hint("merge"), ["block", "key"])
 
 
 def _rarest(keys: DataFrame, weight: Column, spare: Column) -> DataFrame:
@@ -71,7 +74,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFram
     cover = least / (200 - least)
     # what doesn't belong to the common words may weigh (1 - cover) of the name; a little more for rounding
     spare = F.col("size") * (1 - cover) + 1e-9
-    met = lambda x, y: x.withColumnRenamed("name", "l_name").withColumnRenamed("size", "l_size").join(y.select("block", F.col("name").alias("r_name"), F.col("size").alias("r_size"), "key"), ["block", "key"])
+    met = lambda x, y: x.withColumnRenamed("name", "l_name").withColumnRenamed("size", "l_size").join(y.select("block", F.col("name").alias("r_name"), F.col("size").alias("r_size"), "key").hint("merge"), ["block", "key"])
     words_a, words_b = _ranked(a, b, "words")
     weight = F.length("key") + 1
     covered = met(_rarest(words_a, weight, spare), words_b).unionByName(met(words_a.drop("n"), _rarest(words_b, weight, spare))).select("block", "l_name", "r_name").distinct()
@@ -88,13 +91,13 @@ def candidate_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFram
     g = lambda p, side: p.select("block", F.col("name").alias(f"{side}_name"), F.col("grams").alias(f"{side}_grams"), F.col("size").alias(f"{side}_size"))
     common = F.size(F.array_intersect("l_grams", "r_grams"))
     needed = let(F.ceil(F.lit(least / 200) * (F.col("l_size") + F.col("r_size")) - 1e-9), lambda k: F.greatest(F.size("l_grams") - 2 * (F.col("l_size") - k) - (F.col("r_size") - k), F.size("r_grams") - 2 * (F.col("r_size") - k) - (F.col("l_size") - k)))
-    texts = texts.join(g(a, "l"), ["block", "l_name"]).join(g(b, "r"), ["block", "r_name"]).where(common >= needed).select("block", "l_name", "r_name")
+    texts = texts.join(g(a, "l").hint("merge"), ["block", "l_name"]).join(g(b, "r").hint("merge"), ["block", "r_name"]).where(common >= needed).select("block", "l_name", "r_name")
     # too short for a pair of characters to be sure
     span = lambda c: F.sequence(F.ceil(c * cover - 1e-9), F.floor(c / cover + 1e-9))
     ends = lambda p, side: p.select("block", F.col("name").alias(f"{side}_name"), F.col("size"))
     short_a = ends(x.where(~sure), "l").withColumn("at", F.explode(span(F.col("size")))).drop("size")
     short_b = ends(y.where(~sure), "r").withColumn("at", F.explode(span(F.col("size")))).drop("size")
-    short = short_a.join(ends(b, "r").withColumnRenamed("size", "at"), ["block", "at"]).select("block", "l_name", "r_name").unionByName(ends(a, "l").withColumnRenamed("size", "at").join(short_b, ["block", "at"]).select("block", "l_name", "r_name"))
+    short = short_a.join(ends(b, "r").withColumnRenamed("size", "at").hint("merge"), ["block", "at"]).select("block", "l_name", "r_name").unionByName(ends(a, "l").withColumnRenamed("size", "at").join(short_b.hint("merge"), ["block", "at"]).select("block", "l_name", "r_name"))
     return covered.unionByName(texts).unionByName(short).distinct()
 
 

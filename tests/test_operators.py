@@ -250,3 +250,46 @@ def test_checks_find_what_is_wrong(spark):
     log = quality.run_checks(t, some, release="r")
     assert rows(log, "check_id") == [("clearances_exceed_offenses",), ("negative_count",)]
     assert rows(quality.summary(log, some), "check_id", "findings") == [("clearances_exceed_offenses", 1), ("negative_count", 1), ("year_beyond_cutoff", 0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_broadcast_nothing_that_grows(spark):
+    """Files say little of how many rows come out of them, so sides that grow with the input meet by sorting."""
+    e = spark.createDataFrame([(f"e{k}", "S", f"NAME {k % 7}", 40.0 + k % 3, 20.0) for k in range(40)], "entity_id string, block string, norm_name string, lat double, lon double")
+    t = e.withColumnRenamed("entity_id", "target_id")
+    for df in (linkage.nearest(e, t, "block", 30.0), linkage.nearest(e, t, "block", 30.0, others=True), linkage.link(e, t), candidates.candidate_pairs(e.select("block", F.col("norm_name").alias("l_name")), t.select("block", F.col("norm_name").alias("r_name")), 88.0)):
+        assert "SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df)
+
+
+def test_nearest_of_many_rows_in_few_spots(spark):
+    """Copies in one spot make no more pairs; ties go to the smallest id, and nobody is nearest to itself."""
+    e = spark.createDataFrame([(f"e{k:03d}", "S", 40.0 + k % 4 * 0.1, 20.0) for k in range(80)] + [("far", "S", 10.0, 20.0), ("lost", "S", None, 20.0), ("other", "T", 40.0, 20.0)], "entity_id string, block string, lat double, lon double")
+    t = spark.createDataFrame([(f"t{k:03d}", "S", 40.05 + k % 2 * 0.2, 20.0) for k in range(400)], "target_id string, block string, lat double, lon double")
+    near = linkage.nearest(e, t, "block", 30.0)
+    got = {r.entity_id: (r.target_id, round(r.km, 3)) for r in near.collect()}
+    assert got == {f"e{k:03d}": ("t000" if k % 4 < 2 else "t001", 5.56) for k in range(80)}
+    assert 0 < max(_metrics(near, "SortMergeJoin")) <= 80  # four points, two spots; 80 rows get their point's answer
+    twins = {r.entity_id: (r.target_id, r.km) for r in linkage.nearest(e, e.withColumnRenamed("entity_id", "target_id"), "block", 30.0, others=True).collect()}
+    assert twins == {f"e{k:03d}": (f"e{k % 4 if k >= 4 else k + 4:03d}", 0.0) for k in range(80)}
+
+
+def _metrics(df, node):
+    """Rows out of each node of this name, after the query has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, stack = [], [plan]
+    while stack:
+        p = stack.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            stack.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            stack.append(p.plan())
+        if p.nodeName() == node:
+            found.append(p.metrics().apply("numOutputRows").value())
+        children = p.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return found
