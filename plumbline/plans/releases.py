@@ -167,14 +167,14 @@ def unmatched_by_kind(a):
     """Kinds by what became of them: status and route of every entity."""
     some = resolution.entities(a)
     out = L.resolve(some, resolution.geographies(a), resolution.TOWN_STATES)
-    return out.join(some.select("entity_id", "kind"), "entity_id").groupBy("kind", "review_status", "method").agg(F.count("*").alias("n"))
+    return out.join(some.select("entity_id", "kind").hint("merge"), "entity_id").groupBy("kind", "review_status", "method").agg(F.count("*").alias("n"))
 
 
 @query("q11_identifier_routes", f"SELECT p_type AS kind, CASE bucket WHEN 'unique_key' THEN 'unique' WHEN 'ambiguous' THEN 'contested' ELSE 'none' END AS route, count(*) AS records, CAST(sum(amount) AS BIGINT) AS total FROM ({BUCKETS}) JOIN part ON p_partkey = record GROUP BY ALL", prefix=False)
 def identifier_routes(a):
     """The ledger's buckets by kind; all routes together are the ledger."""
     kinds = a.read("part").select(F.col("p_partkey").alias("record"), F.col("p_type").alias("kind"))
-    return reconcile.routes(_buckets(a).join(kinds, "record"), "kind", "amount")
+    return reconcile.routes(_buckets(a).join(kinds.hint("merge"), "record"), "kind", "amount")
 
 
 @query("q11_identifiers", "SELECT count(*) AS entities, count(*) FILTER (suppkey % 4 <> 3) AS from_legacy, count(*) FILTER (suppkey % 4 = 3) AS fallback, count(*) FILTER (suppkey % 4 = 3) AS no_legacy, (SELECT count(*) FROM (SELECT CASE WHEN suppkey % 13 = 4 THEN '0000000' ELSE lpad(CAST(suppkey AS VARCHAR), 7, '0') END AS k, count(*) AS n FROM entity GROUP BY 1) WHERE n > 1) AS shared_keys FROM entity")
