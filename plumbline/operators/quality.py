@@ -120,12 +120,16 @@ def run_checks(tables: dict[str, DataFrame], checks: Sequence[Check] = CHECKS, r
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if most is not None:
-        w = Window.partitionBy("check_id").orderBy(F.desc_nulls_last("data_year"), "entity_id", "observed")
-        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    out = out if most is None else capped(out, most)
     return out.withColumn("release_id", F.lit(release)) if release else out
 
 
+def capped(log: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of each check, the latest years first."""
+    w = Window.partitionBy("check_id").orderBy(F.desc_nulls_last("data_year"), "entity_id", "observed")
+    return log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
 def refreshed(log: DataFrame, found: DataFrame, load_time: Sequence[str] = LOAD_TIME) -> DataFrame:
     """The log after a new run of the checks: load-time findings stay, all others are those found now."""
     return log.where(F.col("check_id").isin(*load_time)).unionByName(found, allowMissingColumns=True)

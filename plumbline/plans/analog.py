@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import measures, policy
 from ..functions.codes import cohort_key
 from ..operators.canonical import monthly_to_annual, pick_source
+from ..sources.sinks import settled
 
 KINDS = ((3, "municipal_police"), (5, "county_sheriff"), (6, "state_police"), (7, "university_police"))
 ELIGIBLE = ("municipal_police", "county_sheriff", "county_police")
@@ -98,6 +99,26 @@ class Analog:
         return peer_cohorts(self.agency_year)
 
 
+class Counted(Analog):
+    """The same tables, for queries that ask them many times: what is counted from line items is counted once and written."""
+
+    @cached_property
+    def crime(self) -> DataFrame:
+        return settled(super().crime, "crime")
+
+    @cached_property
+    def staffing(self) -> DataFrame:
+        return settled(super().staffing, "staffing")
+
+    @cached_property
+    def demographics(self) -> DataFrame:
+        return settled(super().demographics, "demographics")
+
+    @cached_property
+    def agency_year(self) -> DataFrame:
+        return settled(super().agency_year, "agency_year")
+
+
 def denominators(df: DataFrame) -> DataFrame:
     """Adds balance_population, denominator and denominator_basis; accepted links of eligible kinds only."""
     county = F.col("kind").isin(*policy.COUNTY_TYPES)

@@ -493,7 +493,7 @@ LOG_SQL = faulty.SQL + ", log AS (" + " UNION ALL ".join(f"SELECT '{c.check_id}'
 
 @query("v0_check_register", LOG_SQL + "SELECT check_id, severity, count(*) AS findings FROM log GROUP BY 1, 2")
 def register(a):
-    return V.run_checks(faulty.tables(a)).groupBy("check_id", "severity").agg(F.count("*").alias("findings"))
+    return faulty.log(a).groupBy("check_id", "severity").agg(F.count("*").alias("findings"))
 
 
 @query("v0_capped_log", LOG_SQL + "SELECT check_id, count(*) AS findings, least(count(*), 50) AS logged FROM log GROUP BY 1")
@@ -764,7 +764,7 @@ def coverage_detail(a):
 
 @query("q12_flag_detail", LOG_SQL + "SELECT l.entity_id, l.data_year, l.observed, l.severity, e.name, e.state FROM log l LEFT JOIN entity e ON e.entity_id = l.entity_id WHERE check_id = 'rate_of_partial_year' ORDER BY l.data_year DESC NULLS LAST, l.entity_id, l.observed LIMIT 200")
 def flag_detail(a):
-    return published.flag_detail(V.run_checks(faulty.tables(a)), a.entity, "rate_of_partial_year").select("entity_id", "data_year", "observed", "severity", "name", "state")
+    return published.flag_detail(faulty.log(a), a.entity, "rate_of_partial_year").select("entity_id", "data_year", "observed", "severity", "name", "state")
 
 
 @query("q14_sources", f"SELECT s.source, coalesce(CAST(n AS BIGINT), 0) AS observations FROM (VALUES ('pe'), ('api'), ('monthly'), ('inline')) s(source) LEFT JOIN (SELECT source, sum(observations) AS n FROM ({PROVENANCE}) GROUP BY 1) u ON u.source = s.source")
@@ -816,7 +816,7 @@ def dictionary_columns(a):
 @query("s16_bundle_log", LOG_SQL + "SELECT check_id, least(count(*), 200) AS logged FROM log GROUP BY 1")
 def bundle_log(a):
     """The bundle's part of the log: 200 rows a check."""
-    return V.run_checks(faulty.tables(a), most=200).groupBy("check_id").agg(F.count("*").alias("logged"))
+    return faulty.log(a, most=200).groupBy("check_id").agg(F.count("*").alias("logged"))
 
 
 # --- readers over files that Spark has written from the tables ---------------------------------------------------------
@@ -895,12 +895,12 @@ def described(a):
 
 @query("a13_severity_order", LOG_SQL + "SELECT check_id, severity, count(*) AS findings, CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END AS severity_order FROM log GROUP BY 1, 2")
 def severity_order(a):
-    return A.check_register(V.run_checks(faulty.tables(a))).drop("message")
+    return A.check_register(faulty.log(a)).drop("message")
 
 
 @query("l4_worst_checks", LOG_SQL + "SELECT check_id, severity, count(*) AS findings FROM log GROUP BY 1, 2 ORDER BY CASE severity WHEN 'error' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, findings DESC, check_id LIMIT 8")
 def worst(a):
-    return A.check_register(V.run_checks(faulty.tables(a))).orderBy("severity_order", F.desc("findings"), "check_id").limit(8).select("check_id", "severity", "findings")
+    return A.check_register(faulty.log(a)).orderBy("severity_order", F.desc("findings"), "check_id").limit(8).select("check_id", "severity", "findings")
 
 
 @query("c9_first_wins", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1", prefix=False)
