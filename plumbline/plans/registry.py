@@ -754,7 +754,7 @@ def entity_coverage(a):
 
 @query("q5_entity_flags", LOG_SQL + f"SELECT check_id, severity, data_year, observed FROM log WHERE entity_id = '{SUBJECT}'")
 def entity_flags(a):
-    return published.entity_coverage(a.agency_year, V.run_checks(faulty.tables(a)), SUBJECT)["flags"].select("check_id", "severity", "data_year", "observed")
+    return published.entity_coverage(a.agency_year, faulty.log(a), SUBJECT)["flags"].select("check_id", "severity", "data_year", "observed")
 
 
 @query("q12_coverage_detail", "SELECT entity_id, name, state, coverage, denominator FROM agency_year WHERE data_year = 1998 AND coverage = 'PARTIAL' ORDER BY denominator DESC NULLS LAST, entity_id LIMIT 200")
