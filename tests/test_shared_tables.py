@@ -1,6 +1,6 @@
 """Queries that ask the same tables many times read the line items once for each table."""
 
-from plumbline.plans import faulty
+from plumbline.plans import faulty, registry
 from plumbline.plans.analog import Analog
 
 from .conftest import SMALL
@@ -16,3 +16,7 @@ def test_checks_share_their_tables(spark):
     log = faulty.log(Analog(spark, SMALL))
     assert scans(log) <= 2
     assert log.groupBy("check_id").count().count() > 10
+
+
+def test_capped_log_runs_the_checks_once(spark):
+    assert scans(registry.QUERIES["v0_capped_log"](spark, SMALL)) == 0
