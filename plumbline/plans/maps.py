@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import settled
 from . import published
 from .catalogue import query, r6
 
@@ -68,6 +69,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY value NULLS
 SELECT layer, count(*) FILTER (value IS NULL) AS without_value, count(value) AS with_value, round(min(value), 6) AS least, round(max(value), 6) AS most, {RANKS}, CASE WHEN layer = 'entity' THEN (SELECT count(*) FROM map_year WHERE lat IS NULL OR lon IS NULL) ELSE 0 END AS unplaced FROM ranked GROUP BY 1""")
 def legends(a):
     """A row for each layer: its legend, and how many rows have no place on it."""
-    parts = [_layer(a, layer) for layer in ("entity", "state", "county")]
+    year = settled(_year(a).where(F.col("data_year") == YEAR), "map_year")  # read by all layers
+    parts = [published.map_layer(year, YEAR, METRIC, layer, _geographies(a)) for layer in ("entity", "state", "county")]
     rows = reduce(DataFrame.unionByName, (p["legend"].crossJoin(p["unplaced"]) for p in parts))  # a row each
     return rows.select("layer", "without_value", "with_value", *map(r6, ("least", "most", *(f"p{round(100 * p)}" for p in published.LEGEND))), "unplaced")

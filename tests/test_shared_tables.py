@@ -20,3 +20,7 @@ def test_checks_share_their_tables(spark):
 
 def test_capped_log_runs_the_checks_once(spark):
     assert scans(registry.QUERIES["v0_capped_log"](spark, SMALL)) == 0
+
+
+def test_legends_share_the_year(spark):
+    assert scans(registry.QUERIES["q10_legends"](spark, SMALL)) == 0
